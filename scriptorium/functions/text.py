@@ -19,6 +19,15 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with `value` computed once.
+
+    Catalyst may merge a projection into the lambda that uses it, which would
+    recompute an array for each of its elements; an argument is never merged.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
     """Remove every kind of Unicode white space from both ends."""
     return F.regexp_replace(col(c), _EDGE_SPACE, "")

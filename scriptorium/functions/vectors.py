@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col, tokenize
+from .text import col, let, tokenize
 
 DIMENSIONS = 64
 
@@ -54,7 +54,5 @@ def hashed_vector(text: Column | str, dims: int = DIMENSIONS) -> Column:
 def unit(raw: Column) -> Column:
     """Scale to length one; a zero vector gives NULL."""
     def scaled(v):
-        n = norm(v)
-        return F.when(n > 0, F.transform(v, lambda x: x / n))
-    # the array wrapper evaluates `raw` once although it is used twice
-    return F.get(F.transform(F.array(raw), scaled), F.lit(0))
+        return let(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)))
+    return let(raw, scaled)

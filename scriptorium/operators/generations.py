@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.payload import kind_at, list_at, parse_object, strip_codefence, text_at
-from ..functions.text import SPACE, split_keywords, strip
+from ..functions.text import SPACE, let, split_keywords, strip
 
 
 def strip_preamble(c: Column) -> Column:
@@ -59,14 +59,16 @@ def answer_sections(answers: DataFrame) -> DataFrame:
     the first heading is the preamble with number 0."""
     mark = "\x02"
     flagged = F.regexp_replace(F.coalesce("text", F.lit("")), _HEADING, f"{mark}$1{mark}")
-    parts = F.split(flagged, mark)
-    # parts alternate: text, role, text, role, text ...
-    count = ((F.size(parts) + 1) / 2).cast("int")
-    sections = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(
-        i.alias("section_no"),
-        F.when(i == 0, F.lit("preamble")).otherwise(F.get(parts, i * 2 - 1)).alias("role"),
-        F.when(count == 1, F.get(parts, i * 2)).otherwise(strip(F.get(parts, i * 2))).alias("body")))
-    rows = answers.select("query_id", F.explode(sections).alias("s"))
+
+    def sections(parts):
+        # parts alternate: text, role, text, role, text ...
+        count = ((F.size(parts) + 1) / 2).cast("int")
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(
+            i.alias("section_no"),
+            F.when(i == 0, F.lit("preamble")).otherwise(F.get(parts, i * 2 - 1)).alias("role"),
+            F.when(count == 1, F.get(parts, i * 2)).otherwise(strip(F.get(parts, i * 2))).alias("body")))
+
+    rows = answers.select("query_id", F.explode(let(F.split(flagged, mark), sections)).alias("s"))
     return rows.select("query_id", "s.section_no", "s.role", "s.body")
 
 

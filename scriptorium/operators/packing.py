@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions.text import strip
+from ..functions.text import let, strip
 from ..functions.vectors import dot, hashed_vector
 from .segmentation import join_fragments, split_chapters, split_sentences
 
@@ -64,9 +64,7 @@ def _oversize_pieces(text: Column, base: int, hard_max: int, tail: int) -> Colum
         return F.when(n > hard_max, parts).otherwise(F.array(s))
 
     sentences = F.flatten(F.transform(split_sentences(text), cut))
-    # the array wrapper evaluates the sentence list once
-    return F.get(F.transform(F.array(sentences), lambda x: F.when(F.size(x) <= 1, x).otherwise(
-        _fold(_as_units(x), base, hard_max, tail))), F.lit(0))
+    return let(sentences, lambda x: F.when(F.size(x) <= 1, x).otherwise(_fold(_as_units(x), base, hard_max, tail)))
 
 
 def pack_greedy(units: Column, base: int = rules.CHUNK_BASE, hard_max: int = rules.CHUNK_MAX,
@@ -86,57 +84,69 @@ def paragraph_units(paras: Column) -> Column:
 
 def adjacent_similarity(vectors: Column) -> Column:
     """Dot product of each unit vector with the next; a missing vector gives 0."""
-    n = F.size(vectors)
-    return F.transform(F.slice(vectors, 1, F.greatest(n - 1, F.lit(0))), lambda v, i: F.round(
-        F.coalesce(dot(v, F.get(vectors, i + 1)), F.lit(0.0)), 6))
+    def compare(vs):
+        heads = F.slice(vs, 1, F.greatest(F.size(vs) - 1, F.lit(0)))
+        return F.zip_with(heads, F.slice(vs, 2, F.size(vs)), lambda v, w: F.round(
+            F.coalesce(dot(v, w), F.lit(0.0)), 6))
+    return let(vectors, compare)
 
 
 def _threshold(sims: Column) -> Column:
-    n = F.size(sims)
-    mean = F.aggregate(sims, F.lit(0.0), lambda a, x: a + x) / n
-    def spread(m):
-        return F.sqrt(F.aggregate(sims, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / n)
-    return F.get(F.transform(F.array(mean), lambda m: F.round(m - spread(m), 6)), F.lit(0))
+    """Mean minus population deviation, rounded like the similarities."""
+    def spread(m, values):
+        return F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.size(values))
+    return let(F.aggregate(sims, F.lit(0.0), lambda a, x: a + x) / F.size(sims),
+               lambda m: F.round(m - spread(m, sims), 6))
 
 
-def segment_bounds(sims: Column, threshold: Column, least: int = rules.SEGMENT_MIN,
-                   most: int = rules.SEGMENT_MAX) -> Column:
-    """Ends of the semantic segments over size(sims) + 1 sentences."""
+def segment_bounds(similarities: Column, least: int = rules.SEGMENT_MIN, most: int = rules.SEGMENT_MAX) -> Column:
+    """Ends of the semantic segments over size(similarities) + 1 sentences."""
     ints = F.array().cast("array<int>")
-    n = F.size(sims) + 1
 
-    def valley(s, x):
-        here = x.i + 1
-        cut = (x.sim < threshold) & (here - s.last >= least)
-        return F.when(cut, F.struct(here.alias("last"), F.array_append(s.ends, here).alias("ends"))).otherwise(s)
+    def bounds(sims, threshold):
+        def valley(s, x):
+            here = x.i + 1
+            cut = (x.sim < threshold) & (here - s.last >= least)
+            return F.when(cut, F.struct(here.alias("last"), F.array_append(s.ends, here).alias("ends"))).otherwise(s)
 
-    indexed = F.transform(sims, lambda v, i: F.struct(v.alias("sim"), i.alias("i")))
-    valleys = F.aggregate(indexed, F.struct(F.lit(0).alias("last"), ints.alias("ends")), valley, lambda s: s.ends)
+        indexed = F.transform(sims, lambda v, i: F.struct(v.alias("sim"), i.alias("i")))
+        valleys = F.aggregate(indexed, F.struct(F.lit(0).alias("last"), ints.alias("ends")), valley, lambda s: s.ends)
 
-    def run(s, b):
-        # a run of b - last sentences needs fewer cuts than this
-        tries = F.sequence(F.lit(1), F.floor((b - s.last) / least).cast("int") + 1)
+        def run(s, b):
+            # a run of b - last sentences needs fewer cuts than this
+            tries = F.sequence(F.lit(1), F.floor((b - s.last) / least).cast("int") + 1)
 
-        def force(t, _):
-            window = F.slice(sims, t.last + least, most - least + 1)
-            at = F.array_position(window, F.array_min(window)).cast("int")
-            cut = t.last + least - 1 + at
-            too_long = (b - t.last > most) & (F.size(window) > 0)
-            return F.when(too_long, F.struct(cut.alias("last"), F.array_append(t.ends, cut).alias("ends"))).otherwise(t)
+            def force(t, _):
+                window = F.slice(sims, t.last + least, most - least)
+                at = let(window, lambda w: F.array_position(w, F.array_min(w)).cast("int"))
+                # NULL when the window is empty: nothing is left to cut
+                cut = F.when(b - t.last > most, t.last + least - 1 + F.nullif(at, F.lit(0)))
+                return let(cut, lambda c: F.when(c.isNotNull(), F.struct(
+                    c.alias("last"), F.array_append(t.ends, c).alias("ends"))).otherwise(t))
 
-        forced = F.aggregate(tries, s, force)
-        return F.struct(b.alias("last"), F.array_append(forced.ends, b).alias("ends"))
+            forced = F.aggregate(tries, s, force)
+            return F.struct(b.alias("last"), F.array_append(forced.ends, b).alias("ends"))
 
-    every = F.array_append(valleys, n)
-    return F.aggregate(every, F.struct(F.lit(0).alias("last"), ints.alias("ends")), run, lambda s: s.ends)
+        every = F.array_append(valleys, F.size(sims) + 1)
+        return F.aggregate(every, F.struct(F.lit(0).alias("last"), ints.alias("ends")), run, lambda s: s.ends)
+
+    return let(similarities, lambda sims: let(_threshold(sims), lambda limit: bounds(sims, limit)))
 
 
 def segments(sentences: Column, bounds: Column) -> Column:
     """Sentences joined between consecutive bounds."""
-    def piece(b, i):
-        start = F.when(i == 0, F.lit(0)).otherwise(F.get(bounds, i - 1))
-        return F.array_join(F.slice(sentences, start + 1, F.greatest(b - start, F.lit(0))), "")
-    return F.filter(F.transform(bounds, piece), lambda t: t != "")
+    def joined(texts, ends):
+        starts = F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.size(ends) - 1))
+        pieces = F.zip_with(starts, ends, lambda a, b: F.array_join(
+            F.slice(texts, a + 1, F.greatest(b - a, F.lit(0))), ""))
+        return F.filter(pieces, lambda t: t != "")
+    return let(sentences, lambda texts: let(bounds, lambda ends: joined(texts, ends)))
+
+
+def semantic_units(sentences: Column, vectors: Column) -> Column:
+    """Segments of a chapter; its sentences themselves when there are fewer than six."""
+    return F.when(F.size(sentences) < rules.SEGMENT_MIN * 2, sentences).otherwise(
+        segments(sentences, segment_bounds(adjacent_similarity(vectors))))
 
 
 def segment_semantic(chapters: DataFrame, sentences: str = "sentences", vectors: str | None = None,
@@ -147,15 +157,7 @@ def segment_semantic(chapters: DataFrame, sentences: str = "sentences", vectors:
     hashing encoder is used.  Fewer than six sentences are packed directly.
     """
     vector = F.transform(sentences, hashed_vector) if vectors is None else F.col(vectors)
-    short = F.size(sentences) < rules.SEGMENT_MIN * 2
-    # staged columns, so that each array is computed once per row
-    staged = chapters.withColumn("_vec", F.when(~short, vector))
-    staged = staged.withColumn("_sims", adjacent_similarity(F.col("_vec")))
-    staged = staged.withColumn("_limit", _threshold(F.col("_sims")))
-    staged = staged.withColumn("_ends", segment_bounds(F.col("_sims"), F.col("_limit")))
-    staged = staged.withColumn("_units", F.when(short, F.col(sentences)).otherwise(
-        segments(F.col(sentences), F.col("_ends"))))
-    return staged.withColumn("chunks", pack_greedy(F.col("_units"), base)).select(*chapters.columns, "chunks")
+    return chapters.withColumn("chunks", pack_greedy(semantic_units(F.col(sentences), vector), base))
 
 
 # --- windows and whole papers -----------------------------------------------
@@ -166,11 +168,14 @@ def sliding_chunks(text: Column, size: int = rules.WINDOW_SIZE, overlap: int = r
         raise ValueError("size must be positive")
     if overlap < 0 or overlap >= size:
         overlap = max(0, min(overlap, size - 1))
-    n = F.length(text)
-    starts = F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(size - overlap))
-    windows = F.transform(starts, lambda p, i: F.struct(
-        i.alias("chunk_index"), p.alias("offset_start"), text.substr(p + 1, F.lit(size)).alias("chunk_text")))
-    return F.when(n > 0, windows)
+
+    def windows(t):
+        n = F.length(t)
+        starts = F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(size - overlap))
+        return F.when(n > 0, F.transform(starts, lambda p, i: F.struct(
+            i.alias("chunk_index"), p.alias("offset_start"), t.substr(p + 1, F.lit(size)).alias("chunk_text"))))
+
+    return let(text, windows)
 
 
 CHUNK_COLUMNS = ("chunk_id", "paper_id", "chunk_index", "paragraph_index", "offset_start", "chunk_text",
@@ -203,8 +208,8 @@ def chunk_papers(docs: DataFrame, method: str = "semantic", vectors: str | None
         label = "semantic_boundary"
     else:
         raise ValueError(f"unknown method {method}")
-    pieces = packed.withColumn("_pieces", F.flatten(F.transform("chapters", lambda c, i: F.transform(
-        F.get("_texts", i), lambda t: F.struct(
+    pieces = packed.withColumn("_pieces", F.flatten(F.zip_with("chapters", "_texts", lambda c, texts: F.transform(
+        texts, lambda t: F.struct(
             strip(t).alias("text"), c.title.alias("title"), c.chapter_index.alias("chapter_index"),
             c.section_role.alias("role"), c.tag_confidence.alias("confidence"))))))
     pieces = pieces.withColumn("_pieces", F.filter("_pieces", lambda p: p.text != ""))
@@ -232,16 +237,9 @@ def chapter_sentences(chapters: Column) -> Column:
 
 def _semantic_texts(chaptered: DataFrame, vectors: str | None, base: int) -> DataFrame:
     """Semantic chunks of every chapter, as nested arrays in the document row."""
-    staged = chaptered.withColumn("_sents", chapter_sentences(F.col("chapters")))
-
-    def vector_list(s):
-        return F.when(F.size(s) >= rules.SEGMENT_MIN * 2, F.transform(s, hashed_vector))
-
-    own = F.transform("_sents", vector_list) if vectors is None else F.col(vectors)
-    staged = staged.withColumn("_vecs", own)
-    staged = staged.withColumn("_sims", F.transform("_vecs", adjacent_similarity))
-    staged = staged.withColumn("_limits", F.transform("_sims", _threshold))
-    staged = staged.withColumn("_ends", F.transform("_sims", lambda s, i: segment_bounds(s, F.get("_limits", i))))
-    staged = staged.withColumn("_units", F.transform("_sents", lambda s, i: F.when(
-        F.size(s) < rules.SEGMENT_MIN * 2, s).otherwise(segments(s, F.get("_ends", i)))))
-    return staged.withColumn("_texts", F.transform("_units", lambda u: pack_greedy(u, base)))
+    sentences = chapter_sentences(F.col("chapters"))
+    if vectors is None:
+        texts = F.transform(sentences, lambda s: pack_greedy(semantic_units(s, F.transform(s, hashed_vector)), base))
+    else:
+        texts = F.zip_with(sentences, F.col(vectors), lambda s, v: pack_greedy(semantic_units(s, v), base))
+    return chaptered.withColumn("_texts", texts)

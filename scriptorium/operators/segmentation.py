@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions.text import SPACE, contains_any, strip
+from ..functions.text import SPACE, contains_any, let, strip
 
 _CN = rules.CN_NUMERALS
 
@@ -30,17 +30,25 @@ def clean_paragraphs(text: Column, keep_noise: bool = False) -> Column:
     return F.filter(lines, lambda p: (p != "") if keep_noise else ((p != "") & ~is_noise(p)))
 
 
+def _first_with(paras: Column, words) -> Column:
+    """Position of the first paragraph holding one of the words."""
+    return F.aggregate(
+        F.transform(paras, lambda p, i: F.when(contains_any(p, words), i)),
+        F.lit(None).cast("int"), lambda a, x: F.coalesce(a, x))
+
+
 def design_section(paras: Column) -> Column:
     """From the first start line up to the next line with an end marker."""
-    start = F.aggregate(
-        F.transform(paras, lambda p, i: F.when(contains_any(p, rules.DESIGN_START), i)),
-        F.lit(None).cast("int"), lambda a, x: F.coalesce(a, x))
-    tail = F.slice(paras, start + 2, F.size(paras))
-    length = F.aggregate(
-        F.transform(tail, lambda p, i: F.when(contains_any(p, rules.DESIGN_END), i)),
-        F.lit(None).cast("int"), lambda a, x: F.coalesce(a, x))
-    section = F.slice(paras, start + 1, F.coalesce(length, F.size(tail)) + 1)
-    return F.when(start.isNull(), F.lit("")).otherwise(strip(F.array_join(section, "\n")))
+    def from_start(ps):
+        return let(_first_with(ps, rules.DESIGN_START), lambda start: F.when(start.isNotNull(), let(
+            F.slice(ps, start + 1, F.size(ps)), up_to_end)).otherwise(F.lit("")))
+
+    def up_to_end(section):
+        after = F.slice(section, 2, F.size(section))
+        length = F.coalesce(_first_with(after, rules.DESIGN_END), F.size(after)) + 1
+        return strip(F.array_join(F.slice(section, 1, length), "\n"))
+
+    return let(paras, from_start)
 
 
 # --- headings ---------------------------------------------------------------
@@ -94,14 +102,17 @@ def heading_ordinal(t: Column) -> Column:
 
 def toc_mask(flags: Column) -> Column:
     """True inside runs of three or more heading-like paragraphs."""
-    n = F.size(flags)
+    def mask(fs):
+        n = F.size(fs)
+
+        def at(i):
+            return F.when((i >= 0) & (i < n), F.get(fs, i)).otherwise(F.lit(False))
 
-    def at(i):
-        return F.when((i >= 0) & (i < n), F.get(flags, i)).otherwise(F.lit(False))
+        # a position is in a run of three when one of the three windows over it is full
+        return F.transform(fs, lambda f, i: f & (
+            (at(i - 2) & at(i - 1)) | (at(i - 1) & at(i + 1)) | (at(i + 1) & at(i + 2))))
 
-    # a position is in a run of three when one of the three windows over it is full
-    return F.transform(flags, lambda f, i: f & (
-        (at(i - 2) & at(i - 1)) | (at(i - 1) & at(i + 1)) | (at(i + 1) & at(i + 2))))
+    return let(flags, mask)
 
 
 def _accepted(candidates: Column) -> Column:
@@ -155,34 +166,48 @@ def split_chapters(docs: DataFrame, paras: str = "paras") -> DataFrame:
     and headings out of sequence are body text.  A group is dropped while the
     document has no body text yet, unless it is the last one.
     """
-    marked = detect_headings(docs, paras)
-    marked = marked.withColumn("_toc", toc_mask(F.col("is_heading")))
-    numbered = marked.withColumn("_cand", F.filter(
-        F.transform(paras, lambda p, i: F.when(
-            F.get("is_heading", i) & ~F.get("_toc", i),
-            F.struct(i.alias("pos"), strip(p).alias("title"), heading_ordinal(strip(p)).alias("ordinal")))),
-        lambda c: c.isNotNull()))
-    accepted = numbered.withColumn("_at", _accepted(F.col("_cand")))
-    n, m, at = F.size(paras), F.size("_at"), F.col("_at")
+    return docs.withColumn("chapters", let(F.col(paras), _chapters))
+
+
+def _chapters(paras: Column) -> Column:
+    flags = F.transform(paras, lambda p: is_heading(strip(p)))
+    return let(flags, lambda heads: let(_candidates(paras, heads, toc_mask(heads)), lambda found: let(
+        _accepted(found), lambda at: let(_groups(paras, at), _labelled))))
+
+
+def _candidates(paras: Column, heads: Column, in_toc: Column) -> Column:
+    """Heading positions outside contents runs, with their numbering."""
+    usable = F.zip_with(heads, in_toc, lambda h, t: h & ~t)
+    marked = F.zip_with(usable, F.transform(paras, lambda p, i: F.struct(i.alias("pos"), p.alias("para"))),
+                        lambda ok, x: F.when(ok, x))
+    return F.transform(F.array_compact(marked), lambda x: F.struct(
+        x.pos.alias("pos"), heading_ordinal(strip(x.para)).alias("ordinal")))
+
+
+def _groups(paras: Column, at: Column) -> Column:
+    """Title and body of each group that counts as a chapter."""
+    n, m = F.size(paras), F.size(at)
 
     def group(g):
         start = F.when(g == 0, F.lit(0)).otherwise(F.get(at, g - 1) + 1)
         end = F.when(g < m, F.get(at, g)).otherwise(n)
-        title = F.when(g == 0, F.lit(rules.FRONT_MATTER)).otherwise(strip(F.get(F.col(paras), F.get(at, g - 1))))
+        title = F.when(g == 0, F.lit(rules.FRONT_MATTER)).otherwise(strip(F.get(paras, F.get(at, g - 1))))
         # paragraphs so far = positions before the end, less the headings among them
         keep = F.when(g == m, (g > 0) | (n > 0)).otherwise(end - g > 0)
         return F.when(keep, F.struct(title.alias("title"), F.slice(paras, start + 1, end - start).alias("paras")))
 
-    grouped = accepted.withColumn("_groups", F.array_compact(
-        F.transform(F.sequence(F.lit(0), m), group)))
-    total = F.size("_groups")
+    return F.array_compact(F.transform(F.sequence(F.lit(0), m), group))
+
+
+def _labelled(groups: Column) -> Column:
+    total = F.size(groups)
 
-    def labelled(c, i):
+    def label(c, i):
         role, confidence = chapter_role(c.title, i, total)
         return F.struct(i.alias("chapter_index"), c.title.alias("title"), c.paras.alias("paras"),
                         role.alias("section_role"), confidence.alias("tag_confidence"))
 
-    return grouped.withColumn("chapters", F.transform("_groups", labelled)).select(*docs.columns, "chapters")
+    return F.transform(groups, label)
 
 
 def chapter_rows(chaptered: DataFrame, key: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import split_multi, strip, tokenize
+from ..functions.text import let, split_multi, strip, tokenize
 from ..scale import SCORE_DIGITS, top_k
 
 
@@ -61,13 +61,12 @@ def journal_distribution(papers: DataFrame, n: int = 20) -> DataFrame:
 
 def keyword_pairs(keywords: Column) -> Column:
     """Every unordered pair of distinct keywords of one paper, a < b."""
-    words = F.array_sort(F.array_distinct(keywords))
-    return F.flatten(F.transform(
+    return let(F.array_sort(F.array_distinct(keywords)), lambda words: F.flatten(F.transform(
         words,
         lambda a, i: F.transform(
             F.slice(words, i + 2, F.size(words)),
             lambda b: F.struct(a.alias("a"), b.alias("b"))),
-    ))
+    )))
 
 
 def keyword_cooccurrence(papers: DataFrame, n: int = 30) -> DataFrame:
