@@ -198,12 +198,12 @@ def _state(done, buf):
 
 def d_fold(units):
     """Packing fold over a list of {done, buf, over} structs, with the tail rule."""
-    merged = "length(s.buf) + length(u.buf)"
-    flushed = "case when s.buf = '' then s.done else list_append(s.done, s.buf) end"
+    merged = "length(st.buf) + length(un.buf)"
+    flushed = "case when st.buf = '' then st.done else list_append(st.done, st.buf) end"
     fold = (
-        f"list_reduce({units}, lambda s, u: case when u.over then {_state(f'list_concat({flushed}, u.done)', chr(39) * 2)} "
-        f"when s.buf = '' or {merged} <= 500 or ({merged} <= 620 and abs({merged} - 500) <= abs(length(s.buf) - 500)) "
-        f"then {_state('s.done', 's.buf || u.buf')} else {_state('list_append(s.done, s.buf)', 'u.buf')} end, "
+        f"list_reduce({units}, lambda st, un: case when un.over then {_state(f'list_concat({flushed}, un.done)', chr(39) * 2)} "
+        f"when st.buf = '' or {merged} <= 500 or ({merged} <= 620 and abs({merged} - 500) <= abs(length(st.buf) - 500)) "
+        f"then {_state('st.done', 'st.buf || un.buf')} else {_state('list_append(st.done, st.buf)', 'un.buf')} end, "
         f"{_state('[]::varchar[]', chr(39) * 2)})")
     finish = (
         "lambda r: case when r.buf = '' then r.done when len(r.done) > 0 and length(r.buf) < 120 and "
@@ -288,7 +288,7 @@ def hashed_ctes(name, source, keys, text):
     )
 
 
-@check("embed_texts", "select doc_id, dim, round(val, 6) val from vec where abs(val) > 0", (),
+@check("embed_texts", "select doc_id, dim, round(val::float::double, 6) val from vec where abs(val) > 0", (),
        hashed_ctes("vec", "documents", "doc_id", "text"))
 def _(d):
     vectors = embed_texts(d.documents, "text", "vector").select("doc_id", F.posexplode("vector").alias("dim", "val"))

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from .. import rules
 from ..functions.text import cut, split_keywords, strip
 from ..functions.vectors import cosine
-from ..scale import SCORE_DIGITS
+from ..scale import SCORE_DIGITS, top_k
 from .ranking import matched_by
 
 FULL, PART = 5, 3
@@ -55,9 +55,9 @@ def pack_evidence(selected: DataFrame, papers: DataFrame, chunks: DataFrame, que
         "_score", F.when(vector, cosine("embedding", "q_vec")).otherwise(F.lit(0.0)))
     weight = F.when(vector, F.round("_score", SCORE_DIGITS)).otherwise(
         F.octet_length(F.coalesce("chunk_text", F.lit(""))).cast("double"))
-    best = Window.partitionBy("query_id", "paper_id").orderBy(weight.desc(), F.col("chunk_index"), F.col("chunk_id"))
-    taken = scored.drop("embedding", "q_vec").withColumn("_n", F.row_number().over(best)).filter(
-        F.col("_n") <= per_paper)
+    order = [F.col("_weight").desc(), F.col("chunk_index"), F.col("chunk_id")]
+    taken = top_k(scored.withColumn("_weight", weight).drop("embedding", "q_vec"), ["query_id", "paper_id"], order,
+                  per_paper, ["chunk_id"], "_n")
     # at most a handful of papers times per_paper rows per query from here on
     numbered = taken.withColumn("ref_id", F.row_number().over(
         Window.partitionBy("query_id").orderBy("rank", "paper_id", "_n")))

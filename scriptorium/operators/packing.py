@@ -117,7 +117,7 @@ def segment_bounds(similarities: Column, least: int = rules.SEGMENT_MIN, most: i
             tries = F.sequence(F.lit(1), F.floor((b - s.last) / least).cast("int") + 1)
 
             def force(t, _):
-                window = F.slice(sims, t.last + least, most - least)
+                window = F.slice(sims, t.last + least, most - least + 1)
                 at = let(window, lambda w: F.array_position(w, F.array_min(w)).cast("int"))
                 # NULL when the window is empty: nothing is left to cut
                 cut = F.when(b - t.last > most, t.last + least - 1 + F.nullif(at, F.lit(0)))
@@ -156,7 +156,7 @@ def segment_semantic(chapters: DataFrame, sentences: str = "sentences", vectors:
     `vectors` names a column of unit vectors, one per sentence; without it the
     hashing encoder is used.  Fewer than six sentences are packed directly.
     """
-    vector = F.transform(sentences, hashed_vector) if vectors is None else F.col(vectors)
+    vector = F.transform(sentences, lambda t: hashed_vector(t)) if vectors is None else F.col(vectors)
     return chapters.withColumn("chunks", pack_greedy(semantic_units(F.col(sentences), vector), base))
 
 
@@ -239,7 +239,7 @@ def _semantic_texts(chaptered: DataFrame, vectors: str | None, base: int) -> Dat
     """Semantic chunks of every chapter, as nested arrays in the document row."""
     sentences = chapter_sentences(F.col("chapters"))
     if vectors is None:
-        texts = F.transform(sentences, lambda s: pack_greedy(semantic_units(s, F.transform(s, hashed_vector)), base))
+        texts = F.transform(sentences, lambda s: pack_greedy(semantic_units(s, F.transform(s, lambda t: hashed_vector(t))), base))
     else:
         texts = F.zip_with(sentences, F.col(vectors), lambda s, v: pack_greedy(semantic_units(s, v), base))
     return chaptered.withColumn("_texts", texts)

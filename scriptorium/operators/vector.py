@@ -15,10 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pyspark.sql.window import Window
-
 from ..functions.vectors import cosine
-from ..scale import SCORE_DIGITS, by_score, is_small, top_k
+from ..scale import SCORE_DIGITS, by_score, global_rank, is_small, top_k
 from .scopes import Scopes
 
 QUERY_BLOCK = 2048
@@ -176,6 +174,5 @@ def rank_chunks(chunks: DataFrame, requests: DataFrame) -> DataFrame:
     joined = chunks.select("chunk_id", "paper_id", "chunk_index", "embedding").join(requests, "paper_id")
     scored = joined.withColumn(
         "score", F.when(F.col("q_vec").isNull(), F.lit(0.0)).otherwise(cosine("embedding", "q_vec")))
-    order = Window.partitionBy("query_id", "paper_id").orderBy(
-        F.round("score", SCORE_DIGITS).desc(), F.col("chunk_index"), F.col("chunk_id"))
-    return scored.withColumn("rank", F.row_number().over(order)).drop("embedding", "q_vec")
+    order = [F.round("score", SCORE_DIGITS).desc(), F.col("chunk_index").asc(), F.col("chunk_id").asc()]
+    return global_rank(scored.drop("embedding", "q_vec"), ["query_id", "paper_id"], order)
