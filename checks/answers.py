@@ -63,7 +63,7 @@ def _(d):
     refs = F.array_join(F.transform("chunks", lambda c: F.concat(
         c.ref_id.cast("string"), F.lit("="), c.chunk_id, F.lit("="), c.section_role)), "|")
     return evidence(d).select("query_id", "paper_id", "rank", "title", "top_chunk_text",
-                              r6("relevance_score", "relevance_score"), refs.alias("refs"))
+                              r6("relevance_score", "relevance_score"), F.nullif(refs, F.lit("")).alias("refs"))
 
 
 @check("pack_evidence_by_length",
@@ -102,7 +102,7 @@ def _(d):
        "left join v_hits v on v.query_id = e.query_id and v.paper_id = e.paper_id", VIEWS, EVIDENCE)
 def _(d):
     words, vectors = arms(d)
-    selected = ev.select_evidence(golden(d))
+    selected = ev.select_evidence(precision_filter(rrf_fuse(words, vectors)))
     packed = ev.pack_evidence(selected, d.papers, d.chunks, d.queries, 3)
     return ev.qa_references(packed, selected, words, vectors).withColumn("score", F.round("score", 6))
 

@@ -13,6 +13,7 @@ from scriptorium.operators.bm25 import bm25_search
 from scriptorium.operators.facets import facets
 from scriptorium.operators.fusion import rrf_fuse
 from scriptorium.operators.vector import chunks_to_papers, vector_search
+from scriptorium.scale import cut_lineage
 from scriptorium.sources.index import build_index, build_term_stats
 
 from .registry import (
@@ -260,8 +261,9 @@ ARMS = (*WORDS, ranked_cte("w_hits", "w_scores", 200), *vector_ctes("v", "querie
 
 
 def arms(d, k=200):
-    words = word_hits(d, k)
-    return words, chunks_to_papers(vector_search(d.chunks, d.queries, None, 0.2, 200), 200)
+    """Both ranked lists, stored once because most checks read them several times."""
+    near = chunks_to_papers(vector_search(d.chunks, d.queries, None, 0.2, 200), 200)
+    return cut_lineage(word_hits(d, k)), cut_lineage(near)
 
 
 @check("chunks_to_papers", HITS_SQL.format("v_hits"), ("chunks", "queries"), vector_ctes("v", "queries", 0.2))

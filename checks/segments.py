@@ -283,7 +283,7 @@ def hashed_ctes(name, source, keys, text):
         f"{name}_codes as (select {keys}, {_HEX} % 64 dim, case when substr(md5(w), 8, 1) < '8' then 1 else -1 end s "
         f"from (select {keys}, unnest({d_tok(text)}) w from {source}))",
         f"{name}_sums as (select {keys}, dim, sum(s)::double v from {name}_codes group by all)",
-        f"{name} as materialized (select {keys}, dim, v / sqrt(sum(v * v) over (partition by {keys})) val "
+        f"{name} as materialized (select {keys}, dim, v / nullif(sqrt(sum(v * v) over (partition by {keys})), 0) val "
         f"from {name}_sums)",
     )
 
@@ -305,10 +305,10 @@ SEMANTIC = (
     *hashed_ctes("vec", "sent_rows", "doc_id, chapter_index, n", "sentence"),
     "near as (select a.doc_id, a.chapter_index, a.n, sum(a.val * b.val) d from vec a join vec b on b.doc_id = a.doc_id "
     "and b.chapter_index = a.chapter_index and b.n = a.n + 1 and b.dim = a.dim group by all)",
-    "sims as materialized (select r.doc_id, r.chapter_index, list(round(coalesce(d, 0), 6) order by r.n) sims from "
+    "sims as materialized (select r.doc_id, r.chapter_index, list(round(coalesce(d, 0), 12) order by r.n) sims from "
     "sent_rows r join sents s on s.doc_id = r.doc_id and s.chapter_index = r.chapter_index left join near e on "
     "e.doc_id = r.doc_id and e.chapter_index = r.chapter_index and e.n = r.n where r.n < len(s.s) - 1 group by all)",
-    "limits as (select *, round(list_avg(sims) - list_stddev_pop(sims), 6) lim, len(sims) + 1 total from sims)",
+    "limits as (select *, round(list_avg(sims) - list_stddev_pop(sims), 12) lim, len(sims) + 1 total from sims)",
     """valleys as (select *, list_reduce(list_transform(range(len(sims)), lambda i: {'last': i + 1, 'ends': case when
       sims[i + 1] < lim then [i + 1] else []::bigint[] end}), lambda a, x: case when len(x.ends) > 0 and
       x.last - a.last >= 3 then {'last': x.last, 'ends': list_concat(a.ends, x.ends)} else a end,

@@ -71,6 +71,8 @@ select doc_id, list_transform(range(len(l)), lambda pos: case when pos % 4 = 0
 from (select doc_id, string_split(text, chr(10)) l from documents)
 """
 
+_SPLITS: dict[tuple[str, int], int] = {}
+
 VIEWS = {"papers": PAPERS, "chunks": CHUNKS, "queries": QUERIES, "history": HISTORY, "para_docs": None}
 
 
@@ -88,8 +90,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table, spread over all cores when the file has too few splits."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if name == "documents" and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
+    if name == "documents":
+        key = (sf_dir, cores)
+        if key not in _SPLITS:
+            _SPLITS[key] = df.rdd.getNumPartitions()
+        if _SPLITS[key] < cores:
+            return df.repartition(cores)
     return df
 
 

@@ -3,4 +3,4 @@ from .text import (  # noqa: F401
     extract_journal, extract_year, split_authors, split_keywords, split_multi,
     strip, to_int_year, tokenize,
 )
-from .vectors import cosine, hashed_vector  # noqa: F401
+from .vectors import add_hashed_vectors, cosine  # noqa: F401

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.text import tokenize
-from ..scale import by_score, small_join, top_k
+from ..scale import by_score, is_small, small_join, top_k
 from ..sources.index import Index
 from .scopes import within_scope
 
@@ -44,7 +44,8 @@ def query_terms(queries: DataFrame, text: str = "q", fields: str = "all", weight
 
 def bm25_scores(index: Index, terms: DataFrame) -> DataFrame:
     """All (query_id, paper_id, score, matched_fields) with a positive score."""
-    found, stats = index.matching(terms)
+    fits = is_small(terms)
+    found, stats = index.matching(terms, fits)
     lengths = index.field_stats.filter(F.col("avgdl") > 0)
     # five rows at most, one per field
     stats = stats.join(F.broadcast(lengths), "field")
@@ -53,7 +54,7 @@ def bm25_scores(index: Index, terms: DataFrame) -> DataFrame:
                F.when(F.col("title_active"), 1 << len(rules.FIELDS)).otherwise(0))
     weighted = terms.join(stats, ["field", "term"]).select(
         "query_id", "field", "term", bits.alias("bits"), "avgdl", (F.col("weight") * idf).alias("factor"))
-    hits = small_join(found, weighted, ["field", "term"], spread_by=["paper_id"], probe=terms)
+    hits = small_join(found, weighted, ["field", "term"], spread_by=["paper_id"], fits=fits)
     k1, b, tf = rules.BM25_K1, rules.BM25_B, F.col("tf")
     part = F.col("factor") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     # one bit per matched field, one for "title takes part": a single small aggregate

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import DIMENSIONS, hashed_vector
+from ..functions.vectors import DIMENSIONS, add_hashed_vectors
 
 Encoder = Callable[[list[str]], Iterable]
 
@@ -31,7 +31,8 @@ def embed_texts(df: DataFrame, text: str = "chunk_text", output: str = "embeddin
     batch that fails leaves NULL vectors, so its rows stay searchable by words.
     """
     if encoder_factory is None:
-        return df.withColumn(output, hashed_vector(text, DIMENSIONS).cast("array<float>"))
+        return add_hashed_vectors(df, text, output, DIMENSIONS).withColumn(
+            output, F.col(output).cast("array<float>"))
 
     @F.pandas_udf("array<float>")
     def encode(frames: Iterable[pd.Series]) -> Iterable[pd.Series]:

@@ -21,15 +21,12 @@ def select_evidence(golden: DataFrame) -> DataFrame:
 
     Only ranks 1 to 5 decide, so longer lists are cut before the shuffle.
     """
-    head = golden.filter(F.col("rank") <= FULL)
-    facts = head.groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("_second"),
-        F.max(F.when(F.col("rank") == 3, F.col("score"))).alias("_third"))
-    enough = (F.col("_n") >= FULL) & ~(F.col("_third") < F.col("_second") * CLIFF)
-    decided = facts.select("query_id", enough.alias("evidence_sufficient"))
-    joined = head.join(decided, "query_id")
-    return joined.filter(F.col("evidence_sufficient") | (F.col("rank") <= PART))
+    # five rows per query at most
+    whole = Window.partitionBy("query_id")
+    at = {r: F.max(F.when(F.col("rank") == r, F.col("score"))).over(whole) for r in (2, 3)}
+    enough = (F.count(F.lit(1)).over(whole) >= FULL) & ~(at[3] < at[2] * CLIFF)
+    head = golden.filter(F.col("rank") <= FULL).withColumn("evidence_sufficient", enough)
+    return head.filter(F.col("evidence_sufficient") | (F.col("rank") <= PART))
 
 
 def pack_evidence(selected: DataFrame, papers: DataFrame, chunks: DataFrame, query_vecs: DataFrame,
@@ -44,14 +41,14 @@ def pack_evidence(selected: DataFrame, papers: DataFrame, chunks: DataFrame, que
     per_paper = max(per_paper, 1)
     if top_papers > 0:
         selected = selected.filter(F.col("rank") <= top_papers)
-    asked = selected.select("query_id", "paper_id", "rank").join(
-        query_vecs.select("query_id", "q_vec"), "query_id", "left")
+    asked = selected.join(query_vecs.select("query_id", "q_vec"), "query_id", "left")
     title = F.col("chapter_title") if "chapter_title" in chunks.columns else F.lit("")
     usable = chunks.filter(F.coalesce("section_role", F.lit("")) != rules.ROLE_OTHER).select(
         "paper_id", "chunk_id", "chunk_index", "chunk_text", "section_role", title.alias("chapter_title"),
         "embedding")
     vector = F.coalesce(F.size("q_vec"), F.lit(0)) > 0
-    scored = usable.join(asked, "paper_id").withColumn(
+    # left join: a paper without a usable chunk keeps its row
+    scored = asked.join(usable, "paper_id", "left").withColumn(
         "_score", F.when(vector, cosine("embedding", "q_vec")).otherwise(F.lit(0.0)))
     weight = F.when(vector, F.round("_score", SCORE_DIGITS)).otherwise(
         F.octet_length(F.coalesce("chunk_text", F.lit(""))).cast("double"))
@@ -59,16 +56,21 @@ def pack_evidence(selected: DataFrame, papers: DataFrame, chunks: DataFrame, que
     taken = top_k(scored.withColumn("_weight", weight).drop("embedding", "q_vec"), ["query_id", "paper_id"], order,
                   per_paper, ["chunk_id"], "_n")
     # at most a handful of papers times per_paper rows per query from here on
-    numbered = taken.withColumn("ref_id", F.row_number().over(
-        Window.partitionBy("query_id").orderBy("rank", "paper_id", "_n")))
+    running = Window.partitionBy("query_id").orderBy("rank", "paper_id", "_n").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    numbered = taken.withColumn("ref_id", F.count("chunk_id").over(running).cast("int"))
     entry = F.struct(
         "ref_id", "chunk_id", "chunk_index", F.coalesce("chunk_text", F.lit("")).alias("text"),
         F.coalesce("section_role", F.lit("")).alias("section_role"),
         F.coalesce("chapter_title", F.lit("")).alias("chapter_title"), F.col("_score").alias("score"))
+    best = F.col("_n") == 1
+    carried = [c for c in selected.columns if c not in ("query_id", "paper_id")]
     grouped = numbered.groupBy("query_id", "paper_id").agg(
-        F.array_sort(F.collect_list(entry)).alias("chunks"),
-        F.max(F.when(F.col("_n") == 1, F.coalesce("chunk_text", F.lit("")))).alias("top_chunk_text"),
-        F.max(F.when(F.col("_n") == 1, F.col("_score"))).alias("relevance_score"))
+        F.array_sort(F.collect_list(F.when(F.col("chunk_id").isNotNull(), entry))).alias("chunks"),
+        F.coalesce(F.max(F.when(best, F.col("chunk_text"))), F.lit("")).alias("top_chunk_text"),
+        F.coalesce(F.max(F.when(best & F.col("chunk_id").isNotNull(), F.col("_score"))), F.lit(0.0)).alias(
+            "relevance_score"),
+        *[F.first(c).alias(c) for c in carried])
     if per_paper < 2:
         grouped = grouped.withColumn("chunks", F.slice("chunks", 1, 0))
     text = ["title", "doi", "author", "keywords", "abstract", "research_design_text"]
@@ -76,11 +78,7 @@ def pack_evidence(selected: DataFrame, papers: DataFrame, chunks: DataFrame, que
         "paper_id", *[F.coalesce(c, F.lit("")).alias(c) for c in text],
         F.coalesce("source_journal", F.lit("")).alias("journal"),
         F.coalesce("publish_year", F.lit(0)).alias("publish_year"))
-    base = selected.join(shown, "paper_id").join(grouped, ["query_id", "paper_id"], "left")
-    return base.withColumns({
-        "top_chunk_text": F.coalesce("top_chunk_text", F.lit("")),
-        "relevance_score": F.coalesce("relevance_score", F.lit(0.0)),
-    })
+    return grouped.join(shown, "paper_id")
 
 
 def pasted_evidence(requests: DataFrame) -> DataFrame:

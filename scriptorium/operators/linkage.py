@@ -6,31 +6,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_key, strip
+from ..scale import cut_lineage
 
 GRAM = 4
+CANDIDATES = 8
 
 
 def _grams(text, size: int):
-    n = F.length(text)
-    return F.when(n >= size, F.array_distinct(F.transform(
-        F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(text, i, F.lit(size)))))
+    """Distinct overlapping pieces; one regular-expression pass over the text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
 def _contained(needles: DataFrame, hays: DataFrame) -> DataFrame:
     """(needle, hay) where the needle is a substring, both columns distinct.
 
     Blocking is exact: a hay must hold every gram of the needle, so the pair is
-    looked up by the needle's rarest gram only.  A needle shorter than a gram
-    is its own gram.
+    looked up by one gram only, the rarest of a few.  Needles shorter than a
+    gram are looked up whole among grams of their own length.
     """
-    sizes = list(range(1, GRAM + 1))
-    short = F.col("needle")
-    wanted = needles.withColumn("gram", F.explode(
-        F.when(F.length(short) < GRAM, F.array(short)).otherwise(_grams(short, GRAM))))
-    offered = hays.select("hay", F.explode(F.flatten(F.array_compact(F.array(
-        *[_grams(F.col("hay"), s) for s in sizes])))).alias("gram"))
-    # keep only the grams some needle asks for before anything is counted
-    offered = offered.join(wanted.select("gram").distinct(), "gram", "left_semi")
+    found = _by_gram(needles.filter(F.length("needle") >= GRAM), hays, GRAM)
+    for size in range(1, GRAM):
+        short = needles.filter(F.length("needle") == size)
+        if not short.isEmpty():
+            found = found.unionByName(_by_gram(short, hays, size))
+    return found
+
+
+def _by_gram(needles: DataFrame, hays: DataFrame, size: int) -> DataFrame:
+    keyed = F.transform(_grams(F.col("needle"), size), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))
+    # a few grams per needle, picked by hash, compete for the lowest frequency
+    wanted = needles.select("needle", F.explode(F.slice(F.array_sort(keyed), 1, CANDIDATES)).alias("k")).select(
+        "needle", F.col("k.g").alias("gram"))
+    offered = hays.select("hay", F.explode(_grams(F.col("hay"), size)).alias("gram"))
+    # read three times below; only grams that some needle asks for are left
+    offered = cut_lineage(offered.join(wanted.select("gram").distinct(), "gram", "left_semi"))
     frequency = offered.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = (
         wanted.join(frequency, "gram", "left")
@@ -56,12 +65,14 @@ def match_metadata(docs: DataFrame, rows: DataFrame, id_column: str = "paper_id"
         .filter(F.col("key") != "")
         .groupBy("key").agg(F.min("row_no").alias("first_row"), F.max("row_no").alias("last_row"))
     )
+    titles = cut_lineage(titles)
     keyed = docs.select(
         F.col(id_column).alias("paper_id"), clean_key(id_column).alias("id_key"),
         clean_key(hint_column).alias("hint_key"))
     by_hint = titles.select(F.col("key").alias("hint_key"), F.col("first_row").alias("_hint"))
     by_id = titles.select(F.col("key").alias("id_key"), F.col("last_row").alias("_id"))
-    exact = keyed.join(by_hint, "hint_key", "left").join(by_id, "id_key", "left")
+    # keys only, no texts: stored once for the branches below
+    exact = cut_lineage(keyed.join(by_hint, "hint_key", "left").join(by_id, "id_key", "left"))
     # distinct keys: copies of one document are linked once
     open_keys = exact.filter(
         F.col("_hint").isNull() & F.col("_id").isNull() & (F.col("id_key") != "")).select("id_key").distinct()

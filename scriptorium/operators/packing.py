@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.text import let, strip
-from ..functions.vectors import dot, hashed_vector
+from ..functions.vectors import add_hashed_similarity, dot
 from .segmentation import join_fragments, split_chapters, split_sentences
 
 _STRINGS = "array<string>"
+# similarities are compared after rounding, so equal ones stay equal
+SIM_DIGITS = 12
 
 
 def _none() -> Column:
@@ -87,7 +89,7 @@ def adjacent_similarity(vectors: Column) -> Column:
     def compare(vs):
         heads = F.slice(vs, 1, F.greatest(F.size(vs) - 1, F.lit(0)))
         return F.zip_with(heads, F.slice(vs, 2, F.size(vs)), lambda v, w: F.round(
-            F.coalesce(dot(v, w), F.lit(0.0)), 6))
+            F.coalesce(dot(v, w), F.lit(0.0)), SIM_DIGITS))
     return let(vectors, compare)
 
 
@@ -96,7 +98,7 @@ def _threshold(sims: Column) -> Column:
     def spread(m, values):
         return F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.size(values))
     return let(F.aggregate(sims, F.lit(0.0), lambda a, x: a + x) / F.size(sims),
-               lambda m: F.round(m - spread(m, sims), 6))
+               lambda m: F.round(m - spread(m, sims), SIM_DIGITS))
 
 
 def segment_bounds(similarities: Column, least: int = rules.SEGMENT_MIN, most: int = rules.SEGMENT_MAX) -> Column:
@@ -143,10 +145,10 @@ def segments(sentences: Column, bounds: Column) -> Column:
     return let(sentences, lambda texts: let(bounds, lambda ends: joined(texts, ends)))
 
 
-def semantic_units(sentences: Column, vectors: Column) -> Column:
+def semantic_units(sentences: Column, similarities: Column) -> Column:
     """Segments of a chapter; its sentences themselves when there are fewer than six."""
     return F.when(F.size(sentences) < rules.SEGMENT_MIN * 2, sentences).otherwise(
-        segments(sentences, segment_bounds(adjacent_similarity(vectors))))
+        segments(sentences, segment_bounds(F.transform(similarities, lambda v: F.round(v, SIM_DIGITS)))))
 
 
 def segment_semantic(chapters: DataFrame, sentences: str = "sentences", vectors: str | None = None,
@@ -156,8 +158,13 @@ def segment_semantic(chapters: DataFrame, sentences: str = "sentences", vectors:
     `vectors` names a column of unit vectors, one per sentence; without it the
     hashing encoder is used.  Fewer than six sentences are packed directly.
     """
-    vector = F.transform(sentences, lambda t: hashed_vector(t)) if vectors is None else F.col(vectors)
-    return chapters.withColumn("chunks", pack_greedy(semantic_units(F.col(sentences), vector), base))
+    if vectors is None:
+        staged = add_hashed_similarity(chapters, F.array(F.col(sentences)), "_sims")
+        sims = F.get("_sims", F.lit(0))
+    else:
+        staged, sims = chapters, adjacent_similarity(F.col(vectors))
+    units = semantic_units(F.col(sentences), sims)
+    return staged.withColumn("chunks", pack_greedy(units, base)).select(*chapters.columns, "chunks")
 
 
 # --- windows and whole papers -----------------------------------------------
@@ -237,9 +244,10 @@ def chapter_sentences(chapters: Column) -> Column:
 
 def _semantic_texts(chaptered: DataFrame, vectors: str | None, base: int) -> DataFrame:
     """Semantic chunks of every chapter, as nested arrays in the document row."""
-    sentences = chapter_sentences(F.col("chapters"))
+    staged = chaptered.withColumn("_sents", chapter_sentences(F.col("chapters")))
     if vectors is None:
-        texts = F.transform(sentences, lambda s: pack_greedy(semantic_units(s, F.transform(s, lambda t: hashed_vector(t))), base))
+        staged = add_hashed_similarity(staged, F.col("_sents"), "_sims")
     else:
-        texts = F.zip_with(sentences, F.col(vectors), lambda s, v: pack_greedy(semantic_units(s, v), base))
-    return chaptered.withColumn("_texts", texts)
+        staged = staged.withColumn("_sims", F.transform(F.col(vectors), lambda v: adjacent_similarity(v)))
+    return staged.withColumn("_texts", F.zip_with(
+        "_sents", "_sims", lambda s, v: pack_greedy(semantic_units(s, v), base)))

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import small_join
+from ..scale import is_small, small_join
 
 
 @dataclass(frozen=True)
@@ -35,7 +35,7 @@ def within_scope(hits: DataFrame, scopes: Scopes | None) -> DataFrame:
         return hits
     wanted = scopes.queries.select("query_id", F.col("scopes").alias("_want"))
     owned = scopes.papers.select("paper_id", F.col("scopes").alias("_have"))
-    joined = small_join(hits, wanted, ["query_id"], "left", probe=scopes.batch).join(owned, "paper_id", "left")
+    joined = small_join(hits, wanted, ["query_id"], "left", fits=is_small(scopes.batch)).join(owned, "paper_id", "left")
     missing = F.size(F.array_except("_want", F.coalesce("_have", F.array().cast("array<string>"))))
     allowed = F.col("_want").isNull() | (missing == 0)
     return joined.filter(allowed).select(*[F.col(c) for c in hits.columns])

@@ -20,7 +20,7 @@ from ..operators.ranking import hydrate_hits, matched_by, paginate, precision_fi
 from ..operators.rewrites import apply_rewrites, expand_query
 from ..operators.scopes import Scopes
 from ..operators.vector import chunks_to_papers, vector_search
-from ..scale import global_rank, is_small, top_k
+from ..scale import cut_lineage, global_rank, is_small, top_k
 from ..sources.index import Index
 
 TRADITIONAL_K = 500
@@ -103,6 +103,8 @@ def _lookup_search(papers, queries, field, year, filters, sort, page, page_size)
 
 
 def _finish(hits, papers, sort, page, page_size, k) -> SearchResult:
+    # read by the page, its total and the facets
+    hits = cut_lineage(hits)
     if sort == "year":
         hits = sort_by_year(hits, papers, k)
     shown = hydrate_hits(paginate(hits, page, page_size), papers)
@@ -131,17 +133,18 @@ def smart_search(index: Index, papers: DataFrame, chunks: DataFrame | None, quer
         accepted = expand_query(queries)
         analysed = accepted.withColumn("bm25_text", F.concat_ws(" ", F.array_join("keywords", " "), "q"))
     else:
-        analysed = apply_rewrites(queries, rewrites)
+        analysed = cut_lineage(apply_rewrites(queries, rewrites))
     scopes = None
     if filtered:
         analysed, user = _user_column(analysed, user_filter)
         scopes = allowed_merge(papers, analysed, "analysis_filter", user)
-    words = bm25_search(index, analysed, text="bm25_text", scopes=scopes, k=SMART_K)
+    # both arms are short and read again by fusion, facets and references: stored once
+    words = cut_lineage(bm25_search(index, analysed, text="bm25_text", scopes=scopes, k=SMART_K))
     if chunks is None:
         vectors = words.limit(0)
     else:
         chunk_hits = vector_search(chunks, analysed.filter(F.col("q_vec").isNotNull()), scopes, floor, SMART_K)
-        vectors = chunks_to_papers(chunk_hits, SMART_K).select(*words.columns)
+        vectors = cut_lineage(chunks_to_papers(chunk_hits, SMART_K).select(*words.columns))
     golden = precision_filter(rrf_fuse(words, vectors, max_list=SMART_K))
     return SmartResult(golden, words, vectors, facets(golden, papers), analysed)
 
@@ -169,9 +172,9 @@ def related_papers(index: Index, papers: DataFrame, chunks: DataFrame, seeds: Da
     """
     asked = seeds.select("paper_id").distinct().join(papers.select("paper_id", "keywords"), "paper_id").select(
         F.col("paper_id").alias("query_id"), F.coalesce("keywords", F.lit("")).alias("q"))
-    words = bm25_search(index, asked, k=RELATED_K)
+    words = cut_lineage(bm25_search(index, asked, k=RELATED_K))
     vectors = seed_vectors(chunks, seeds).select(F.col("paper_id").alias("query_id"), "q_vec")
-    near = chunks_to_papers(vector_search(chunks, vectors, None, 0.0, RELATED_CHUNKS), RELATED_K)
+    near = cut_lineage(chunks_to_papers(vector_search(chunks, vectors, None, 0.0, RELATED_CHUNKS), RELATED_K))
     fused = rrf_fuse(words, near, max_list=RELATED_K)
     others = fused.filter(F.col("paper_id") != F.col("query_id")).withColumnRenamed("rank", "_old")
     ranked = top_k(others, ["query_id"], [F.col("_old").asc()], n, ["paper_id"]).drop("_old", "matched_fields")

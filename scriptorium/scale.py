@@ -49,16 +49,17 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 
 def small_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",
                spread_by: list[str] | None = None, max_rows: int = BROADCAST_ROWS,
-               probe: DataFrame | None = None) -> DataFrame:
+               fits: bool | None = None) -> DataFrame:
     """Equi-join with a side that is usually small (a batch of queries).
 
-    `probe` has at least as many rows as `small` and is cheaper to count.
+    `fits` is the result of an earlier is_small() on a table with at least as
+    many rows as `small`.
 
     Within the checked bound it is broadcast and `big` is not shuffled.  Beyond
     it, inner joins are salted so that a key held by a third of `big` is spread
     over SALT tasks; other joins are left to adaptive execution.
     """
-    if is_small(small if probe is None else probe, max_rows):
+    if is_small(small, max_rows) if fits is None else fits:
         return big.join(F.broadcast(small), keys, how)
     if how != "inner" or not spread_by:
         return big.join(small, keys, how)

@@ -30,20 +30,23 @@ class Index:
     occurrences: DataFrame | None = None
     buckets: int = 0
 
-    def matching(self, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Postings and document frequencies of the (field, term) pairs given."""
+    def matching(self, terms: DataFrame, fits: bool) -> tuple[DataFrame, DataFrame]:
+        """Postings and document frequencies of the (field, term) pairs given.
+
+        `fits` tells whether the terms were found few enough to broadcast.
+        """
         wanted = terms.select("field", "term").distinct()
         keys = ["field", "term"]
         if self.term_stats is None:
-            found = count_terms(small_join(self.occurrences, wanted, keys, spread_by=["paper_id"]))
+            found = count_terms(small_join(self.occurrences, wanted, keys, spread_by=["paper_id"], fits=fits))
             return found, build_term_stats(found)
         postings = self.postings
         if self.buckets:
             # at most `buckets` numbers: lets the scan skip all other partitions
             needed = [r[0] for r in wanted.select(term_bucket(self.buckets)).distinct().collect()]
             postings = postings.filter(F.col("term_bucket").isin(needed)).drop("term_bucket")
-        found = small_join(postings, wanted, keys, spread_by=["paper_id"])
-        return found, small_join(self.term_stats, wanted, keys)
+        found = small_join(postings, wanted, keys, spread_by=["paper_id"], fits=fits)
+        return found, small_join(self.term_stats, wanted, keys, fits=fits)
 
 
 def with_tokens(papers: DataFrame) -> DataFrame:
@@ -120,7 +123,13 @@ def write_index(papers: DataFrame, path: str, buckets: int = 64) -> Index:
      .write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/postings"))
     stored = spark.read.parquet(f"{path}/postings")
     build_term_stats(stored).write.mode("overwrite").parquet(f"{path}/term_stats")
-    build_field_stats(papers).write.mode("overwrite").parquet(f"{path}/field_stats")
+    lengths = stored.groupBy("field").agg(F.sum("tf").alias("total"))
+    fields = spark.createDataFrame([(f,) for f in rules.FIELDS], "field string")
+    n = F.lit(papers.count())
+    # totals from the stored postings: the texts are read once
+    (fields.join(lengths, "field", "left")
+     .select("field", n.alias("n_docs"), F.coalesce(F.try_divide("total", n), F.lit(0.0)).alias("avgdl"))
+     .write.mode("overwrite").parquet(f"{path}/field_stats"))
     return read_index(spark, path, buckets)
 
 
