@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,7 +35,7 @@ def embed_texts(df: DataFrame, text: str = "chunk_text", output: str = "embeddin
             output, F.col(output).cast("array<float>"))
 
     @F.pandas_udf("array<float>")
-    def encode(frames: Iterable[pd.Series]) -> Iterable[pd.Series]:
+    def encode(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = encoder_factory()
         for texts in frames:
             values = texts.fillna("").tolist()
@@ -48,5 +48,4 @@ def embed_texts(df: DataFrame, text: str = "chunk_text", output: str = "embeddin
                     vectors.extend([None] * len(part))
             yield pd.Series(vectors, dtype=object)
 
-    encode.func.__annotations__ = {}
     return df.withColumn(output, encode(F.col(text)))

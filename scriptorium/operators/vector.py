@@ -12,7 +12,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
@@ -95,6 +95,10 @@ def _feed(best: _Best, batch) -> None:
              [s or () for s in batch.column("scopes").to_pylist()])
 
 
+def _numbers(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+
+
 def _scored(chunks: DataFrame, queries: DataFrame, floor: float, k: int) -> DataFrame:
     """Candidates of every task; `queries` is (query_id, q_vec, want)."""
     query_type = queries.schema["query_id"].dataType
@@ -123,10 +127,10 @@ def _scored(chunks: DataFrame, queries: DataFrame, floor: float, k: int) -> Data
     query_tiles = max(1, math.ceil(queries.count() / QUERY_BLOCK))
     left = (
         chunks.withColumn("ct", F.pmod(F.xxhash64("chunk_id"), F.lit(chunk_tiles)))
-        .withColumn("qt", F.explode(F.sequence(F.lit(0), F.lit(query_tiles - 1))).cast("long")))
+        .withColumn("qt", F.explode(_numbers(query_tiles))))
     right = (
         queries.withColumn("qt", F.pmod(F.xxhash64("query_id"), F.lit(query_tiles)))
-        .withColumn("ct", F.explode(F.sequence(F.lit(0), F.lit(chunk_tiles - 1))).cast("long")))
+        .withColumn("ct", F.explode(_numbers(chunk_tiles))))
 
     def best_of_tile(chunk_table: pa.Table, query_table: pa.Table) -> pa.Table:
         query_table = query_table.combine_chunks()

@@ -33,7 +33,10 @@ def full_text(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
-    """One row per text file: (paper_id, text); lock and companion files skipped."""
+    """One row per text file: (paper_id, text); lock and companion files skipped.
+
+    Spark itself lists no file whose name starts with an underscore or a dot.
+    """
     files = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path)
     named = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return named.filter(~F.col("path").rlike(SKIPPED_FILES)).select(derive_paper_id("path").alias("paper_id"), "text")
