@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +32,7 @@ class Index:
     buckets: int = 0
 
     def matching(self, terms: DataFrame, fits: bool) -> tuple[DataFrame, DataFrame]:
-        """Postings and document frequencies of the (field, term) pairs given.
+        """Postings holding the (field, term) pairs given, and their document frequencies.
 
         `fits` tells whether the terms were found few enough to broadcast.
         """
@@ -39,14 +40,14 @@ class Index:
         keys = ["field", "term"]
         if self.term_stats is None:
             found = count_terms(small_join(self.occurrences, wanted, keys, spread_by=["paper_id"], fits=fits))
-            return found, build_term_stats(found)
+            # counts are few; bringing a paper together here saves shuffling its scores per query
+            return found.repartition("paper_id"), build_term_stats(found)
         postings = self.postings
         if self.buckets:
             # at most `buckets` numbers: lets the scan skip all other partitions
             needed = [r[0] for r in wanted.select(term_bucket(self.buckets)).distinct().collect()]
             postings = postings.filter(F.col("term_bucket").isin(needed)).drop("term_bucket")
-        found = small_join(postings, wanted, keys, spread_by=["paper_id"], fits=fits)
-        return found, small_join(self.term_stats, wanted, keys, fits=fits)
+        return postings, small_join(self.term_stats, wanted, keys, fits=fits)
 
 
 def with_tokens(papers: DataFrame) -> DataFrame:
@@ -109,18 +110,25 @@ def term_bucket(buckets: int):
     return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("term_bucket")
 
 
-def write_index(papers: DataFrame, path: str, buckets: int = 64) -> Index:
-    """Store the index as Parquet, postings partitioned by a hash of the term.
+def write_index(papers: DataFrame, path: str, term_buckets: int = 64, paper_buckets: int | None = None) -> Index:
+    """Store the index: postings partitioned by a hash of the term, bucketed by paper.
 
-    A small query batch reads only the partitions of its own terms.  Files are
-    cut by ranges of (term, paper_id), so a common term spreads over several.
+    A query batch reads only the partitions of its own terms.  Within these, all
+    postings of a paper lie in one bucket, so scores are summed without a
+    shuffle and no common term gathers in one task.
     """
     spark = papers.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    postings = build_postings(papers).select("*", term_bucket(buckets))
-    (postings.repartitionByRange(parts, "term_bucket", "field", "term", "paper_id")
-     .sortWithinPartitions("term_bucket", "field", "term", "paper_id")
-     .write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/postings"))
+    buckets = paper_buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    texts = papers.select("paper_id", *{*rules.FIELD_COLUMNS.values(), *TOKEN_COLUMNS.values()} & set(papers.columns))
+    # the texts are shuffled once, before they become many postings
+    postings = build_postings(texts.repartition(buckets, "paper_id"))
+    (postings.select("*", term_bucket(term_buckets)).write.mode("overwrite")
+     .partitionBy("term_bucket").bucketBy(buckets, "paper_id").sortBy("field", "term")
+     .option("path", f"{path}/postings").saveAsTable(f"{_table_name(path)}_new"))
+    spark.sql(f"DROP TABLE {_table_name(path)}_new")  # the files stay
+    layout = [(term_buckets, buckets)]
+    spark.createDataFrame(layout, "term_buckets int, paper_buckets int").write.mode("overwrite").parquet(
+        f"{path}/layout")
     stored = spark.read.parquet(f"{path}/postings")
     build_term_stats(stored).write.mode("overwrite").parquet(f"{path}/term_stats")
     lengths = stored.groupBy("field").agg(F.sum("tf").alias("total"))
@@ -130,14 +138,27 @@ def write_index(papers: DataFrame, path: str, buckets: int = 64) -> Index:
     (fields.join(lengths, "field", "left")
      .select("field", n.alias("n_docs"), F.coalesce(F.try_divide("total", n), F.lit(0.0)).alias("avgdl"))
      .write.mode("overwrite").parquet(f"{path}/field_stats"))
-    return read_index(spark, path, buckets)
+    return read_index(spark, path)
 
 
-def read_index(spark: SparkSession, path: str, buckets: int = 64) -> Index:
-    """`buckets` is the number the index was written with."""
+def _table_name(path: str) -> str:
+    return f"postings_{hashlib.md5(path.encode()).hexdigest()[:16]}"
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    """Open a stored index; its postings are registered as a bucketed table."""
+    term_buckets, buckets = spark.read.parquet(f"{path}/layout").first()
+    name = _table_name(path)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(
+        f"CREATE TABLE {name} (paper_id STRING, field STRING, term STRING, tf INT, dl INT, term_bucket INT) "
+        f"USING parquet PARTITIONED BY (term_bucket) CLUSTERED BY (paper_id) SORTED BY (field, term) "
+        f"INTO {buckets} BUCKETS LOCATION '{path}/postings'")
+    if spark.conf.get("spark.sql.catalogImplementation", "in-memory") == "hive":
+        spark.sql(f"MSCK REPAIR TABLE {name}")
     return Index(
-        spark.read.parquet(f"{path}/postings"),
+        spark.table(name),
         spark.read.parquet(f"{path}/term_stats"),
         spark.read.parquet(f"{path}/field_stats"),
-        buckets=buckets,
+        buckets=term_buckets,
     )

@@ -87,8 +87,8 @@ def test_bm25_empty_queries_and_filters(spark, papers):
 def test_stored_index_gives_the_same_hits(spark, papers, tmp_path):
     ask = queries(spark, "深度学习 分类", "综述")
     want = bm25_search(build_index(papers), ask).collect()
-    write_index(papers, str(tmp_path), buckets=4)
-    got = bm25_search(read_index(spark, str(tmp_path), 4), ask).collect()
+    write_index(papers, str(tmp_path), term_buckets=4)
+    got = bm25_search(read_index(spark, str(tmp_path)), ask).collect()
     assert sorted((h.query_id, h.paper_id, round(h.score, 9), h.rank) for h in got) == sorted(
         (h.query_id, h.paper_id, round(h.score, 9), h.rank) for h in want)
 
