@@ -85,13 +85,11 @@ def tfidf_keywords(papers: DataFrame, top_k_terms: int = 20, max_df: float = 0.9
     broadcasts a small vocabulary and splits the partitions of common terms.
     """
     abstract = strip(F.coalesce("abstract", F.lit("")))
-    tokens = tokenize("abstract")
     letters = F.filter(F.split(abstract, ""), lambda x: strip(x) != "")
-    docs = (
-        papers.filter(abstract != "")
-        .select("paper_id", F.when(F.size(tokens) > 0, tokens).otherwise(letters).alias("terms"))
-    )
-    tf = (docs.select("paper_id", F.explode("terms").alias("term"))
+    terms = let(tokenize("abstract"), lambda t: F.when(F.size(t) > 0, t).otherwise(letters))
+    docs = papers.filter(abstract != "")
+    # the outer form is not guarded by a filter that would tokenise a second time
+    tf = (docs.select("paper_id", F.explode_outer(terms).alias("term")).filter(F.col("term").isNotNull())
           .groupBy("paper_id", "term").agg(F.count(F.lit(1)).alias("tf")))
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     # one row
