@@ -154,8 +154,7 @@ def read_index(spark: SparkSession, path: str) -> Index:
         f"CREATE TABLE {name} (paper_id STRING, field STRING, term STRING, tf INT, dl INT, term_bucket INT) "
         f"USING parquet PARTITIONED BY (term_bucket) CLUSTERED BY (paper_id) SORTED BY (field, term) "
         f"INTO {buckets} BUCKETS LOCATION '{path}/postings'")
-    if spark.conf.get("spark.sql.catalogImplementation", "in-memory") == "hive":
-        spark.sql(f"MSCK REPAIR TABLE {name}")
+    spark.catalog.recoverPartitions(name)
     return Index(
         spark.table(name),
         spark.read.parquet(f"{path}/term_stats"),

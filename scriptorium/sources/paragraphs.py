@@ -37,6 +37,6 @@ def read_documents(spark: SparkSession, path: str, glob: str = "*.txt") -> DataF
 
     Spark itself lists no file whose name starts with an underscore or a dot.
     """
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path)
+    files = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
     named = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return named.filter(~F.col("path").rlike(SKIPPED_FILES)).select(derive_paper_id("path").alias("paper_id"), "text")
