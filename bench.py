@@ -42,6 +42,7 @@ def main() -> None:
     def build():
         state["n"] = state.get("n", 0) + 1
         state["index"] = write_index(d.papers, f"{scratch}/index-{state['n']}", term_buckets=16)
+        assert not state["index"].postings.isEmpty()
 
     def bm25(k=50):
         return bm25_search(state["index"], d.queries.select("query_id", "q"), k=k)
