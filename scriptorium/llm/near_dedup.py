@@ -170,11 +170,13 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return saved(rows.mapInArrow(_linked(size, percent), "a bigint, b bigint"), "links")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE,
-                    percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row; `percent` is 100 x the Jaccard threshold."""
+def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     own, text = F.col(id_col).cast("bigint"), F.col(text_col)
-    plain = docs.select(own.alias("doc_id"), F.coalesce(own, surrogate_id(text)).alias("id"), text.alias("text"))
+    return docs.select(own.alias("doc_id"), F.coalesce(own, surrogate_id(text)).alias("id"), text.alias("text"))
+
+
+def _assigned(plain: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, id, n_shingles, component of every row."""
     sets = saved(plain.mapInArrow(_sets(size), _SETS), "sets")
     # one representative per distinct set
     classes = sets.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"))
@@ -183,14 +185,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_class = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "d1", "d2", F.coalesce("component", "rep").alias("component"))
     # copies of one set can be a third of all rows: adaptive execution splits such a class, its other side is one row
-    out = sets.select("doc_id", "id", "d1", "d2", "n_shingles").join(by_class, ["d1", "d2"], "left").select(
+    return sets.select("doc_id", "id", "d1", "d2", "n_shingles").join(by_class, ["d1", "d2"], "left").select(
         "doc_id", "id", "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE,
+                    percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row; `percent` is 100 x the Jaccard threshold."""
+    out = _assigned(_plain(docs, id_col, text_col), size, percent)
     return out.select(
         "doc_id", "n_shingles", F.when(F.col("component") < SURROGATE, F.col("component")).alias("component_id"),
         (F.col("component") == F.col("id")).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE,
+                percent: int = 80) -> DataFrame:
+    """One row of every component, with all its columns: that of the smallest id; repeated rows of an id count once."""
+    kept = _assigned(_plain(docs, id_col, text_col), size, percent).filter(F.col("component") == F.col("id"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), surrogate_id(F.col(text_col))).alias("id"),
+                       F.struct("*").alias("row"))
+    return rows.join(kept.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).select("row.*")
+
+
 def _components(texts: DataFrame, sets: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
     """id, component of the representatives that have a link."""
     mine = sets.join(reps, "id", "left_semi").dropDuplicates(["id"])

@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, toxicity
 from .hamming_search import nearest_codes, sign_code
 from .near_dedup import near_duplicates
+from .secret_scan import KINDS, listed, scan
+from .source_mix import mix
 from .substring_dedup import remove_repeats
 from .token_counts import section_tokens
+from .url_filter import judge
 from .vector_search import nearest_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +70,15 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op6_secret_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{KINDS[k]}") for k in range(4)]
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
+                        listed(F.col("spans")).alias("spans"))
+
+
 @query("op7_exact_topk", """
 with codes as (select distinct vec_id, list_transform(embedding, lambda x: (x > 0)::int) b from embeddings
   where embedding is not null),
@@ -104,3 +116,30 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     found = nearest_vectors(vectors, vectors.filter("vec_id % 100 = 0"), "vec_id", "embedding", k=10)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+
+
+@query("op10_source_mix")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"), share=1.5, weights=(3.0, 1.0, 2.0), epochs=2.0)
+    return mixed.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
+                        F.col("_target").alias("target"), (F.col("_times") * F.col("_size")).alias("taken"))
+
+
+LISTED = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+@query("op1_url_filter")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages are labelled through `labels` of the same id: bad quality or toxic is to be blocked."""
+    labels = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("blocked"))
+    return judge(table(spark, sf_dir, "pages"), labels, LISTED)
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"), F.slice("evidence", 1, 3).alias("evidence"))
