@@ -42,7 +42,7 @@ from .components import connected
 from .store import SURROGATE, saved, surrogate_id
 from .wordhash import Words, runs_of, blocks, grams, mixed
 
-SHINGLE = 4
+SHINGLE = 5
 CHUNKS = 12
 CHUNK = 5
 ERRORS = 1

@@ -1,0 +1,335 @@
+"""Operators on texts against brute force, on small tables with nulls, empty and long texts, copies and odd columns."""
+
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from scriptorium.llm import bpe, near_dedup, secret_scan, source_mix, substring_dedup, token_counts
+from scriptorium.llm.components import connected
+
+SCHEMA = "doc_id long, text string, source string, id string, score double, ids string, spans string, _text string"
+
+
+def words(text):
+    return (text or "").encode().split()
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(5)
+    passages = [[rng.choice("abcdefghij") + str(rng.randint(0, 30)) for _ in range(rng.randint(10, 80))] for _ in range(8)]
+    out = []
+    for i in range(140):
+        text = []
+        for _ in range(rng.randint(0, 5)):
+            part = list(rng.choice(passages))
+            if rng.random() < 0.7:
+                for _ in range(rng.randint(0, 3)):
+                    part[rng.randrange(len(part))] = f"z{rng.randint(0, 3)}"
+            text += part[rng.randint(0, 5):]
+        if rng.random() < 0.2:
+            text += ["x"] * rng.randint(1, 60)
+        out.append((i, " ".join(text)))
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]
+    for i in range(60):  # near copies that form chains
+        base = list(base)
+        for _ in range(4):
+            base[rng.randrange(200)] = f"v{i}"
+        out.append((300 + i, " ".join(base)))
+    out += [(500, None), (501, ""), (502, "Two words"), (503, "two WORDS"), (504, " \t\n"), (None, out[3][1]), (5, out[5][1]),
+            (505, " ".join(["q", "r"] * 3000)), (506, "é" * 5000), (507, " ".join(["q", "r"] * 3000))]
+    rng.shuffle(out)
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    data = [(i, t, "s" if i is None or i % 3 else None, "id", 1.0, "ids", "spans", "own") for i, t in rows]
+    return spark.createDataFrame(data, SCHEMA).repartition(5).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_repeated_windows_equal_brute_force(docs, rows):
+    size, first = 20, {}
+    order = lambda i: 2**62 if i is None else i
+    for i, t in rows:
+        w = words(t)
+        for s in range(len(w) - size + 1):
+            key = tuple(w[s:s + size])
+            first[key] = min(first.get(key, (2**63, 0)), (order(i), s))
+    expected = []
+    for i, t in rows:
+        w = words(t)
+        gone = [False] * len(w)
+        for s in range(len(w) - size + 1):
+            if first[tuple(w[s:s + size])] < (order(i), s):
+                gone[s:s + size] = [True] * size
+        expected.append((i, len(w), sum(gone), b" ".join(x for x, g in zip(w, gone) if not g).decode()))
+    found = [tuple(r) for r in substring_dedup.remove_repeats(docs, min_words=size).collect()]
+    assert sorted(found, key=repr) == sorted(expected, key=repr)
+    runs = substring_dedup.maximal_repeats(docs, min_words=size).collect()
+    by_doc = {}
+    for r in runs:
+        by_doc.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    assert {i: len(s) for i, s in by_doc.items() if i is not None} == {i: n for i, _, n, _ in expected if n and i is not None}
+
+
+def test_repeats_of_an_empty_table(empty):
+    assert substring_dedup.remove_repeats(empty).collect() == []
+
+
+def shingles(text, size):
+    w = tuple(x.lower() if x.isascii() else x for x in words(text))
+    return ({w[i:i + size] for i in range(len(w) - size + 1)} or {w}) if w else set()
+
+
+def components(rows, size, percent):
+    sets = [shingles(t, size) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x in range(len(rows)):
+        for y in range(x):
+            both = len(sets[x] & sets[y])
+            if both and 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                root[find(x)] = find(y)
+    least = {}
+    for x, (i, _) in enumerate(rows):
+        least[find(x)] = min(least.get(find(x), 2**63), 2**62 if i is None else i)
+    return [(i, len(sets[x]), least[find(x)]) for x, (i, _) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("size", [4, 5])
+def test_near_duplicates_equal_brute_force(docs, rows, size):
+    expected = [(i, n, c, c == (2**62 if i is None else i)) for i, n, c in components(rows, size, 80)]
+    found = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs, size=size).collect()]
+    assert sorted(found, key=repr) == sorted(expected, key=repr)
+
+
+def test_one_row_of_each_component_stays(docs, rows, empty):
+    kept = near_dedup.one_of_each(docs, size=5)
+    assert kept.columns == docs.columns
+    ids = [r.doc_id for r in kept.collect()]
+    expected = {c for i, n, c in components(rows, 5, 80)}
+    assert sorted(x for x in ids if x is not None) == sorted(c for c in expected if c < 2**62)
+    assert near_dedup.one_of_each(empty).collect() == []
+
+
+def test_signature_chunks_cover_the_distance():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 2**16, (200, near_dedup.CODES)).astype(np.uint16)
+    b = a.copy()
+    for row in b:
+        at = rng.choice(near_dedup.CODES, near_dedup.MAX_DISTANCE, replace=False)
+        row[at] ^= 1
+    assert all(set(x) & set(y) for x, y in zip(near_dedup._keys(a), near_dedup._keys(b)))
+
+
+def test_components_of_a_chain_and_a_star(spark):
+    chain = [(i, i + 1) for i in range(100, 160)]
+    star = [(5, i) for i in range(6, 40)] + [(39, 3)]
+    edges = spark.createDataFrame(chain + star + [(7, 7)], "a long, b long")
+    found = dict(connected(edges).collect())
+    assert {found.get(i, i) for i in range(100, 161)} == {100}
+    assert {found.get(i, i) for i in [3, 5, *range(6, 40)]} == {3}
+
+
+# --- BPE ------------------------------------------------------------------------------
+
+ODD = ["", "a", "aaaa" * 50, "é" * 400, "日本語のテキスト" * 30, "\n\n\n  x  \t\n", "😀😀 don't we'll 123456 !!!???", "x" * 3000,
+       "abc" * 2000, None, "a \x1c b", "a\x1c b \x1d\x1d c", "x \x85y 　 z  ", " lead", " ", "a  b", "tab\tword, (and) 'quote's"]
+
+
+@pytest.fixture(scope="module")
+def reference():
+    import tiktoken
+
+    path, pattern = bpe.default_ranks()
+    own = bpe.vocabulary(path, pattern)
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=own.rank, special_tokens={})
+
+
+def test_ids_equal_the_public_library_and_decode_back(spark, docs, rows, reference):
+    rng = random.Random(2)
+    odd = ODD + ["".join(chr(rng.choice([rng.randint(33, 127), rng.randint(0x80, 0x2FFF), 32])) for _ in range(2000))]
+    table = spark.createDataFrame([(i, t, "ids", "x") for i, t in enumerate(odd)] + [(1000 + (i or 0), t, "y", "z") for i, t in rows],
+                                  "doc_id long, text string, ids string, decoded string")
+    found = bpe.decode(bpe.encode(table)).collect()
+    texts = dict(table.select("doc_id", "text").collect())
+    assert len(found) == table.count()
+    for r in found:
+        assert r.ids == reference.encode_ordinary(texts[r.doc_id] or "")
+        assert bytes(r.decoded) == (texts[r.doc_id] or "").encode()
+
+
+def test_both_merges_agree_with_the_public_library(reference):
+    own = bpe.vocabulary(*bpe.default_ranks())
+    rng = random.Random(9)
+    pieces = [bytes(rng.choice(b"abcdeinstu \xc3\xa9") for _ in range(rng.randint(2, 40))) for _ in range(300)]
+    for piece, ids in zip(pieces, own.merge_rows(pieces)):
+        expected = reference._core_bpe.encode_single_piece(piece) if piece not in own.rank else None
+        if expected is not None:
+            assert own.merge(piece) == expected == np.frombuffer(ids, dtype=np.int32).tolist()
+
+
+def test_cache_generations_keep_what_is_asked_for():
+    cache = bpe.Cache(2)
+    learn = lambda new: {k: k.encode() for k in new}
+    for keys in ({"a", "b", "c"}, {"a", "d", "e"}, {"f"}, {"a"}):
+        get = cache.lookup(keys, learn)
+        assert all(get(k) == k.encode() for k in keys)
+    assert len(cache.young) + len(cache.old) <= 8
+
+
+# --- token counts ----------------------------------------------------------------------
+
+def brute_sections(text, ids, lengths, sections, rule):
+    raw = (text or "").encode()
+    at = [len((text or "")[:c].encode()) for s in sections for c in s]
+    spans = list(zip(at[::2], at[1::2]))
+    counts, shares, pos = {}, {}, 0
+    for i in ids:
+        held = {}
+        for b in range(pos, pos + lengths[i]):
+            owner = next((k for k, (x, y) in enumerate(spans) if x <= b < y), -1)
+            held[owner] = held.get(owner, 0) + 1
+        first = next((k for k, (x, y) in enumerate(spans) if x <= pos < y), -1)
+        chosen = min(held, key=lambda k: (-held[k], k)) if rule == "largest" else first
+        counts[chosen] = counts.get(chosen, 0) + 1
+        for k, n in held.items():
+            shares[k] = shares.get(k, 0) + n / lengths[i]
+        pos += lengths[i]
+    assert pos == len(raw)
+    return counts, shares
+
+
+@pytest.mark.parametrize("rule", ["start", "largest"])
+def test_tokens_of_given_sections(spark, reference, rule):
+    own = bpe.vocabulary(*bpe.default_ranks())
+    rng = random.Random(4)
+    data = []
+    for i, t in enumerate([x for x in ODD if x and len(x) < 500] + [None, ""]):
+        cuts = sorted(rng.sample(range(len(t or "") + 1), min(6, len(t or "") + 1)))
+        data.append((i, t, [{"start": a, "end": b} for a, b in zip(cuts[::2], cuts[1::2])]))
+    table = spark.createDataFrame(data, "doc_id long, text string, parts array<struct<start:long,end:long>>")
+    found = token_counts.section_tokens(table, sections=F.col("parts"), rule=rule).collect()
+    for i, t, parts in data:
+        mine = {r.section: r for r in found if r.doc_id == i}
+        counts, shares = brute_sections(t, reference.encode_ordinary(t or ""), own.length, [(p["start"], p["end"]) for p in parts], rule)
+        assert {k: r.n_tokens for k, r in mine.items() if r.n_tokens} == counts
+        assert {k: round(r.share, 9) for k, r in mine.items() if r.share} == {k: round(v, 9) for k, v in shares.items()}
+
+
+def test_line_counts_add_up_to_the_document(docs, rows, reference, empty):
+    found = token_counts.section_tokens(docs).groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.sum("share").alias("s")).collect()
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(i, []).append(t)
+    for r in found:
+        total = sum(len(reference.encode_ordinary(t or "")) for t in texts[r.doc_id])
+        assert r.n == total and abs(r.s - total) < 1e-6
+    assert token_counts.section_tokens(empty).collect() == []
+
+
+# --- secrets ---------------------------------------------------------------------------
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+KINDS = ("assign", "access", "hex", "random")
+
+
+def base_spans(text):
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(out)
+
+
+def secret_texts():
+    rng = random.Random(8)
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    mixed = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    plain = "the settings of network_interface_manager and user_profile_controller were changed by administrators "
+    texts = [None, "", "secret=token = abcdefgh", "password: 'Zz9+/_.=-'", "PASSWD=\"abc\" token=abcdef", "é😀 api_key = 123456 é",
+             "AKIA" + "A" * 16, "AKIA" + "B" * 15, "xAKIAAKIA" + "C" * 20, "0" * 24, "f" * 23 + "g", "ab" * 40000, "AKIA" * 3000]
+    for i in range(120):
+        texts.append(plain * rng.randint(1, 3) + rng.choice([
+            "", f"apikey={pick(mixed, 32)}", f"token: {pick(mixed, 24)} end", pick("0123456789abcdef", 40), "AKIA" + pick(mixed[26:], 16)]))
+    planted = ["config " + pick(mixed, 40) + " end" for _ in range(20)]
+    return texts, planted
+
+
+def test_base_spans_and_model_spans(spark, empty):
+    texts, planted = secret_texts()
+    every = texts + planted
+    table = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(every)], "doc_id long, text string, _base string, spans string")
+    found = dict(secret_scan.scan(table).select("doc_id", secret_scan.listed(F.col("spans"))).collect())
+    added = {}
+    for i, t in enumerate(every):
+        spans = [tuple(x.split(":")) for x in found[i].split(",") if x]
+        assert [(int(a), KINDS.index(k), int(b)) for k, a, b in spans if k != "random"] == base_spans(t or "")
+        added[i] = [(int(a), int(b)) for k, a, b in spans if k == "random"]
+    hits = sum(added[len(texts) + i] == [(7, 47)] for i in range(len(planted)))
+    assert hits >= 18
+    assert sum(bool(added[i]) for i in range(13, len(texts))) == 0
+    assert secret_scan.scan(empty).collect() == []
+
+
+def test_masking(spark):
+    row = spark.createDataFrame([("ab SECRET cd KEY", [(3, 0, 9), (5, 3, 9), (13, 1, 16)]), ("plain", [])],
+                                "text string, spans array<struct<start:int,kind:int,end:int>>")
+    masked = [r[0] for r in row.select(secret_scan.redacted(F.col("text"), F.col("spans"))).collect()]
+    assert masked == ["ab [secret] cd [secret]", "plain"]
+
+
+# --- mixing ----------------------------------------------------------------------------
+
+def brute_targets(sizes, weights, budget, epochs):
+    free = set(sizes)
+    while True:
+        left = budget - sum(epochs * sizes[s] for s in sizes if s not in free)
+        total = sum(weights[s] for s in free)
+        over = [s for s in free if left * weights[s] / total > epochs * sizes[s]] if total else []
+        if not over:
+            return {s: left * weights[s] / total if s in free else epochs * sizes[s] for s in sizes}
+        free -= set(over)
+
+
+def test_mix_reaches_its_targets(spark, empty):
+    rng = random.Random(6)
+    data = [(i, " ".join(["w"] * rng.randint(0, 40)) if rng.random() > 0.02 else None,
+             rng.choice(["a"] * 40 + ["b", "c", "ä", "Z"] * 6 + [None] * 3), 1.0) for i in range(3000)]
+    table = spark.createDataFrame(data, "doc_id long, text string, source string, _size double").repartition(4)
+    mixed = source_mix.mix(table)
+    found = mixed.collect()
+    assert {tuple(r) for r in found} == {tuple(r) for r in source_mix.mix(table.repartition(7)).collect()}
+    sizes = {}
+    for _, t, s, _ in data:
+        sizes[s] = sizes.get(s, 0) + len(words(t))
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    targets = brute_targets(sizes, {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}, 1.5 * sum(sizes.values()), 2.0)
+    taken = dict.fromkeys(sizes, 0)
+    for r in found:
+        assert r._size == len(words(data[r._id][1])) and r._source_size == sizes[r._source]
+        assert abs(r._target - targets[r._source]) < 1e-6
+        assert r._times * r._size <= 2 * r._size
+        taken[r._source] += r._times * r._size
+    assert all(abs(taken[s] - targets[s]) <= 20 for s in sizes)
+    assert source_mix.mix(empty).collect() == []
+
+
+def test_mix_of_one_source_without_words(spark):
+    table = spark.createDataFrame([(1, None, "a"), (2, "", "a")], "doc_id long, text string, source string")
+    assert [(r._size, r._target) for r in source_mix.mix(table).collect()] == [(0, 0.0), (0, 0.0)]
+
+
