@@ -19,10 +19,13 @@ Copies and hot keys.  Documents of equal sets are one class with one
 representative.  Representatives of one key are not paired with each other:
 each is compared with the key's smallest member, the pivot.  Components are
 found over these links; only keys whose members still are in several components
-go on.  There members of the largest component and of the others are compared
-across components alone, which the distance bound of the signatures prunes
-first, so a group of thousands of near copies costs one comparison per member
-and key at most, while no link between components is missed.
+go on.  Of these, members that share too few of their shingles with other
+components to have a link there drop out (most near copies with edits of their
+own do, however many there are).  What is left is cut into groups that hang
+together by keys, groups into blocks, and pairs of blocks are compared on full
+sets by an inverted index inside a task of bounded size, which returns no more
+links than connect what it holds.  So links are never expanded into pairs, and
+none between components is missed.
 
 Defined cases: rows without an id come after all others and are told apart by
 their text, and form components of their own id class; repeated rows repeat in
@@ -43,12 +46,14 @@ from .store import SURROGATE, saved, surrogate_id
 from .wordhash import Words, runs_of, blocks, grams, mixed
 
 SHINGLE = 5
+# members of a block that is compared with another one in a task
+BLOCK_ROWS = 2_000
 CHUNKS = 12
 CHUNK = 5
 ERRORS = 1
 CODES = CHUNKS * CHUNK
 MAX_DISTANCE = CHUNKS * (ERRORS + 1) - 1
-_SETS = ("doc_id bigint, id bigint, d1 bigint, d2 bigint, n_shingles bigint, codes binary, keys array<bigint>")
+_SETS = ("doc_id bigint, id bigint, d1 bigint, d2 bigint, n_shingles bigint, keys array<bigint>")
 U64 = np.uint64
 
 _rng = np.random.default_rng(77_003)
@@ -84,7 +89,7 @@ def _fold(hashes: np.ndarray) -> int:
 
 
 def _sets(size: int):
-    """Per text: digest and size of its set, its signature, and its keys (one per chunk and erased code)."""
+    """Per text: digest and size of its set, and its keys (one per chunk and erased code)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
             values, first = shingle_sets(Words(block.column("text"), lower=True), size)
@@ -92,15 +97,15 @@ def _sets(size: int):
             d1 = _summed(mixed(values ^ U64(0x5851F42D4C957F2D)), first)
             d2 = _summed(mixed(values * U64(3)), first)
             has = np.flatnonzero(n)
-            codes, keys = [None] * len(n), [None] * len(n)
+            keys = [None] * len(n)
             if len(has):
                 found = signatures(values, np.append(first[has], len(values)))
-                for i, c, k in zip(has.tolist(), found, _keys(found).view(np.int64)):
-                    codes[i], keys[i] = c.tobytes(), k
+                for i, k in zip(has.tolist(), _keys(found).view(np.int64)):
+                    keys[i] = k
             yield pa.RecordBatch.from_arrays(
                 [block.column("doc_id"), block.column("id"), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
-                 pa.array(n, pa.int64()), pa.array(codes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "id", "d1", "d2", "n_shingles", "codes", "keys"])
+                 pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "id", "d1", "d2", "n_shingles", "keys"])
     return run
 
 
@@ -151,17 +156,6 @@ def _linked(size: int, percent: int):
     return run
 
 
-def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs whose signatures differ in at most MAX_DISTANCE codes."""
-    for batch in batches:
-        if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, CODES)
-                    for c in ("codes_a", "codes_b"))
-            near = pa.array((a != b).sum(axis=1) <= MAX_DISTANCE)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(near), batch.column("b").filter(near)],
-                                             names=["a", "b"])
-
-
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets are similar enough."""
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
@@ -181,7 +175,7 @@ def _assigned(plain: DataFrame, size: int, percent: int) -> DataFrame:
     # one representative per distinct set
     classes = sets.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"))
     reps = classes.select(F.col("rep").alias("id"))
-    labels = _components(plain.select("id", "text"), sets.select("id", "codes", "keys"), reps, size, percent)
+    labels = _components(plain.select("id", "text"), sets.select("id", "keys"), reps, size, percent)
     by_class = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "d1", "d2", F.coalesce("component", "rep").alias("component"))
     # copies of one set can be a third of all rows: adaptive execution splits such a class, its other side is one row
@@ -232,23 +226,99 @@ def _components(texts: DataFrame, sets: DataFrame, reps: DataFrame, size: int, p
     members = saved(members.join(open_keys.filter("least <> most").select("key"), "key"), "open")
     if members.isEmpty():
         return labels
-    sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"))
-    # members outside a key's largest component against all members of other components
-    outside = members.join(main, "key").filter("component <> main").select(
-        "key", F.col("id").alias("x"), F.col("component").alias("cx"))
-    inside = members.select("key", F.col("id").alias("y"), F.col("component").alias("cy"))
-    pairs = (outside.join(inside, "key").filter("cx <> cy")
-             .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-             .join(stars.select("a", "b"), ["a", "b"], "left_anti"))
-    codes = sets.join(members.select("id").distinct(), "id", "left_semi").select("id", "codes").dropDuplicates(["id"])
-    near = (pairs.join(codes.select(F.col("id").alias("a"), F.col("codes").alias("codes_a")), "a")
-            .join(codes.select(F.col("id").alias("b"), F.col("codes").alias("codes_b")), "b")
-            .select("a", "b", "codes_a", "codes_b").mapInArrow(_within, "a bigint, b bigint"))
-    more = _confirmed(saved(near, "near"), texts, size, percent)
+    members = saved(_hopeful(members, texts, size, percent), "hopeful")
+    more = _compared(members, texts, size, percent)
     return labels if more.isEmpty() else connected(edges.unionByName(more))
 
 
+def _compared(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between components among members whose keys hang together, compared block by block."""
+    pivots = members.groupBy("key").agg(F.min("id").alias("pivot"))
+    chains = members.join(pivots, "key").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+    groups = connected(chains).withColumnRenamed("component", "group")
+    rows = members.select("id", "component").distinct().join(groups, "id")
+    # a group of m members has m / BLOCK_ROWS blocks; each pair of blocks is one task of bounded size
+    blocks_of = rows.groupBy("group").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    dealt = rows.join(blocks_of, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "id", "component", "group", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    dealt = dealt.join(texts, "id").select("group", "i", "j", "block", "id", "component", "text")
+    return saved(dealt.groupBy("group", "i", "j").applyInArrow(_block_links(size, percent), "a bigint, b bigint"), "links")
+
+
+def _block_links(size: int, percent: int):
+    """Members of two blocks of a group (or of one) -> links that connect the components they connect."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, parts = table.column("id").to_numpy(), table.column("component").to_numpy()
+        block, i, j = (table.column(c).to_numpy() for c in ("block", "i", "j"))
+        values, first = shingle_sets(Words(table.column("text").combine_chunks(), lower=True), size)
+        n = np.diff(first)
+        owner = np.repeat(np.arange(len(ids)), n)
+        right = np.flatnonzero(block == j[0])
+        is_right = np.zeros(len(ids), dtype=bool)
+        is_right[right] = True
+        # postings of the right block
+        held = is_right[owner]
+        order = np.argsort(values[held], kind="stable")
+        keys, rows = values[held][order], owner[held][order]
+        root = {p: p for p in np.unique(parts).tolist()}
+
+        def find(p):
+            while root[p] != p:
+                root[p] = root[root[p]]
+                p = root[p]
+            return p
+
+        links = []
+        for x in np.flatnonzero(block == i[0]).tolist():
+            mine = values[first[x]:first[x + 1]]
+            begin = np.searchsorted(keys, mine)
+            count = np.searchsorted(keys, mine, side="right") - begin
+            stop = np.cumsum(count)
+            where = np.repeat(begin - (stop - count), count) + np.arange(stop[-1] if len(stop) else 0)
+            both = np.bincount(rows[where], minlength=len(ids))
+            near = np.flatnonzero((both > 0) & (100 * both >= percent * (n[x] + n - both)) & (parts != parts[x]))
+            for y in near.tolist():
+                p, q = find(int(parts[x])), find(int(parts[y]))
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    links.append((max(ids[x], ids[y]), min(ids[x], ids[y])))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+    return run
+
+
+def _shingles_of(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text"):
+            values, first = shingle_sets(Words(block.column("text"), lower=True), size)
+            owner = pa.array(np.repeat(np.arange(len(first) - 1), np.diff(first)))
+            yield pa.RecordBatch.from_arrays(
+                [block.column("id").take(owner), block.column("component").take(owner), pa.array(values.view(np.int64))],
+                names=["id", "component", "shingle"])
+    return run
+
+
+def _hopeful(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Members that can have a link to another component, with n (set size) and shared.
+
+    `shared` counts a member's shingles that occur in other components' members
+    as well.  A link needs percent of n in common, so a member with fewer shared
+    shingles has none: near copies with many edits of their own drop out here,
+    before any pair of them is looked at.
+    """
+    ids = members.select("id", "component").distinct()
+    rows = texts.join(ids, "id").select("id", "component", "text").mapInArrow(
+        _shingles_of(size), "id bigint, component bigint, shingle bigint")
+    common = rows.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    common = common.filter("least <> most").select("shingle", F.lit(1).alias("met"))
+    counts = rows.join(common, "shingle", "left").groupBy("id").agg(
+        F.count("*").alias("n"), F.count("met").alias("shared")).filter(F.col("shared") * 100 >= percent * F.col("n"))
+    kept = members.join(counts, "id")
+    several = kept.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    return kept.join(several.filter("least <> most").select("key"), "key")
+
+
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels, "id", "left").select(*rows.columns, F.coalesce("component", "id").alias("component"))
 
