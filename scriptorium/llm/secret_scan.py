@@ -7,12 +7,12 @@ random strings explains better than one of ordinary identifiers, by a
 log-likelihood ratio of at least MARGIN.
 
 Both models are first-order chains over the characters of ALPHABET with a start
-state, counts smoothed by SMOOTHING.  They are trained from labelled samples:
+state, counts smoothed by how often a character occurs at all.  They are trained from labelled samples:
 values that base spans hold are random strings, words of the same texts outside
-of them, numbers included, are
-ordinary identifiers.  The sample is the documents whose hash falls
-below a bound chosen for about SAMPLE_DOCS of them; without any sample both
-models are uniform and nothing is added.  What is kept of a model is a table of
+of them, numbers included but shorter than any
+candidate, are ordinary identifiers.  The sample is the documents whose hash falls
+below a bound chosen for about SAMPLE_DOCS of them; without samples of both
+kinds nothing is added.  What is kept of a model is a table of
 one ratio per pair of characters, which the alphabet bounds.
 
 Only DataFrame functions are used.  Positions come from the pieces between the
@@ -36,11 +36,12 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 PATTERNS = (("assign", ASSIGN, 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24))
 KINDS = ("assign", "access", "hex", "random")
 CANDIDATE = "[A-Za-z0-9+/_=-]{16,}"
-IDENTIFIER = "[A-Za-z0-9][A-Za-z0-9_-]{3,}"
+IDENTIFIER = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9][A-Za-z0-9_-]{3,14}(?![A-Za-z0-9+/_=-])"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 STATES = len(ALPHABET) + 1
 SAMPLE_DOCS = 20_000
 SMOOTHING = 0.5
+BACK_OFF = 5.0
 MARGIN = 15.0
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
@@ -84,12 +85,15 @@ def with_base(docs: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFram
 
 
 def _counts(strings: DataFrame) -> dict[tuple[int, int], int]:
-    """Pairs of states in strings of ALPHABET: one row per pair reaches the driver."""
+    """Strings of ALPHABET in which a pair of states occurs: one row per pair reaches the driver.
+
+    A pair counts once a string, so that no very long string outweighs the others.
+    """
     chained = strings.select(F.concat(F.array(F.lit(0)), F.transform(
         F.split("s", ""), lambda c: F.call_function("instr", F.lit(ALPHABET), c))).alias("c"))
-    pairs = chained.select(F.explode(F.zip_with(
+    pairs = chained.select(F.explode(F.array_distinct(F.zip_with(
         F.slice("c", F.lit(1), F.size("c") - 1), F.slice("c", F.lit(2), F.size("c") - 1),
-        lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"))
+        lambda a, b: F.struct(a.alias("a"), b.alias("b"))))).alias("p"))
     return {(r["a"], r["b"]): r["n"] for r in pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("n")).collect()}
 
 
@@ -111,16 +115,27 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOC
     return ratios(_counts(inside), _counts(outside))
 
 
-def ratios(random: dict[tuple[int, int], int], ordinary: dict[tuple[int, int], int]) -> list[float]:
+def _chances(counts: dict[tuple[int, int], int]) -> list[list[float]]:
+    """Chance of every state after every state: counts, backed off to how often a state occurs at all."""
+    often = [SMOOTHING] * STATES
+    for (_, b), n in counts.items():
+        often[b] += n
+    total = sum(often[1:])
     out = []
     for a in range(STATES):
-        sums = [sum(m.get((a, b), 0) for b in range(1, STATES)) for m in (random, ordinary)]
-        for b in range(STATES):
-            p, q = ((m.get((a, b), 0) + SMOOTHING) / (n + SMOOTHING * (STATES - 1)) for m, n in zip((random, ordinary), sums))
-            out.append(math.log(p / q) if b and any(sums) else 0.0)
+        row = [counts.get((a, b), 0) for b in range(STATES)]
+        out.append([(n + BACK_OFF * often[b] / total) / (sum(row) + BACK_OFF) for b, n in enumerate(row)])
     return out
 
 
+def ratios(random: dict[tuple[int, int], int], ordinary: dict[tuple[int, int], int]) -> list[float]:
+    """Log-likelihood ratios by pair of states; all 0 while one of the samples is empty."""
+    if not random or not ordinary:
+        return [0.0] * (STATES * STATES)
+    pairs = zip(_chances(random), _chances(ordinary))
+    return [math.log(p / q) for left, right in pairs for p, q in zip(left, right)]
+
+
 def score(token: Column, model: list[float]) -> Column:
     """Log-likelihood ratio of a string of ALPHABET."""
     table = F.split(F.lit(",".join(f"{x:.5f}" for x in model)), ",").cast("array<double>")

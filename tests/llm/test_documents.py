@@ -163,7 +163,7 @@ def reference():
 def test_ids_equal_the_public_library_and_decode_back(spark, docs, rows, reference):
     rng = random.Random(2)
     odd = ODD + ["".join(chr(rng.choice([rng.randint(33, 127), rng.randint(0x80, 0x2FFF), 32])) for _ in range(2000))]
-    table = spark.createDataFrame([(i, t, "ids", "x") for i, t in enumerate(odd)] + [(1000 + (i or 0), t, "y", "z") for i, t in rows],
+    table = spark.createDataFrame([(i, t, "ids", "x") for i, t in enumerate(odd)] + [(1000 + n, t, "y", "z") for n, (_, t) in enumerate(rows)],
                                   "doc_id long, text string, ids string, decoded string")
     found = bpe.decode(bpe.encode(table)).collect()
     texts = dict(table.select("doc_id", "text").collect())

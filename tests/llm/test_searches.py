@@ -209,6 +209,8 @@ def test_pipeline_stages_take_effect(spark):
     import corpus_pipeline as pipeline
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    secret = "The settings hold password = Xy7hunter2Q9 and nothing else of note"
+    docs = docs.union(spark.createDataFrame([(10**6, secret, "en", "src1", len(secret))], docs.schema)).coalesce(4)
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "near_dedup", "secret_scan", "source_mix", "byte_bpe"]
     before = docs
     for name, stage in pipeline.STAGES:
