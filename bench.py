@@ -47,6 +47,10 @@ def main() -> None:
     def bm25(k=50):
         return bm25_search(state["index"], d.queries.select("query_id", "q"), k=k)
 
+    def whole(result):
+        for part in (result.golden, result.keyword_hits, result.vector_hits, result.facets):
+            sink(part)
+
     def docs():
         return d.para_docs.selectExpr("cast(doc_id as string) paper_id", "paras")
 
@@ -54,8 +58,8 @@ def main() -> None:
         "build_index": build,
         "bm25_search": lambda: sink(bm25()),
         "vector_search": lambda: sink(vector_search(d.chunks, d.queries, None, 0.2, 200)),
-        "smart_search": lambda: sink(smart_search(
-            state["index"], d.papers, d.chunks, d.queries, floor=0.2, filtered=False).golden),
+        "smart_search": lambda: whole(smart_search(
+            state["index"], d.papers, d.chunks, d.queries, floor=0.2)),
         "facets": lambda: sink(facets(bm25(500), d.papers)),
         "keyword_cooccurrence": lambda: sink(st.keyword_cooccurrence(d.papers)),
         "tfidf_keywords": lambda: sink(st.tfidf_keywords(d.papers)),

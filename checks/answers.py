@@ -245,15 +245,15 @@ def _(d):
     return out.withColumn("keywords", F.when(F.col("task") == "summary", F.array_join("keywords", "|")))
 
 
-# answers: whole documents, every third line turned into a section heading, the others with reference marks
+# answers: whole documents, a section heading before every third line, reference marks on all
 _ANSWER_SPARK = """select doc_id query_id, array_join(transform(split(text, '\\\\n'), (l, i) -> case
-  when i % 3 = 1 then concat('## ', get(array('概念解释', '背景说明', '方法依据', '经验证据', '研究空白', '其他'), cast(floor(i / 3) as int) % 6), '：')
-  else concat(l, ' [', cast(i + 1 as string), '][', cast(doc_id % 17 as string), '] [1234]') end), '\\n') text
+  when i % 3 = 1 then concat('## ', get(array('概念解释', '背景说明', '方法依据', '经验证据', '研究空白', '其他'), cast(floor(i / 3) as int) % 6), '：', '\\n') else '' end
+  || concat(l, ' [', cast(i + 1 as string), '][', cast(doc_id % 17 as string), '] [1234]')), '\\n') text
   from {documents}"""
 ANSWERS = (
     """answers as materialized (select doc_id query_id, array_to_string(list_transform(range(len(l)), lambda i: case
-      when i % 3 = 1 then concat('## ', list_extract(['概念解释', '背景说明', '方法依据', '经验证据', '研究空白', '其他'], (i // 3) % 6 + 1), '：')
-      else concat(l[i + 1], ' [', i + 1, '][', doc_id % 17, '] [1234]') end), chr(10)) text
+      when i % 3 = 1 then concat('## ', list_extract(['概念解释', '背景说明', '方法依据', '经验证据', '研究空白', '其他'], (i // 3) % 6 + 1), '：', chr(10)) else '' end
+      || concat(l[i + 1], ' [', i + 1, '][', doc_id % 17, '] [1234]')), chr(10)) text
       from (select doc_id, string_split(text, chr(10)) l from documents))""",
     "cites as (select doc_id query_id, k ref_id, concat('c', k) chunk_id, concat('p', k % 3) paper_id from documents, "
     "range(1, 8) r(k))",

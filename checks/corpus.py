@@ -13,7 +13,7 @@ from scriptorium.operators.bm25 import bm25_search
 from scriptorium.operators.facets import facets
 from scriptorium.operators.fusion import rrf_fuse
 from scriptorium.operators.vector import chunks_to_papers, vector_search
-from scriptorium.scale import cut_lineage
+from scriptorium.scale import cut_lineage, global_rank
 from scriptorium.sources.index import build_index, build_term_stats
 
 from .registry import (
@@ -246,7 +246,29 @@ def _(d):
        "coalesce(publish_year, 0) desc, rank)::int rank from w_hits join papers using (paper_id)",
        ("papers", "queries"), WORD_HITS)
 def _(d):
-    return rk.sort_by_year(word_hits(d), d.papers).select("query_id", "paper_id", r6("score", "score"), "rank")
+    return rk.sort_by_year(word_hits(d), d.papers, 500).select("query_id", "paper_id", r6("score", "score"), "rank")
+
+
+# whole lists: several hundred papers a query
+ALL_HITS = (*WORDS, ranked_cte("w_hits", "w_scores", 1_000_000_000))
+
+
+@check("sort_by_year_all",
+       "select query_id, paper_id, round(score, 6) score, row_number() over (partition by query_id order by "
+       "coalesce(publish_year, 0) desc, rank)::int rank from w_hits join papers using (paper_id)",
+       ("papers", "queries"), ALL_HITS)
+def _(d):
+    return rk.sort_by_year(word_hits(d, 0), d.papers).select(
+        "query_id", "paper_id", r6("score", "score"), F.col("rank").cast("int").alias("rank"))
+
+
+@check("rrf_fuse_long", HITS_SQL.format("fused"), ("papers", "queries"), (
+    *ALL_HITS, "p_hits as (select query_id, paper_id, score, matched, row_number() over (partition by query_id order by "
+    "paper_id) rank from w_scores)", rrf_cte("fused", "w_hits", "p_hits", 1_000_000_000)))
+def _(d):
+    """Lists without a limit: by score, and by paper."""
+    words = cut_lineage(word_hits(d, 0))
+    return hits_out(rrf_fuse(words, global_rank(words.drop("rank"), ["query_id"], [F.col("paper_id").asc()])))
 
 
 @check("hydrate_hits",

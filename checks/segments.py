@@ -18,25 +18,37 @@ _DENSE = """case {i} % 11
   when 0 then concat('第', list_el({numerals}, {i} // 11 % 10), '章 研究背景') when 3 then concat(({i} // 11 + 1)::{S}, ' 相关研究综述')
   when 4 then concat(list_el({numerals}, {i} // 11 % 10), '、数据与变量') when 6 then '结论与展望'
   when 7 then case when {i} // 11 % 2 = 0 then '1.1 小节标题' else '研究方法' end
-  when 8 then concat('（', list_el({numerals}, 2), '）说明') when 9 then case when {i} // 11 % 3 = 1 then '引言' else {p} end
-  else {p} end"""
+  when 8 then concat('（', list_el({numerals}, 2), '）说明') when 9 then case when {i} // 11 % 3 = 1 then '引言' end
+  end"""
 NUMERALS = ("一", "二", "三", "四", "五", "七", "六", "十一", "二十", "百")
 
 
+# headings put before line i: one, a run of two, a run of three or four
+_RUNS = ((0, (0, 3, 6)), (1, (3, 6)), (2, (6,)), (3, (6,)))
+
+
+def _inserted(heading: str) -> str:
+    """Headings before a line, from the text of a heading with {i} for its number."""
+    return ", ".join(
+        f"case when i % 11 in ({', '.join(map(str, at))}) then {heading.replace('{i}', f'(i + {step})')} end"
+        for step, at in _RUNS)
+
+
 def dense(d):
-    """Whole documents with many headings, some out of sequence, some in runs."""
+    """Whole documents with many headings between their lines, some out of sequence, some in runs."""
     words = "array(" + ", ".join(f"'{n}'" for n in NUMERALS) + ")"
-    text = (_DENSE.replace("{i} // 11", "cast(floor(i / 11) as int)").replace("{i}", "i").replace("{p}", "trim(p)")
-            .replace("list_el({numerals}, ", f"get({words}, ").replace("(cast(floor(i / 11) as int) + 1)::{S}",
-                                                                      "cast(cast(floor(i / 11) as int) + 1 as string)"))
-    return d.documents.select("doc_id", F.expr(f"transform(split(text, '\\\\n'), (p, i) -> {text})").alias("paras"))
+    text = (_DENSE.replace("{i} // 11", "cast(floor({i} / 11) as int)")
+            .replace("list_el({numerals}, ", f"get({words}, ").replace("(cast(floor({i} / 11) as int) + 1)::{S}",
+                                                                      "cast(cast(floor({i} / 11) as int) + 1 as string)"))
+    return d.documents.select("doc_id", F.expr(
+        f"flatten(transform(split(text, '\\\\n'), (p, i) -> array_compact(array({_inserted(text)}, trim(p)))))").alias("paras"))
 
 
 def _dense_duck():
     words = "[" + ", ".join(f"'{n}'" for n in NUMERALS) + "]"
-    text = (_DENSE.replace("list_el({numerals}, ", f"list_extract({words}, 1 + ").replace("{i}", "i")
-            .replace("{p}", "trim(l[i + 1])").replace("{S}", "varchar"))
-    return (f"dense as materialized (select doc_id, list_transform(range(len(l)), lambda i: {text}) paras "
+    text = _DENSE.replace("list_el({numerals}, ", f"list_extract({words}, 1 + ").replace("{S}", "varchar")
+    return ("dense as materialized (select doc_id, flatten(list_transform(range(len(l)), lambda i: "
+            f"list_filter([{_inserted(text)}, trim(l[i + 1])], lambda x: x is not null))) paras "
             "from (select doc_id, string_split(text, chr(10)) l from documents))")
 
 

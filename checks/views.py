@@ -27,7 +27,8 @@ select cast(d.doc_id as {S}) paper_id,
   split_part(d.text, chr(10), 2) research_design_text,
   d.text raw_body
 from documents d
-join part p on p.p_partkey = d.doc_id % 100 + 1
+cross join (select count(*) n from part) c
+join part p on p.p_partkey = d.doc_id % c.n
 """
 
 # five chunks that together cover the whole text of a document
@@ -54,20 +55,20 @@ HISTORY = "select event_id id, event_type mode, cast(user_id as {S}) query, prop
 HEADINGS = ("引言与背景", "研究方法与模型", "实验结果分析", "结论与展望", "参考文献")
 
 _PARA_SPARK = """
-select doc_id, transform(split(text, '\\\\n'), (para, pos) -> case when pos % 4 = 0
-    then concat(cast(cast(floor(pos / 4) as int) + 1 as string), ' ',
+select doc_id, flatten(transform(split(text, '\\\\n'), (para, pos) -> case when pos % 4 = 0
+    then array(concat(cast(cast(floor(pos / 4) as int) + 1 as string), ' ',
       element_at(array('引言与背景', '研究方法与模型', '实验结果分析', '结论与展望', '参考文献'),
-                 cast(floor(pos / 4) as int) % 5 + 1))
-    else trim(para) end) paras
+                 cast(floor(pos / 4) as int) % 5 + 1)), trim(para))
+    else array(trim(para)) end)) paras
 from documents
 """
 
 _PARA_DUCK = """
-select doc_id, list_transform(range(len(l)), lambda pos: case when pos % 4 = 0
-    then concat(cast(cast(floor(pos / 4) as int) + 1 as varchar), ' ',
+select doc_id, flatten(list_transform(range(len(l)), lambda pos: case when pos % 4 = 0
+    then [concat(cast(cast(floor(pos / 4) as int) + 1 as varchar), ' ',
       list_extract(['引言与背景', '研究方法与模型', '实验结果分析', '结论与展望', '参考文献'],
-                   cast(floor(pos / 4) as int) % 5 + 1))
-    else trim(l[pos + 1]) end) paras
+                   cast(floor(pos / 4) as int) % 5 + 1)), trim(l[pos + 1])]
+    else [trim(l[pos + 1])] end)) paras
 from (select doc_id, string_split(text, chr(10)) l from documents)
 """
 

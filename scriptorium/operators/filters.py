@@ -232,5 +232,7 @@ def locate_exact(papers: DataFrame, requests: DataFrame) -> DataFrame:
     """requests(query_id, doi, title) -> the smallest matching paper_id."""
     def by(column):
         asked = requests.select("query_id", strip(column).alias(column)).filter(F.col(column) != "")
-        return papers.select("paper_id", column).join(asked, column).select("query_id", "paper_id")
+        # one row per value first: titles repeat
+        held = papers.groupBy(column).agg(F.min("paper_id").alias("paper_id"))
+        return held.join(asked, column).select("query_id", "paper_id")
     return by("doi").unionByName(by("title")).groupBy("query_id").agg(F.min("paper_id").alias("paper_id"))

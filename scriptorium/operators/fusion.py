@@ -26,12 +26,10 @@ def rrf_scores(list_a: DataFrame, list_b: DataFrame, k: int = rules.RRF_K) -> Da
     )
 
 
-def rrf_fuse(list_a: DataFrame, list_b: DataFrame, k: int = rules.RRF_K, top: int = 0,
-             max_list: int = 200) -> DataFrame:
+def rrf_fuse(list_a: DataFrame, list_b: DataFrame, k: int = rules.RRF_K, top: int = 0) -> DataFrame:
     """Sum of 1 / (k + rank) over two ranked lists, ranked again.
 
-    The lists hold at most `max_list` rows per query, so the fused list holds
-    at most twice that; `max_list=0` for lists of any length.
+    `top` <= 0 keeps all rows.  Callers that know the lists' lengths pass their
+    sum, which drops nothing and spares the distributed ranking.
     """
-    limit = top if top > 0 else 2 * max_list
-    return top_k(rrf_scores(list_a, list_b, k), ["query_id"], fused_order(), limit, ["paper_id"])
+    return top_k(rrf_scores(list_a, list_b, k), ["query_id"], fused_order(), top, ["paper_id"])

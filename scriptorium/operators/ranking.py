@@ -31,11 +31,10 @@ def paginate(hits: DataFrame, page: int = 1, size: int = 20) -> DataFrame:
     return shown.join(totals, "query_id")
 
 
-def sort_by_year(hits: DataFrame, papers: DataFrame, k: int = 500) -> DataFrame:
+def sort_by_year(hits: DataFrame, papers: DataFrame, k: int = 0) -> DataFrame:
     """Newest first, relevance order inside a year; a missing year sorts last.
 
-    `hits` holds at most k rows per query (as the search operators return);
-    k <= 0 for lists of any length.
+    All rows stay.  A caller that knows that no list is longer than k passes k.
     """
     dated = hits.join(papers.select("paper_id", F.coalesce("publish_year", F.lit(0)).alias("_year")),
                       "paper_id", "left")

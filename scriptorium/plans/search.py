@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions.text import strip
+from ..functions.text import strip, tokenize
 from ..operators.bm25 import bm25_search
 from ..operators.boolean import boolean_search
 from ..operators.facets import facets
@@ -53,8 +53,8 @@ def traditional_search(index: Index, papers: DataFrame, queries: DataFrame, fiel
     """Field-limited search of queries(query_id, q) with filters, facets and paging.
 
     A metadata field searches that column; `expressions` {query_id: expression}
-    are answered as boolean queries; a blank q with a filter lists the filtered
-    papers.
+    are answered as boolean queries; a q without tokens, with a filter, lists the
+    filtered papers.
     """
     if field in rules.LOOKUP_FIELDS:
         return _lookup_search(papers, queries, field, year, filters, sort, page, page_size)
@@ -67,7 +67,7 @@ def traditional_search(index: Index, papers: DataFrame, queries: DataFrame, fiel
         hits = hits.unionByName(
             boolean_search(index, papers, expressions, field, condition, TRADITIONAL_K).select(*hits.columns))
     if condition is not None:
-        blank = plain.filter(strip(F.coalesce("q", F.lit(""))) == "").select("query_id")
+        blank = plain.filter(F.size(tokenize(F.coalesce("q", F.lit("")))) == 0).select("query_id")
         listed = _listed(papers.filter(condition), blank)
         hits = hits.unionByName(listed.select(*hits.columns))
     return _finish(hits, papers, sort, page, page_size, 0 if condition is not None else TRADITIONAL_K)
@@ -122,22 +122,20 @@ class SmartResult:
 
 def smart_search(index: Index, papers: DataFrame, chunks: DataFrame | None, queries: DataFrame,
                  rewrites: DataFrame | None = None, user_filter: str | None = None,
-                 floor: float = rules.VECTOR_FLOOR, filtered: bool = True) -> SmartResult:
+                 floor: float = rules.VECTOR_FLOOR) -> SmartResult:
     """Hybrid search of queries(query_id, q, q_vec).
 
     Query analysis (rules, or rewrites when given) -> allowed papers -> BM25 and
     vector arms -> fusion -> precision cut.  Without chunks only the word arm
-    runs.  `filtered=False` skips the filter step when no query carries one.
+    runs.
     """
     if rewrites is None:
         accepted = expand_query(queries)
         analysed = accepted.withColumn("bm25_text", F.concat_ws(" ", F.array_join("keywords", " "), "q"))
     else:
         analysed = cut_lineage(apply_rewrites(queries, rewrites))
-    scopes = None
-    if filtered:
-        analysed, user = _user_column(analysed, user_filter)
-        scopes = allowed_merge(papers, analysed, "analysis_filter", user)
+    analysed, user = _user_column(analysed, user_filter)
+    scopes = allowed_merge(papers, analysed, "analysis_filter", user)
     # both arms are short and read again by fusion, facets and references: stored once
     words = cut_lineage(bm25_search(index, analysed, text="bm25_text", scopes=scopes, k=SMART_K))
     if chunks is None:
@@ -145,7 +143,7 @@ def smart_search(index: Index, papers: DataFrame, chunks: DataFrame | None, quer
     else:
         chunk_hits = vector_search(chunks, analysed.filter(F.col("q_vec").isNotNull()), scopes, floor, SMART_K)
         vectors = cut_lineage(chunks_to_papers(chunk_hits, SMART_K).select(*words.columns))
-    golden = precision_filter(rrf_fuse(words, vectors, max_list=SMART_K))
+    golden = precision_filter(rrf_fuse(words, vectors, top=2 * SMART_K))
     return SmartResult(golden, words, vectors, facets(golden, papers), analysed)
 
 
@@ -175,7 +173,7 @@ def related_papers(index: Index, papers: DataFrame, chunks: DataFrame, seeds: Da
     words = cut_lineage(bm25_search(index, asked, k=RELATED_K))
     vectors = seed_vectors(chunks, seeds).select(F.col("paper_id").alias("query_id"), "q_vec")
     near = cut_lineage(chunks_to_papers(vector_search(chunks, vectors, None, 0.0, RELATED_CHUNKS), RELATED_K))
-    fused = rrf_fuse(words, near, max_list=RELATED_K)
+    fused = rrf_fuse(words, near, top=2 * RELATED_K)
     others = fused.filter(F.col("paper_id") != F.col("query_id")).withColumnRenamed("rank", "_old")
     ranked = top_k(others, ["query_id"], [F.col("_old").asc()], n, ["paper_id"]).drop("_old", "matched_fields")
     shown = papers.select("paper_id", "title", "author", F.coalesce("publish_year", F.lit(0)).alias("year"),

@@ -23,12 +23,14 @@ SCORE_DIGITS = 6
 
 
 def storage_root(spark: SparkSession) -> str:
-    """The shared folder for checkpoints; a temporary one only where none is set."""
+    """The shared folder for checkpoints; a temporary one only in local mode where none is set."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return context.getCheckpointDir()
 
@@ -110,7 +112,7 @@ def global_rank(df: DataFrame, groups: list[str], order: list[Column], rank: str
     same = [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in ("_part", *groups)]
     joined = numbered.alias("n").join(offsets.alias("o"), same)
     columns = [F.col(f"n.{c}") for c in df.columns]
-    return joined.select(*columns, (F.col("n._n") + F.col("o._before")).cast("int").alias(rank))
+    return joined.select(*columns, (F.col("n._n") + F.col("o._before")).cast("bigint").alias(rank))
 
 
 def by_score(score: str = "score", *ids: str) -> list[Column]:

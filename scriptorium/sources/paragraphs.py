@@ -32,11 +32,23 @@ def full_text(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(key, F.array_join("paras", "\n\n").alias("full_text"))
 
 
-def read_documents(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
+def hidden_documents(spark: SparkSession, path: str, glob: str = "*.txt") -> list[str]:
+    """Names in a folder that match but that Spark lists for no reader: those that start with an underscore."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_{glob}")
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target)
+    return sorted(s.getPath().getName() for s in found or [])
+
+
+def read_documents(spark: SparkSession, path: str, glob: str = "*.txt", skip_hidden: bool = False) -> DataFrame:
     """One row per text file: (paper_id, text); lock and companion files skipped.
 
-    Spark itself lists no file whose name starts with an underscore or a dot.
+    Spark lists no file whose name starts with an underscore.  Such a file is an
+    error, so that none is lost in silence, unless `skip_hidden` is set.
     """
+    hidden = [] if skip_hidden else hidden_documents(spark, path, glob)
+    if hidden:
+        raise ValueError(f"rename {len(hidden)} files whose names start with an underscore: {', '.join(hidden[:5])}")
     files = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
-    named = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    # the file path is percent-encoded, the name is not
+    named = files.select(F.col("_metadata.file_name").alias("path"), F.col("value").alias("text"))
     return named.filter(~F.col("path").rlike(SKIPPED_FILES)).select(derive_paper_id("path").alias("paper_id"), "text")

@@ -12,13 +12,19 @@ HISTORY_MAX = 200
 
 
 def latest(updates: DataFrame, keys: list[str], order_col: str) -> DataFrame:
-    """The last writer per key; the limit of one row applies before the shuffle."""
-    first = top_k(updates, keys, [F.col(order_col).desc()], 1, [order_col], "_rank")
+    """The last writer per key, ties by the rows' content; the limit of one row applies before the shuffle."""
+    order = [F.col(order_col).desc(), F.xxhash64(*updates.columns).asc()]
+    first = top_k(updates, keys, order, 1, [order_col], "_rank")
     return first.drop("_rank")
 
 
 def upsert(base: DataFrame, updates: DataFrame, keys: list[str], order_col: str | None = None) -> DataFrame:
-    """Insert or replace whole rows by key; new columns are added, never dropped."""
+    """Insert or replace whole rows by key; new columns are added, never dropped.
+
+    Without `order_col` the keys of the updates must be unique.
+    """
+    if order_col is None and not updates.groupBy(*keys).count().filter("count > 1").isEmpty():
+        raise ValueError(f"several updates of one {', '.join(keys)}: name the column that orders them")
     fresh = latest(updates, keys, order_col).drop(order_col) if order_col else updates
     kept = base.join(fresh.select(*keys), keys, "left_anti")
     return kept.unionByName(fresh, allowMissingColumns=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,8 @@ class VersionedTables:
     """papers and chunks, one folder of changed rows per ingested batch.
 
     A batch writes only its own rows and is then published by an empty marker
-    file.  Readers merge the published versions: the newest row of a paper
+    file, named by version, run and batch: versions count on over all runs, so a
+    new or reset checkpoint, which numbers its batches from 0 again, loses nothing.  Readers merge the published versions: the newest row of a paper
     counts, and of its chunks only those written with that row, so a paper that
     shrinks loses its old chunks.  A batch that fails before its marker changes
     nothing for readers; a repeated batch overwrites its own folder.
@@ -28,16 +30,20 @@ class VersionedTables:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
 
-    def current(self) -> int | None:
-        """Number of the newest published version."""
+    def published(self) -> dict[tuple[str, int], int]:
+        """Version of every published (run, batch)."""
         files, folder = self._path("_published")
         if not files.exists(folder):
-            return None
-        numbers = [int(s.getPath().getName()) for s in files.listStatus(folder)]
-        return max(numbers, default=None)
+            return {}
+        names = [s.getPath().getName().split("~") for s in files.listStatus(folder)]
+        return {(run, int(batch)): int(version) for version, run, batch in names}
+
+    def current(self) -> int | None:
+        """Number of the newest published version."""
+        return max(self.published().values(), default=None)
 
-    def publish(self, version: int) -> None:
-        files, marker = self._path(f"_published/{version}")
+    def publish(self, version: int, run: str, batch: int) -> None:
+        files, marker = self._path(f"_published/{version}~{run}~{batch}")
         files.create(marker, True).close()
 
     def write(self, table: str, df: DataFrame, version: int) -> None:
@@ -61,29 +67,42 @@ class VersionedTables:
         merged = VersionedTables(self.spark, path)
         for table in ("papers", "chunks"):
             merged.write(table, self.read(table, version), version)
-        merged.publish(version)
+        merged.publish(version, "compacted", version)
         return merged
 
 
-def apply_batch(tables: VersionedTables, papers: DataFrame, chunks: DataFrame, version: int) -> None:
-    """Write changed papers and their chunks as one version and publish it."""
-    newest = tables.current()
-    if newest is not None and newest >= version:
-        return  # this batch was published before a restart
+def apply_batch(tables: VersionedTables, papers: DataFrame, to_chunks: Callable[[DataFrame], DataFrame],
+                run: str, batch: int) -> None:
+    """Write changed papers and their chunks as one version and publish it.
+
+    Only a batch that this run has published before is skipped.  Chunks are made
+    from the papers as written, so both tables hold the same rows.
+    """
+    published = tables.published()
+    if (run, batch) in published:
+        return
+    version = max(published.values(), default=-1) + 1
     tables.write("papers", papers, version)
-    tables.write("chunks", chunks, version)
-    tables.publish(version)
+    written = tables.spark.read.parquet(f"{tables.path}/papers/version={version}")
+    tables.write("chunks", to_chunks(written), version)
+    tables.publish(version, run, batch)
+
+
+def _run_of(spark: SparkSession, checkpoint: str) -> str:
+    """Id of the run that a checkpoint folder belongs to."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
 
 
 def stream_upsert(stream: DataFrame, tables: VersionedTables, to_chunks: Callable[[DataFrame], DataFrame],
                   checkpoint: str, order_col: str | None = None, **trigger) -> StreamingQuery:
     """Run a stream of paper rows into `tables`; `to_chunks` makes their chunks.
 
-    Several rows of one paper in a batch are settled by `order_col`.
+    Several rows of one paper in a batch are settled by `order_col`, ties by
+    the rows' content.
     """
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         rows = latest(batch, ["paper_id"], order_col).drop(order_col) if order_col else batch
-        apply_batch(tables, rows, to_chunks(rows), batch_id)
+        apply_batch(tables, rows, to_chunks, _run_of(tables.spark, checkpoint), batch_id)
 
     trigger = trigger or {"availableNow": True}
     return (stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)

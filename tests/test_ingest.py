@@ -35,6 +35,40 @@ def test_read_documents_skips_lock_files(spark, tmp_path):
     assert [(r.pos, r.para) for r in paras] == [(0, "第一段"), (1, "第二段")]
 
 
+def test_read_documents_keeps_names(spark, tmp_path):
+    names = ["中文 论文.txt", "a%20b.txt", "c#d.txt", "e+f.txt"]
+    for name in names:
+        (tmp_path / name).write_text("x", encoding="utf-8")
+    found = {r.paper_id for r in pg.read_documents(spark, str(tmp_path)).collect()}
+    assert found == {n.removesuffix(".txt") for n in names}
+    (tmp_path / "_中文 论文.txt").write_text("x", encoding="utf-8")
+    with pytest.raises(ValueError, match="underscore"):
+        pg.read_documents(spark, str(tmp_path))
+    assert pg.read_documents(spark, str(tmp_path), skip_hidden=True).count() == len(names)
+
+
+def test_upsert_needs_an_order_for_repeated_keys(spark):
+    base = spark.createDataFrame([("a", 1)], "paper_id string, v int")
+    twice = spark.createDataFrame([("a", 2), ("a", 3)], "paper_id string, v int")
+    with pytest.raises(ValueError, match="paper_id"):
+        tb.upsert_papers(base, twice)
+    assert tb.upsert_papers(base, twice.limit(1)).count() == 1
+
+
+def test_stream_into_the_same_tables_from_a_new_checkpoint(spark, tmp_path):
+    tables = si.VersionedTables(spark, str(tmp_path / "t"))
+    for n in ("one", "two"):
+        rows = spark.createDataFrame([(n, n, 1)], "paper_id string, title string, seq int")
+        rows.write.parquet(str(tmp_path / n))
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / n))
+        make = lambda papers: papers.select("paper_id", F.lit(0).alias("chunk_index"))
+        for _ in range(2):
+            si.stream_upsert(stream, tables, make, str(tmp_path / f"state-{n}"), "seq").awaitTermination()
+    assert {r.paper_id for r in tables.read("papers").collect()} == {"one", "two"}
+    assert {r.paper_id for r in tables.read("chunks").collect()} == {"one", "two"}
+    assert sorted(tables.published().values()) == [0, 1]
+
+
 def links(spark, docs, titles):
     rows = spark.createDataFrame(list(enumerate(titles)), "row_no long, title string")
     df = spark.createDataFrame(docs, "paper_id string, title_hint string")

@@ -141,6 +141,15 @@ def test_paginate_bounds(spark):
     assert {r.total for r in rk.paginate(hits(spark, [1, 1, 1]), 2, 2).collect()} == {3}
 
 
+def test_fusion_and_year_order_keep_whole_lists(spark, papers):
+    schema = "query_id string, paper_id string, score double, matched_fields array<string>, rank int"
+    a = spark.createDataFrame([("q", f"a{i}", 1.0, ["x"], i + 1) for i in range(500)], schema)
+    b = spark.createDataFrame([("q", f"b{i}", 1.0, ["y"], i + 1) for i in range(500)], schema)
+    fused = rrf_fuse(a, b)
+    assert fused.count() == 1000 and rrf_fuse(a, b, top=7).count() == 7
+    assert rk.sort_by_year(a.union(b), papers).count() == 1000
+
+
 def test_global_rank_matches_sorting(spark):
     rng = random.Random(3)
     # one group holds most rows, with many equal scores
@@ -203,6 +212,8 @@ def test_traditional_search_modes(spark, papers):
     blank = traditional_search(index, papers, queries(spark, ""), filters=fl.SearchFilters(author="张三"))
     assert [h.paper_id for h in blank.hits.orderBy("rank").collect()] == ["p1", "p3"]
     assert traditional_search(index, papers, queries(spark, "")).hits.count() == 0
+    marks = traditional_search(index, papers, queries(spark, "！？"), filters=fl.SearchFilters(author="张三"))
+    assert [h.paper_id for h in marks.hits.orderBy("rank").collect()] == ["p1", "p3"]
     mixed = traditional_search(index, papers, spark.createDataFrame(
         [("a", "综述"), ("b", "ignored")], "query_id string, q string"), expressions={"b": Term("方法", "title")},
         sort="year")
