@@ -71,7 +71,8 @@ def _(d):
        "select paper_id, 0.0::double score, row_number() over (order by paper_id)::int rank from papers "
        f"where lower({d_strip('author')}) like 'author1%' and coalesce(is_core, 0) = 0", ("papers",))
 def _(d):
-    return fl.field_lookup(d.papers, "first_author", " Author1", filters=fl.SearchFilters(is_core=False))
+    found = fl.field_lookup(d.papers, "first_author", " Author1", filters=fl.SearchFilters(is_core=False))
+    return found.withColumn("rank", F.col("rank").cast("int"))
 
 
 def filter_queries(d):
@@ -231,7 +232,7 @@ def _(d):
        ("papers", "queries"), WORDS)
 def _(d):
     """k = 0: every match is ranked, no list is gathered in one task."""
-    return word_hits(d, k=0).select("query_id", "paper_id", "rank")
+    return word_hits(d, k=0).select("query_id", "paper_id", F.col("rank").cast("int").alias("rank"))
 
 
 @check("paginate", "select query_id, paper_id, rank::int rank, total from w_hits join (select query_id, count(*) "

@@ -97,7 +97,7 @@ LEAVES = (
        (*index_ctes(), *LEAVES, ranked_cte("hits", "b_scores", 500)))
 def _(d):
     hits = boolean_search(build_index(d.papers), d.papers, EXPRESSIONS)
-    return hits.select("query_id", "paper_id", r6("score", "score"), "rank")
+    return hits.select("query_id", "paper_id", r6("score", "score"), F.col("rank").cast("int").alias("rank"))
 
 
 # --- vectors ----------------------------------------------------------------
@@ -106,7 +106,7 @@ CHUNK_HITS = "select query_id, chunk_id, paper_id, chunk_index, round(score, 6)
 
 
 def _chunk_hits(hits):
-    return hits.select("query_id", "chunk_id", "paper_id", "chunk_index", r6("score", "score"), "rank")
+    return hits.select("query_id", "chunk_id", "paper_id", "chunk_index", r6("score", "score"), F.col("rank").cast("int").alias("rank"))
 
 
 @check("vector_search", CHUNK_HITS, ("chunks", "queries"), vector_ctes("v", "queries", 0.0))
@@ -129,7 +129,7 @@ def _(d):
     vector = F.when(F.col("query_id") % 4 != 0, F.col("q_vec"))
     requests = d.queries.select(
         "query_id", (F.col("query_id") % 97).cast("string").alias("paper_id"), vector.alias("q_vec"))
-    return rank_chunks(d.chunks, requests).select("query_id", "paper_id", "chunk_id", r6("score", "score"), "rank")
+    return rank_chunks(d.chunks, requests).select("query_id", "paper_id", "chunk_id", r6("score", "score"), F.col("rank").cast("int").alias("rank"))
 
 
 # --- query analysis ---------------------------------------------------------
@@ -249,7 +249,7 @@ def _page_search(d):
        "coalesce(publish_year, 0) \"year\", count(*) over (partition by query_id) total from w_hits join papers "
        "using (paper_id)) where rank > 10 and rank <= 20", ("papers", "queries"), PAGED)
 def _(d):
-    return _page_search(d).page.select("query_id", "paper_id", r6("score", "score"), "rank", "total", "title", "year")
+    return _page_search(d).page.select("query_id", "paper_id", r6("score", "score"), F.col("rank").cast("int").alias("rank"), "total", "title", "year")
 
 
 @check("traditional_search_facets", facet_sql("w_hits"), ("papers", "queries"), (*PAGED, FACET_ROWS))
@@ -266,7 +266,7 @@ def _(d):
     names = d.queries.select("query_id", F.concat(
         F.lit(" Author"), (F.col("query_id") % 40).cast("string"), F.lit(";")).alias("q"))
     result = search.traditional_search(build_index(d.papers), d.papers, names, field="author")
-    return result.page.select("query_id", "paper_id", "rank", "total")
+    return result.page.select("query_id", "paper_id", F.col("rank").cast("int").alias("rank"), "total")
 
 
 def _smart_ctes(floor):

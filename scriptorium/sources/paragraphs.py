@@ -49,6 +49,7 @@ def read_documents(spark: SparkSession, path: str, glob: str = "*.txt", skip_hid
     if hidden:
         raise ValueError(f"rename {len(hidden)} files whose names start with an underscore: {', '.join(hidden[:5])}")
     files = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
-    # the file path is percent-encoded, the name is not
-    named = files.select(F.col("_metadata.file_name").alias("path"), F.col("value").alias("text"))
+    # names are percent-encoded; a plus sign is one
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    named = files.select(name.alias("path"), F.col("value").alias("text"))
     return named.filter(~F.col("path").rlike(SKIPPED_FILES)).select(derive_paper_id("path").alias("paper_id"), "text")
