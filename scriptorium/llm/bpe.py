@@ -37,8 +37,8 @@ from pyspark.sql import types as T
 from .wordhash import blocks
 
 # entries of a cache generation; two generations are kept
-PIECES = 150_000
-WORDS = 400_000
+PIECES = 100_000
+WORDS = 250_000
 # matches up to this many bytes are merged side by side
 SIDE_BY_SIDE = 64
 _NONE = np.iinfo(np.int64).max
