@@ -10,7 +10,8 @@ from scriptorium.operators.filters import SearchFilters
 from scriptorium.operators.rewrites import apply_rewrites, expand_query
 from scriptorium.operators.vector import rank_chunks, vector_search
 from scriptorium.plans import search
-from scriptorium.sources.index import build_index
+from scriptorium.scale import scratch_path
+from scriptorium.sources.index import build_index, read_index, write_index
 
 from .corpus import ALLOWED, FACET_ROWS, FILTER_QUERIES, WORDS, facet_sql, filter_queries
 from .registry import (
@@ -25,6 +26,19 @@ def _(d):
     return hits_out(bm25_search(build_index(d.papers), d.queries.select("query_id", "q"), k=50))
 
 
+def stored_index(d):
+    """The index as written to shared storage and opened again."""
+    path = scratch_path(d.spark, "index")
+    write_index(d.papers, path, term_buckets=8)
+    return read_index(d.spark, path)
+
+
+@check("bm25_search_stored", HITS_SQL.format("w_hits"), ("papers", "queries"),
+       (*WORDS, ranked_cte("w_hits", "w_scores", 50)))
+def _(d):
+    return hits_out(bm25_search(stored_index(d), d.queries.select("query_id", "q"), k=50))
+
+
 @check("bm25_search_theme", HITS_SQL.format("w_hits"), ("papers", "queries"),
        (*index_ctes(), *bm25_ctes("w", "queries", mask="field in ('title', 'keywords', 'abstract')"),
         ranked_cte("w_hits", "w_scores", 500)))
@@ -301,6 +315,11 @@ def _(d):
     return hits_out(smart(d, 0.20).golden)
 
 
+@check("smart_search_stored", HITS_SQL.format("golden"), ("papers", "chunks", "queries"), _smart_ctes(0.2))
+def _(d):
+    return hits_out(search.smart_search(stored_index(d), d.papers, d.chunks, asked(d), floor=0.20).golden)
+
+
 @check("smart_search_facets", facet_sql("golden"), ("papers", "chunks", "queries"), (*_smart_ctes(0.2), FACET_ROWS))
 def _(d):
     return smart(d, 0.20).facets

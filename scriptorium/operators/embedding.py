@@ -23,29 +23,38 @@ def _unit(vector) -> list[float] | None:
 
 
 def embed_texts(df: DataFrame, text: str = "chunk_text", output: str = "embedding",
-                encoder_factory: Callable[[], Encoder] | None = None, batch: int = 32) -> DataFrame:
+                encoder_factory: Callable[[], Encoder] | None = None, batch: int = 32,
+                error: str | None = None) -> DataFrame:
     """Add a unit vector per row.
 
     Without a factory the hashing encoder runs as native columns.  A factory is
     called once per task and its encoder gets lists of at most `batch` texts; a
-    batch that fails leaves NULL vectors, so its rows stay searchable by words.
+    batch that fails leaves NULL vectors, so its rows stay searchable by words;
+    `error` names a column for what went wrong with a row's batch.
     """
     if encoder_factory is None:
-        return add_hashed_vectors(df, text, output, DIMENSIONS).withColumn(
+        hashed = add_hashed_vectors(df, text, output, DIMENSIONS).withColumn(
             output, F.col(output).cast("array<float>"))
+        return hashed.withColumn(error, F.lit(None).cast("string")) if error else hashed
 
-    @F.pandas_udf("array<float>")
-    def encode(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("vector array<float>, failure string")
+    def encode(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = encoder_factory()
         for texts in frames:
             values = texts.fillna("").tolist()
             vectors: list = []
+            failures: list[str | None] = []
             for start in range(0, len(values), batch):
                 part = values[start:start + batch]
                 try:
-                    vectors.extend(_unit(v) for v in encoder(part))
-                except Exception:
+                    vectors.extend([_unit(v) for v in encoder(part)])
+                    failures.extend([None] * len(part))
+                except Exception as e:
                     vectors.extend([None] * len(part))
-            yield pd.Series(vectors, dtype=object)
+                    failures.extend([f"{type(e).__name__}: {e}"] * len(part))
+            yield pd.DataFrame({"vector": pd.Series(vectors, dtype=object), "failure": pd.Series(failures, dtype=object)})
 
-    return df.withColumn(output, encode(F.col(text)))
+    encoded = df.withColumn("_encoded", encode(F.col(text))).withColumn(output, F.col("_encoded.vector"))
+    if error:
+        encoded = encoded.withColumn(error, F.col("_encoded.failure"))
+    return encoded.drop("_encoded")

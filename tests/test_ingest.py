@@ -199,3 +199,5 @@ def test_embed_texts_with_own_encoder(spark):
     df = spark.createDataFrame([("a",), ("bbb",), ("bad",)], "chunk_text string").repartition(3, "chunk_text")
     rows = {r.chunk_text: r.embedding for r in embed_texts(df, encoder_factory=factory, batch=1).collect()}
     assert rows == {"a": [1.0, 0.0], "bbb": [1.0, 0.0], "bad": None}
+    marked = embed_texts(df, encoder_factory=factory, batch=1, error="why").filter("why is not null").collect()
+    assert [(r.chunk_text, r.why) for r in marked] == [("bad", "RuntimeError: encoder down")]
