@@ -26,7 +26,7 @@ import string
 import sys
 from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +37,13 @@ from pyspark.sql import types as T
 from .wordhash import blocks
 
 # entries of a cache generation; two generations are kept
-PIECES = 100_000
-WORDS = 250_000
+PIECES = 60_000
+WORDS = 120_000
+# bytes of text that are encoded at once
+BLOCK = 1 << 20
+# size of the table of pairs; it takes three times as many as the vocabulary has
+HASH_BITS = 19
+_HASH_MASK = (1 << HASH_BITS) - 1
 # matches up to this many bytes are merged side by side
 SIDE_BY_SIDE = 64
 _NONE = np.iinfo(np.int64).max
@@ -92,16 +97,19 @@ class Vocabulary:
         self.byte = np.array([self.rank.get(bytes([b]), -1) for b in range(256)], dtype=np.int64)
         if (self.byte < 0).any():
             raise ValueError("the rank file lacks single bytes")
-        # pairs of tokens that join to a token: (left << 32 | right) -> rank
-        self.pair: dict[int, int] = {}
+        self.pieces, self.words = Cache(PIECES), Cache(WORDS)
+
+    @cached_property
+    def pair(self) -> dict[int, int]:
+        """Pairs of tokens that join to a token, (left << 32 | right) -> rank; decoding does without."""
+        out: dict[int, int] = {}
         get = self.rank.get
         for token, rank in self.rank.items():
             for cut in range(1, len(token)):
                 left, right = get(token[:cut]), get(token[cut:])
                 if left is not None and right is not None:
-                    self.pair[left << _SHIFT | right] = rank
-        self._hash_pairs()
-        self.pieces, self.words = Cache(PIECES), Cache(WORDS)
+                    out[left << _SHIFT | right] = rank
+        return out
 
     # one match ------------------------------------------------------------------
 
@@ -154,37 +162,37 @@ class Vocabulary:
 
     # many short matches -----------------------------------------------------------
 
-    def _hash_pairs(self) -> None:
-        """An open hash table of the pairs that arrays of pairs are looked up in."""
-        bits = max(4, (4 * len(self.pair)).bit_length())
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+    @cached_property
+    def slots(self) -> tuple[np.ndarray, np.ndarray]:
+        """An open hash table of the pairs that arrays of pairs are looked up in: keys and ranks."""
         keys = np.fromiter(self.pair.keys(), dtype=np.int64, count=len(self.pair))
-        home = self._home(keys).tolist()
-        table = [-1] * (1 << bits)
-        slots = []
-        for key, at in zip(keys.tolist(), home):
+        table = [-1] * (1 << HASH_BITS)
+        places = []
+        for key, at in zip(keys.tolist(), self._home(keys).tolist()):
             while table[at] >= 0:
-                at = (at + 1) & self.mask
+                at = (at + 1) & _HASH_MASK
             table[at] = key
-            slots.append(at)
-        self.slot_key = np.array(table, dtype=np.int64)
-        self.slot_rank = np.zeros(1 << bits, dtype=np.int64)
-        self.slot_rank[slots] = np.fromiter(self.pair.values(), dtype=np.int64, count=len(self.pair))
+            places.append(at)
+        ranks = np.zeros(1 << HASH_BITS, dtype=np.int64)
+        ranks[places] = np.fromiter(self.pair.values(), dtype=np.int64, count=len(self.pair))
+        return np.array(table, dtype=np.int64), ranks
 
-    def _home(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+    @staticmethod
+    def _home(keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
 
     def _pair_value(self, left: np.ndarray, right: np.ndarray, position: np.ndarray) -> np.ndarray:
         """Leaf values: rank and position, or _NONE; a right token of -1 is the end."""
+        slot_key, slot_rank = self.slots
         keys = np.where(right >= 0, left << _SHIFT | right, 0)
         at = self._home(keys)
-        found = self.slot_key[at]
+        found = slot_key[at]
         going = np.flatnonzero((found != keys) & (found >= 0))
         while len(going):
-            at[going] = (at[going] + 1) & self.mask
-            found[going] = self.slot_key[at[going]]
+            at[going] = (at[going] + 1) & _HASH_MASK
+            found[going] = slot_key[at[going]]
             going = going[(found[going] != keys[going]) & (found[going] >= 0)]
-        return np.where((found == keys) & (right >= 0), self.slot_rank[at] << _SHIFT | position, _NONE)
+        return np.where((found == keys) & (right >= 0), slot_rank[at] << _SHIFT | position, _NONE)
 
     def merge_rows(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of matches of similar length, one tree per row, as int32 bytes."""
@@ -353,7 +361,7 @@ def encode(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path, pattern)
-        for block in blocks(batches, text_col):
+        for block in blocks(batches, text_col, BLOCK):
             ids = words.encode(block.column(block.schema.get_field_index(text_col)).to_pylist())
             offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
             flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(ids))])
@@ -375,8 +383,8 @@ def decode(df: DataFrame, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 250):
+                part = batch.slice(at, 250)
                 lists = part.column(part.schema.get_field_index(ids_col))
                 counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
                 ids = lists.flatten().to_numpy(zero_copy_only=False)
