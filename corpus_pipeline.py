@@ -55,8 +55,7 @@ def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     path, pattern = bpe.default_ranks()
     text = F.coalesce("text", F.lit(""))
     texts = docs.select("doc_id", "source", text.alias("text"), F.md5(text.cast("binary")).alias("digest"))
-    ids = bpe.encode(texts, keep=("doc_id", "source", "digest"), path=path, pattern=pattern)
-    both = bpe.decode(ids, keep=("doc_id", "source", "digest", "ids"), path=path)
+    both = bpe.encode(texts, keep=("doc_id", "source", "digest"), path=path, pattern=pattern, decoded="decoded")
     return both.select("doc_id", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids",
                        (F.md5("decoded") == F.col("digest")).alias("round_trip"))
 

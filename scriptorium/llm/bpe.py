@@ -39,8 +39,6 @@ from .wordhash import blocks
 # entries of a cache generation; two generations are kept
 PIECES = 60_000
 WORDS = 120_000
-# bytes of text that are encoded at once
-BLOCK = 1 << 20
 # size of the table of pairs; it takes three times as many as the vocabulary has
 HASH_BITS = 19
 _HASH_MASK = (1 << HASH_BITS) - 1
@@ -97,7 +95,7 @@ class Vocabulary:
         self.byte = np.array([self.rank.get(bytes([b]), -1) for b in range(256)], dtype=np.int64)
         if (self.byte < 0).any():
             raise ValueError("the rank file lacks single bytes")
-        self.pieces, self.words = Cache(PIECES), Cache(WORDS)
+        self.forget()
 
     @cached_property
     def pair(self) -> dict[int, int]:
@@ -273,6 +271,10 @@ class Vocabulary:
                     out[i] = ids
         return out
 
+    def forget(self) -> None:
+        """Empty the caches: workers live on after a task, what they looked up need not."""
+        self.pieces, self.words = Cache(PIECES), Cache(WORDS)
+
     def matches(self, texts: list[str]) -> list[bytes]:
         """Ids of texts, each cut by the pattern."""
         cut = [self.findall(t) for t in texts]
@@ -351,25 +353,47 @@ def _kept(batch: pa.RecordBatch, keep: list[str]) -> list[pa.Array]:
     return [batch.column(batch.schema.get_field_index(c)) for c in keep]
 
 
+def _binary(words: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Bytes of lists of ids (their values in a row, and their lengths)."""
+    sizes = np.zeros(len(ids) + 1, dtype=np.int64)
+    np.cumsum(words.length[ids], out=sizes[1:])
+    ends = np.concatenate(([0], sizes[np.cumsum(counts)])) if len(counts) else np.zeros(1, dtype=np.int64)
+    raw = words.decode(ids)
+    texts = pa.Array.from_buffers(pa.large_binary(), len(counts), [
+        None, pa.py_buffer(np.ascontiguousarray(ends)), pa.py_buffer(np.ascontiguousarray(raw))])
+    return texts.cast(pa.binary())
+
+
 def encode(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "ids",
-           path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """The `keep` columns and the ids (array<int>) of every text."""
+           path: str | None = None, pattern: str | None = None, decoded: str | None = None) -> DataFrame:
+    """The `keep` columns and the ids (array<int>) of every text.
+
+    `decoded` names a column for the bytes that these ids decode to, made in the
+    same worker: a proof of the round trip without a second pass.
+    """
     default = default_ranks() if path is None or pattern is None else (path, pattern)
     path, pattern, columns = path or default[0], pattern or default[1], list(keep)
-    if out in columns:
-        raise ValueError(f"{out} is a column that is kept")
+    more = [(out, T.ArrayType(T.IntegerType()))] + ([(decoded, T.BinaryType())] if decoded else [])
+    names = [*columns, *(n for n, _ in more)]
+    if len(set(names)) < len(names):
+        raise ValueError("a new column has the name of one that is kept")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path, pattern)
-        for block in blocks(batches, text_col, BLOCK):
+        words.forget()
+        for block in blocks(batches, text_col):
             ids = words.encode(block.column(block.schema.get_field_index(text_col)).to_pylist())
-            offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
+            counts = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+            offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
             flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(ids))])
-            lists = pa.ListArray.from_arrays(pa.array(offsets), flat)
-            yield pa.RecordBatch.from_arrays([*_kept(block, columns), lists], names=[*columns, out])
+            new = [pa.ListArray.from_arrays(pa.array(offsets), flat)]
+            if decoded:
+                new.append(_binary(words, flat.to_numpy(), counts))
+            yield pa.RecordBatch.from_arrays([*_kept(block, columns), *new], names=names)
+        words.forget()
 
     source = df.select(*dict.fromkeys([*columns, text_col]))
-    return source.mapInArrow(run, _schema(df, columns, (out, T.ArrayType(T.IntegerType()))))
+    return source.mapInArrow(run, _schema(df, columns, *more))
 
 
 def decode(df: DataFrame, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id", "ids"), out: str = "decoded",
@@ -388,13 +412,8 @@ def decode(df: DataFrame, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id
                 lists = part.column(part.schema.get_field_index(ids_col))
                 counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
                 ids = lists.flatten().to_numpy(zero_copy_only=False)
-                sizes = np.zeros(len(ids) + 1, dtype=np.int64)
-                np.cumsum(words.length[ids], out=sizes[1:])
-                ends = np.concatenate(([0], sizes[np.cumsum(counts)])) if len(counts) else np.zeros(1, dtype=np.int64)
-                raw = words.decode(ids)
-                texts = pa.Array.from_buffers(pa.large_binary(), len(counts), [
-                    None, pa.py_buffer(np.ascontiguousarray(ends)), pa.py_buffer(np.ascontiguousarray(raw))])
-                yield pa.RecordBatch.from_arrays([*_kept(part, columns), texts.cast(pa.binary())], names=[*columns, out])
+                texts = _binary(words, ids, counts)
+                yield pa.RecordBatch.from_arrays([*_kept(part, columns), texts], names=[*columns, out])
 
     source = df.select(*dict.fromkeys([*columns, ids_col]))
     return source.mapInArrow(run, _schema(df, columns, (out, T.BinaryType())))

@@ -63,8 +63,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_byte_bpe")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = bpe.default_ranks()
-    ids = bpe.encode(table(spark, sf_dir, "documents"), path=path, pattern=pattern)
-    return bpe.decode(ids, path=path).select(
+    both = bpe.encode(table(spark, sf_dir, "documents"), path=path, pattern=pattern, decoded="decoded")
+    return both.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import BLOCK, default_ranks, vocabulary
+from .bpe import default_ranks, vocabulary
 from .wordhash import blocks
 
 RULES = ("start", "largest", "split")
@@ -94,7 +94,7 @@ def section_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path, pattern)
-        for block in blocks(batches, "_text", BLOCK):
+        for block in blocks(batches, "_text"):
             texts = block.column("_text").to_pylist()
             encoded = words.encode(texts)
             given = block.column("_sections").to_pylist() if own else None
@@ -126,6 +126,7 @@ def section_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     [block.column("_id").take(pa.array(np.concatenate(row))),
                      *[pa.array(c).cast(k) for c, k in zip(columns, kinds)]],
                     names=[id_col, "section", "start", "end", "n_tokens", "n_crossing", "share"])
+        words.forget()
 
     kind = rows.schema["_id"].dataType.simpleString()
     return rows.mapInArrow(run, _OUT.format(id=f"`{id_col}` {kind}"))

@@ -50,7 +50,7 @@ LIFT = 2.0
 SIGMAS = 2.5
 K = 15
 BLOCK = 64
-MEMO = 200_000
+MEMO = 100_000
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _BEGINNINGS = (4, 5, 6)
 

@@ -168,6 +168,8 @@ def test_ids_equal_the_public_library_and_decode_back(spark, docs, rows, referen
     found = bpe.decode(bpe.encode(table)).collect()
     texts = dict(table.select("doc_id", "text").collect())
     assert len(found) == table.count()
+    once = bpe.encode(table, decoded="bytes").select("doc_id", "ids", "bytes").collect()
+    assert sorted(map(tuple, once)) == sorted((r.doc_id, r.ids, r.decoded) for r in found)
     for r in found:
         assert r.ids == reference.encode_ordinary(texts[r.doc_id] or "")
         assert bytes(r.decoded) == (texts[r.doc_id] or "").encode()
