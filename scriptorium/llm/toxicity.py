@@ -1,26 +1,30 @@
 """Toxicity of texts from their nearest labelled examples, by exact TF-IDF cosine.
 
-Terms are lower-cased words and their beginnings of 4 to 6 letters; the terms of
-the space are those that labelled examples tie to label 1 (in at least SUPPORT of
-its examples, and, SIGMAS standard deviations below what was counted, still LIFT
-times as often as label 1 is), VOCABULARY of them at most.
-A text's vector has a term's (1 + ln tf) * ln((1 + N) / (1 + df)), with df and N
-counted over all documents.
-
-Examples are found by an inverted index of blocks of BLOCK examples: for every
-term and block the largest weight in the block is kept, so the weights of a text
-bound its cosine with all examples of a block.  Blocks are taken by falling
-bound until the bound is below the K-th best cosine found; what is skipped can't
-be among the K nearest, so the search is exact.  Ties go to the smaller id.
+Terms are lower-cased words and their beginnings of 4 to 6 letters; the space has
+all terms of the examples.  A text's vector has a term's
+(1 + ln tf) * ln((1 + N) / (1 + df)) * tie, with df and N counted over all documents.
+A term's tie is FLOOR, plus how far its count in examples of label 1 lies more than
+SIGMAS standard deviations above chance, over the largest such distance; where no
+term lies that far (few labels), all ties are 1 and the cosine is the plain one.
+
+Examples are found by an inverted index of blocks of BLOCK examples.  Terms other
+than the FREQUENT most common ones are summed from postings; of the common ones
+the largest weight in each block is kept, so both together bound the cosine of a
+text with all examples of a block.  The FIRST blocks of largest bound give a K-th
+best cosine; of the other blocks those whose bound reaches it are looked at.  What
+is skipped can't be among the K nearest, so the search is exact (over weights of
+examples in single precision).  Ties go to the smaller id.
 
 The nearest examples vote by similarity, for and against; an isotonic fit on
 labelled rows that are not in the index turns votes into probabilities, the
-texts without a term of the space being one step of their own.  The nearest
-examples are returned as evidence.
+texts without a term of the space being one step of their own.  Without such rows
+the vote itself is the score, 0 if negative.  The nearest examples are returned as
+evidence.
 
 Bounds.  The model is fitted on a sample of SAMPLE labelled rows (in order of a
 hash of their id): two thirds are examples, one third calibrates.  So vocabulary,
-index and steps have a fixed size, and go to every task with its code.
+index and steps are bounded by the texts of the sample, and go to every task with
+its code.
 Everything else covers all rows: df, N, and the scores.
 
 Defined cases: null and empty texts have no terms and get the score of such
@@ -32,11 +36,14 @@ of the documents and labels are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,12 +51,13 @@ from .store import saved
 from .wordhash import blocks
 
 SAMPLE = 15_000
-VOCABULARY = 4_000
-SUPPORT = 0.01
-LIFT = 2.0
 SIGMAS = 2.5
+FLOOR = 0.02
 K = 15
 BLOCK = 64
+FREQUENT = 1_024
+FIRST = 4
+SLICE = 64
 MEMO = 100_000
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _BEGINNINGS = (4, 5, 6)
@@ -93,93 +101,154 @@ def _vectors(counts: list[dict[int, int]], idf: np.ndarray):
 
 
 class BlockMaxIndex:
-    """Postings of labelled examples by term, cut into blocks of examples, with the largest weight per term and block."""
+    """Labelled examples in blocks: weights of common terms with the largest per block, postings of the other terms."""
 
     def __init__(self, vectors, labels: np.ndarray, ids: np.ndarray, terms: int):
         # examples of like content near one another make tight bounds: order by label, strongest term, id
         first = np.array([t[np.argmax(w)] if len(t) else -1 for t, w in vectors], dtype=np.int64)
         order = np.lexsort((ids, first, labels))
         self.labels, self.ids = labels[order], ids[order]
-        rows = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
-        flat_t = np.concatenate([vectors[i][0] for i in order]) if len(order) else np.zeros(0, dtype=np.int64)
-        flat_w = np.concatenate([vectors[i][1] for i in order]) if len(order) else np.zeros(0)
-        by_term = np.lexsort((rows, flat_t))
+        self.n_blocks = -(-len(order) // BLOCK)
+        rows = np.repeat(np.arange(len(order), dtype=np.int32), [len(vectors[i][0]) for i in order])
+        flat_t = np.concatenate([vectors[i][0] for i in order]).astype(np.int32) if len(order) else np.zeros(0, dtype=np.int32)
+        flat_w = np.concatenate([vectors[i][1] for i in order]).astype(np.float32) if len(order) else np.zeros(0, dtype=np.float32)
+        common = np.argsort(-np.bincount(flat_t, minlength=terms), kind="stable")[:FREQUENT]
+        self.slot = np.full(terms, -1, dtype=np.int32)
+        self.slot[common] = np.arange(len(common))
+        slots = self.slot[flat_t]
+        mine = slots >= 0
+        self.common = np.zeros((self.n_blocks, len(common), BLOCK), dtype=np.float32)
+        self.common[rows[mine] // BLOCK, slots[mine], rows[mine] % BLOCK] = flat_w[mine]
+        self.largest = self.common.max(axis=2).T.copy()
+        flat_t, flat_w, rows = flat_t[~mine], flat_w[~mine], rows[~mine]
+        by_term = np.argsort(flat_t, kind="stable")
         self.rows, self.weights = rows[by_term], flat_w[by_term]
-        term = flat_t[by_term]
-        self.n_blocks = -(-len(order) // BLOCK) if len(order) else 0
-        key = term * max(self.n_blocks, 1) + self.rows // BLOCK
-        self.bounds = np.searchsorted(key, np.arange(terms * max(self.n_blocks, 1) + 1))
-        self.largest = np.zeros((terms, max(self.n_blocks, 1)))
-        np.maximum.at(self.largest, (term, self.rows // BLOCK), self.weights)
+        self.bounds = np.searchsorted(flat_t[by_term], np.arange(terms + 1))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest positive cosine: numbers and cosines."""
-        if not len(terms) or not self.n_blocks:
-            return np.zeros(0, dtype=np.int64), np.zeros(0)
-        bound = weights @ self.largest[terms]
-        visits = np.argsort(-bound, kind="stable")
-        visits = visits[bound[visits] > 0]
-        found, cosines = np.zeros(0, dtype=np.int64), np.zeros(0)
-        step = 8
-        for at in range(0, len(visits), step):
-            # 1e-9: sums in another order differ in the last digits
-            if len(found) >= k and bound[visits[at]] < cosines[k - 1] - 1e-9:
-                break
-            chosen = visits[at:at + step]
-            cell = (terms[:, None] * self.n_blocks + chosen).ravel()
-            begin, n = self.bounds[cell], self.bounds[cell + 1] - self.bounds[cell]
+        return self.nearest_of([(terms, weights)], k)[0]
+
+    def nearest_of(self, vectors, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """`nearest` of every vector."""
+        if not self.n_blocks:
+            return [(np.zeros(0, dtype=np.int64), np.zeros(0))] * len(vectors)
+        return [f for at in range(0, len(vectors), SLICE) for f in self._slice(vectors[at:at + SLICE], k)]
+
+    def _slice(self, vectors, k: int):
+        asked = np.zeros((len(vectors), self.common.shape[1]))
+        rare = np.zeros((len(vectors), self.n_blocks * BLOCK))
+        for i, (t, w) in enumerate(vectors):
+            slot = self.slot[t]
+            asked[i, slot[slot >= 0]] = w[slot >= 0]
+            t, w = t[slot < 0], w[slot < 0]
+            begin, n = self.bounds[t], self.bounds[t + 1] - self.bounds[t]
             stop = np.cumsum(n)
-            where = np.repeat(begin - (stop - n), n) + np.arange(stop[-1])
-            rows = self.rows[where]
-            distinct, inverse = np.unique(rows, return_inverse=True)
-            sums = np.bincount(inverse, weights=np.repeat(np.repeat(weights, len(chosen)), n) * self.weights[where])
-            found, cosines = np.concatenate([found, distinct]), np.concatenate([cosines, sums])
+            if len(stop) and stop[-1]:
+                where = np.repeat(begin - (stop - n), n) + np.arange(stop[-1])
+                rare[i] = np.bincount(self.rows[where], np.repeat(w, n) * self.weights[where], self.n_blocks * BLOCK)
+        single = asked.astype(np.float32)
+        rare = rare.reshape(len(vectors), self.n_blocks, BLOCK)
+        bound = single @ self.largest + rare.max(axis=2)
+        least = np.zeros(len(vectors))
+        for i, blocks_ in enumerate(np.argsort(-bound, axis=1, kind="stable")[:, :FIRST]):
+            cosines = (single[i] @ self.common[blocks_] + rare[i, blocks_]).ravel()
+            least[i] = np.partition(cosines, -k)[-k] if len(cosines) >= k else 0.0
+        # 1e-4: sums in single precision differ in the last digits; what is close is summed again below
+        visit = (bound > 0) & (bound >= least[:, None] - 1e-4)
+        sums = np.zeros(rare.shape)
+        for b in np.flatnonzero(visit.any(axis=0)):
+            i = np.flatnonzero(visit[:, b])
+            sums[i, b] = single[i] @ self.common[b] + rare[i, b]
+        sums, rare = sums.reshape(len(vectors), -1), rare.reshape(len(vectors), -1)
+        out = []
+        for i in range(len(vectors)):
+            least = np.partition(sums[i], -k)[-k] if sums.shape[1] >= k else 0.0
+            found = np.flatnonzero((sums[i] > 0) & (sums[i] >= least - 1e-4))
+            used = np.flatnonzero(asked[i])
+            weights = self.common[(found // BLOCK)[:, None], used, (found % BLOCK)[:, None]]
+            cosines = rare[i, found] + weights.astype(np.float64) @ asked[i, used]
             order = np.lexsort((self.ids[found], -np.round(cosines, 9)))[:k]
-            found, cosines = found[order], cosines[order]
-        return found, cosines
+            out.append((found[order], cosines[order]))
+        return out
 
 
-def vote(labels: np.ndarray, cosines: np.ndarray, k: int) -> float:
-    """From -1 to 1: similarities for label 1 less those against it, over k."""
-    return float((cosines * (2 * labels - 1)).sum() / k)
+def vote(labels: np.ndarray, cosines: np.ndarray) -> float:
+    """From -1 to 1: similarities for label 1 less those against it, over all."""
+    return float((cosines * (2 * labels - 1)).sum() / cosines.sum())
 
 
 def isotonic(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Steps (lower ends, probabilities) of the best rising fit, by pooling neighbours."""
+    """Steps (lower ends, probabilities) of the best rising fit, by pooling neighbours; a step ends halfway to the next vote."""
     order = np.argsort(votes, kind="stable")
     pools: list[list[float]] = []
     for v, y in zip(votes[order].tolist(), labels[order].tolist()):
-        if pools and pools[-1][0] == v:
+        if pools and pools[-1][3] == v:
             pools[-1][1] += y
             pools[-1][2] += 1
         else:
-            pools.append([v, y, 1])
+            pools.append([v, y, 1, v])
         while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
-            v1, y1, n1 = pools.pop()
+            _, y1, n1, v1 = pools.pop()
             pools[-1][1] += y1
             pools[-1][2] += n1
-    ends = np.array([p[0] for p in pools])
+            pools[-1][3] = v1
+    ends = np.array([(p[0] + q[3]) / 2 for p, q in zip(pools, [pools[0], *pools[:-1]])]) if pools else np.zeros(0)
+    if pools:
+        ends[0] = pools[0][0]
     return ends, np.array([(p[1] + 0.1) / (p[2] + 1.0) for p in pools])
 
 
 class Model:
-    """Vocabulary, idf, index and steps: all of bounded size."""
-
-    def __init__(self, vocabulary, idf, index, ends, steps, empty, k):
-        self.terms, self.idf, self.index = Terms(vocabulary), idf, index
-        self.ends, self.steps, self.empty, self.k = ends, steps, empty, k
+    """Vocabulary, term weights, examples and steps: all bounded by the sample.
+
+    examples: labels, ids, number of terms of each example, and all terms and counts one after another.
+    The index is built where it is asked for; what goes to a task is the compressed counts.
+    """
+
+    def __init__(self, vocabulary, idf, examples, k):
+        self.vocabulary, self.idf, self.examples, self.k = vocabulary, idf, examples, k
+        self.ends, self.steps, self.empty = np.zeros(0), np.zeros(0), 0.1
+
+    def __getstate__(self):
+        labels, ids, sizes, terms, tf = self.examples
+        packed = [zlib.compress(x.tobytes(), 1) for x in (np.diff(terms, prepend=np.int32(0)), tf)]
+        words = zlib.compress("\n".join(self.vocabulary).encode(), 1)
+        return words, self.idf, labels, ids, sizes, packed, self.k, self.ends, self.steps, self.empty
+
+    def __setstate__(self, state):
+        words, self.idf, labels, ids, sizes, packed, self.k, self.ends, self.steps, self.empty = state
+        self.vocabulary = zlib.decompress(words).decode().split("\n")
+        steps, tf = (np.frombuffer(zlib.decompress(x), dtype=np.int32) for x in packed)
+        self.examples = labels, ids, sizes, np.cumsum(steps, dtype=np.int32), tf
+
+    @cached_property
+    def terms(self) -> Terms:
+        return Terms(self.vocabulary)
+
+    @cached_property
+    def index(self) -> BlockMaxIndex:
+        labels, ids, sizes, t, tf = self.examples
+        w = ((1 + np.log(tf)) * self.idf[t])
+        row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        w = (w / np.sqrt(np.bincount(row, w * w, len(sizes)))[row]).astype(np.float32)
+        ends = np.cumsum(sizes)
+        vectors = [(t[e - n:e], w[e - n:e]) for e, n in zip(ends, sizes)]
+        return BlockMaxIndex(vectors, labels, ids, len(self.idf))
 
     def votes(self, texts: list[str | None]):
         """Vote, nearest examples and cosines of each text; None for a text without terms."""
         out = []
-        for t, w in _vectors([self.terms.counts(x) for x in texts], self.idf):
-            found, cosines = self.index.nearest(t, w, self.k)
-            out.append((vote(self.index.labels[found], cosines, self.k), found, cosines) if len(found) else None)
+        vectors = _vectors([self.terms.counts(x) for x in texts], self.idf)
+        for found, cosines in self.index.nearest_of(vectors, self.k):
+            out.append((vote(self.index.labels[found], cosines), found, cosines) if len(found) else None)
         return out
 
     def probability(self, value: float | None) -> float:
-        if value is None or not len(self.ends):
+        if value is None:
             return self.empty
+        if not len(self.ends):
+            return max(value, 0.0)
         return float(self.steps[max(np.searchsorted(self.ends, value, side="right") - 1, 0)])
 
 
@@ -207,10 +276,19 @@ def _document_frequencies(vocabulary: list[str]):
         for block in blocks(batches, "text"):
             for text in block.column("text").to_pylist():
                 total[list(terms.counts(text))] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["term", "df"])
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "df"])
     return run
 
 
+def ties(n: np.ndarray, positive: np.ndarray, share: float) -> np.ndarray:
+    """Weight of each term from its counts in all examples and in those of label 1."""
+    above = (positive - share * n) / np.sqrt(share * (1 - share) * n + 1) - SIGMAS
+    if not len(n) or above.max() <= 0:
+        return np.ones(len(n))
+    return FLOOR + np.maximum(above, 0) / above.max()
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
         sample: int = SAMPLE, k: int = K) -> Model | None:
     """A model from labelled rows that are not held out; None without any."""
@@ -223,54 +301,62 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = saved(rows.select("id", "text", "toxic", (F.pmod("h", F.lit(3)) > 0).alias("example")), "sample")
     examples = rows.filter("example")
     base = examples.agg(F.count("*").alias("n"), F.sum("toxic").alias("p")).first()
-    if not base["n"] or not base["p"]:
+    if not base["n"]:
         return None
-    share = base["p"] / base["n"]
     counts = examples.select("text", "toxic").mapInArrow(_term_counts, "term string, n bigint, positive bigint")
-    counts = counts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("positive").alias("positive"))
-    sure = F.col("positive") - SIGMAS * F.sqrt("positive")
-    tied = counts.filter((F.col("positive") >= SUPPORT * base["p"]) & (sure > 0) & (sure >= LIFT * share * F.col("n")))
-    vocabulary = [r["term"] for r in tied.orderBy(F.desc("positive"), "n", "term").limit(VOCABULARY).collect()]
-    if not vocabulary:
-        return None
+    counts = counts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("positive").alias("positive")).toArrow().sort_by("term")
+    vocabulary = counts.column("term").to_pylist()
+    tie = ties(counts.column("n").to_numpy(), counts.column("positive").to_numpy(), base["p"] / base["n"])
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(_document_frequencies(vocabulary), "term bigint, df bigint"
+                                                                    ).groupBy("term").agg(F.sum("df").alias("df")).toArrow()
     df = np.zeros(len(vocabulary))
-    for r in docs.select(F.col(text_col).alias("text")).mapInArrow(_document_frequencies(vocabulary), "term bigint, df bigint"
-                                                                     ).groupBy("term").agg(F.sum("df").alias("df")).collect():
-        df[r["term"]] = r["df"]
-    idf = np.log((1 + docs.count()) / (1 + df)) + 1e-3
-    counted = rows.select("id", "toxic", "example", "text").mapInArrow(
-        _counted(vocabulary), "id bigint, toxic int, example boolean, terms array<int>, tf array<int>").collect()
-    counted.sort(key=lambda r: r["id"])
-    vectors = _vectors([dict(zip(r["terms"], r["tf"])) for r in counted], idf)
-    toxic = np.array([r["toxic"] for r in counted])
-    ids = np.array([r["id"] for r in counted])
-    example = np.array([r["example"] for r in counted])
-    held = np.flatnonzero(example & np.array([len(t) > 0 for t, _ in vectors], dtype=bool))
-    index = BlockMaxIndex([vectors[i] for i in held], toxic[held], ids[held], len(vocabulary))
-    votes, truth, none = [], [], [0, 0]
-    for i in np.flatnonzero(~example):
-        found, cosines = index.nearest(*vectors[i], k)
-        if len(found):
-            votes.append(vote(index.labels[found], cosines, k))
-            truth.append(toxic[i])
-        else:
-            none[0] += int(toxic[i])
-            none[1] += 1
-    ends, steps = isotonic(np.array(votes), np.array(truth)) if votes else (np.zeros(0), np.zeros(0))
-    return Model(vocabulary, idf, index, ends, steps, (none[0] + 0.1) / (none[1] + 1.0), k)
+    df[found.column("term").to_numpy()] = found.column("df").to_numpy()
+    idf = (np.log((1 + docs.count()) / (1 + df)) + 1e-3) * tie
+    counted = examples.select("id", "toxic", "text").mapInArrow(
+        _counted(vocabulary), "id bigint, toxic int, terms array<int>, tf array<int>").toArrow()
+    model = Model(vocabulary, idf, _examples(counted), k)
+    del counted
+    judged = rows.filter("not example").select("toxic", "text").mapInArrow(_judged(model), "toxic int, vote double").toArrow()
+    truth = judged.column("toxic").to_numpy()
+    votes = judged.column("vote").to_numpy()
+    none = np.isnan(votes)
+    if not none.all():
+        model.ends, model.steps = isotonic(votes[~none], truth[~none])
+    model.empty = (float(truth[none].sum()) + 0.1) / (int(none.sum()) + 1.0)
+    return model
+
+
+def _examples(counted: pa.Table):
+    """Examples (id, toxic, terms, tf) with any term as flat arrays, by id."""
+    counted = counted.filter(pc.greater(pc.list_value_length(counted.column("terms")), 0)).sort_by("id")
+    flat = [np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in counted.column(c).chunks] or [np.zeros(0, dtype=np.int32)])
+            for c in ("terms", "tf")]
+    sizes = pc.list_value_length(counted.column("terms")).to_numpy()
+    return (counted.column("toxic").to_numpy(), counted.column("id").to_numpy(), sizes, *flat)
+
+
+def _judged(model: Model):
+    """Label and vote (nan for texts without terms) of rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text"):
+            found = model.votes(block.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [block.column("toxic").cast(pa.int32()), pa.array([f[0] if f else np.nan for f in found], pa.float64())],
+                names=["toxic", "vote"])
+    return run
 
 
 def _counted(vocabulary: list[str]):
-    """Sparse term counts of the sample: what reaches the driver is bounded by sample and vocabulary."""
+    """Sparse term counts of examples: what reaches the driver is bounded by the sample."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(vocabulary)
         for block in blocks(batches, "text"):
-            counts = [terms.counts(t) for t in block.column("text").to_pylist()]
+            counts = [dict(sorted(terms.counts(t).items())) for t in block.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [block.column("id").cast(pa.int64()), block.column("toxic").cast(pa.int32()), block.column("example"),
+                [block.column("id").cast(pa.int64()), block.column("toxic").cast(pa.int32()),
                  pa.array([list(c.keys()) for c in counts], pa.list_(pa.int32())),
                  pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))],
-                names=["id", "toxic", "example", "terms", "tf"])
+                names=["id", "toxic", "terms", "tf"])
     return run
 
 

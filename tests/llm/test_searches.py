@@ -144,6 +144,36 @@ def test_block_max_search_equals_a_full_scan():
         assert np.allclose(cosines, exact[[i for i in best if exact[i] > 0]])
 
 
+def test_common_and_rare_terms_equal_a_full_scan():
+    rng = np.random.default_rng(5)
+    vectors = []
+    for _ in range(700):
+        t = np.unique((3000 * rng.random(60) ** 3).astype(np.int64))
+        w = rng.random(len(t)) * np.where(t % 97 == 0, 1, 0.02)
+        vectors.append((t, w / np.sqrt((w * w).sum())))
+    ids = rng.permutation(700)
+    index = toxicity.BlockMaxIndex(vectors, rng.integers(0, 2, 700), ids, 3000)
+    dense = np.zeros((700, 3000))
+    for i, (t, w) in enumerate(vectors):
+        dense[i, t] = w
+    at = {int(x): i for i, x in enumerate(ids)}
+    for i, (found, cosines) in enumerate(index.nearest_of(vectors[:150], 15)):
+        exact = dense @ dense[i]
+        assert np.allclose(cosines, np.sort(exact)[::-1][:15]) and np.allclose(cosines, [exact[at[int(x)]] for x in index.ids[found]])
+
+
+@pytest.mark.parametrize("size, least", [("sf0.001", 0.5), ("sf0.01", 0.6), ("sf0.1", 0.9)])
+def test_few_labels_still_find_toxic_texts(spark, size, least):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{size}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    found = toxicity.score(docs, model).filter(toxicity.held_out(F.col("doc_id"))).collect()
+    toxic = [r.score >= 0.3 for r in found if truth.get(r.doc_id) == 1]
+    other = [r.score >= 0.3 for r in found if truth.get(r.doc_id) == 0]
+    assert sum(toxic) >= least * len(toxic) and sum(other) <= 0.05 * len(other), (sum(toxic), len(toxic), sum(other), len(other))
+    assert sum(len(r.evidence) == 15 for r in found) >= 0.9 * len(found)
+
+
 def test_isotonic_steps_rise_and_keep_the_mean():
     ends, steps = toxicity.isotonic(np.array([0.1, 0.2, 0.3, 0.3, 0.9]), np.array([0, 1, 0, 1, 1]))
     assert list(steps) == sorted(steps) and list(ends) == sorted(ends)
