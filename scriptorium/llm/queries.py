@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, toxicity
 from .hamming_search import nearest_codes, sign_code
+from .max_sketch import rank_documents
 from .near_dedup import near_duplicates
 from .secret_scan import KINDS, listed, scan
 from .source_mix import mix
@@ -143,3 +144,23 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select(
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"), F.slice("evidence", 1, 3).alias("evidence"))
+
+
+@query("op11_ranked_search", r"""
+with terms as materialized (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) t from documents),
+counts as materialized (select doc_id, t, count(*) tf from terms group by all),
+lengths as materialized (select doc_id, sum(tf)::bigint n from counts group by all),
+total as (select count(*) docs, sum(n)::bigint l from lengths),
+weights as (select t, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::bigint w from counts, total group by t),
+asked as (select item_id, t, count(*) times from (select item_id, unnest(regexp_extract_all(translate(text,
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) t
+    from benchmark) group by all),
+scores as (select item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // l))))::bigint
+    score from asked join counts using (t) join weights using (t) join lengths using (doc_id), total group by all)
+select item_id, rank::int rank, doc_id, score from (select *, row_number() over (partition by item_id
+    order by score desc, doc_id) rank from scores where score > 0) where rank <= 20""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    found = rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")

@@ -61,20 +61,20 @@ class Prefix:
 
 
 class Words:
-    """Words of a block of texts.
+    """Words of a block of texts; `breaks` tells for each byte value whether it stands between words.
 
     start, end: byte bounds; hash: 64-bit hashes; first: index of the first word
     of each text, with the number of all words at the end.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, breaks: np.ndarray = _SPACE):
         array = texts.cast(pa.large_binary()).fill_null(b"")
         offsets = np.frombuffer(array.buffers()[1], dtype=np.int64)[array.offset:array.offset + len(array) + 1]
         data = array.buffers()[2]
         raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
         raw = raw[offsets[0]:offsets[-1]] if len(raw) else raw
         bounds = offsets - offsets[0]
-        inside = ~_SPACE[raw]
+        inside = ~breaks[raw]
         n = len(raw)
         # a word starts where the byte before is white space or belongs to another text
         opens = inside.copy()
