@@ -11,6 +11,7 @@ from . import bpe, toxicity
 from .hamming_search import nearest_codes, sign_code
 from .max_sketch import rank_documents
 from .near_dedup import near_duplicates
+from .packing import pack
 from .secret_scan import KINDS, listed, scan
 from .source_mix import mix
 from .substring_dedup import remove_repeats
@@ -164,3 +165,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best documents of every benchmark item."""
     found = rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
     return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+@query("op13_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 1,024 tokens."""
+    return pack(table(spark, sf_dir, "documents"), window=1_024).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
