@@ -14,6 +14,8 @@ from .near_dedup import near_duplicates
 from .packing import pack
 from .secret_scan import KINDS, listed, scan
 from .source_mix import mix
+from .spelling import count_words, group_variants
+from .store import saved
 from .substring_dedup import remove_repeats
 from .token_counts import section_tokens
 from .url_filter import judge
@@ -167,6 +169,13 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
 
 
+@query("op12_spelling_variants")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every word of the documents; one in 31 words of a document lacks a letter."""
+    words = saved(count_words(table(spark, sf_dir, "documents"), shortest=7, least=2, typos_every=31), "words")
+    return group_variants(words, ratio=10).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 @query("op13_packing")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 1,024 tokens."""
