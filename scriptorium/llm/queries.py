@@ -91,7 +91,7 @@ pairs as (select q.vec_id query_id, c.vec_id, list_sum(list_transform(list_zip(q
 select query_id, rank::int rank, vec_id, distance from (select *, row_number() over (partition by query_id
   order by distance, vec_id) rank from pairs) where rank <= 10""")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 10 nearest sign codes (64 bits) of every row whose id is divisible by 20."""
+    """The 10 nearest sign codes (a bit a component) of every row whose id is divisible by 20."""
     codes = table(spark, sf_dir, "embeddings").select("vec_id", sign_code(F.col("embedding")).alias("code"))
     found = nearest_codes(codes, codes.filter("vec_id % 20 = 0"), "vec_id", "code", k=10)
     return found.withColumnRenamed("id", "vec_id")

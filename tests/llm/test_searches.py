@@ -44,6 +44,28 @@ def test_few_codes_and_none(spark):
     assert hamming_search.nearest_codes(none, none).collect() == []
 
 
+@pytest.mark.parametrize("shard,block,segments", [(32_768, 2_048, None), (16, 8, None), (16, 2_048, 8)])
+def test_long_codes_in_small_shards(spark, monkeypatch, shard, block, segments):
+    """Codes of more than 64 bits that differ behind the 64th, and shards far smaller than the table."""
+    monkeypatch.setattr(hamming_search, "SHARD", shard)
+    monkeypatch.setattr(hamming_search, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    signs = rng.standard_normal((240, 72 if segments is None else 64))
+    signs[100:140, :64] = signs[7, :64]                                      # forty codes that agree in their first word
+    signs[150:180] = signs[8]
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(signs)] + [(900, [1.0] * 3), (901, [])], "id long, v array<double>")
+    table = vectors.select("id", hamming_search.sign_code(F.col("v")).alias("code")).repartition(3)
+    if segments is None:
+        assert table.filter("id = 7").first().code != table.filter("id = 100").first().code
+    found = hamming_search.nearest_codes(table, table.filter("id % 6 = 0"), k=7, segments=segments)
+    bits = {i: (v > 0).tolist() + [False] * (80 - len(v)) for i, v in enumerate(signs)} | {900: [True] * 3 + [False] * 77, 901: [False] * 80}
+    expected = []
+    for q in (i for i in bits if i % 6 == 0):
+        near = sorted((sum(a != b for a, b in zip(bits[q], bits[i])), i) for i in bits if i != q)[:7]
+        expected += [(q, r + 1, i, d) for r, (d, i) in enumerate(near)]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(expected)
+
+
 def test_sign_code(spark):
     table = spark.createDataFrame([([1.0, -1.0, 0.0, 2.0],), (None,), ([1.0, None, 1.0, 1.0],)], "v array<double>")
     assert [r[0] for r in table.select(hamming_search.sign_code(F.col("v"), 4)).collect()] == [9, None, None]
