@@ -96,6 +96,41 @@ def test_nearest_vectors_against_brute_force(spark):
     assert hits / total >= 0.9
 
 
+def test_lengths_ties_and_full_shards(spark, monkeypatch):
+    """Each length of vectors has its own neighbours; ties go to the smaller id; full buckets are dealt into pieces."""
+    monkeypatch.setattr(vector_search, "SHARD", 16)
+    monkeypatch.setattr(vector_search, "BLOCK", 8)
+    rng = np.random.default_rng(9)
+    short = [(i, rng.integers(1, 30, 3).astype(float).tolist()) for i in range(0, 200, 2)]
+    long = [(i, (rng.integers(100, 120, 5)).astype(float).tolist()) for i in range(1, 200, 2)]
+    ring = [(400, [1.0, 0.0]), (401, [0.0, 1.0]), (402, [0.0, -1.0]), (403, [-1.0, 0.0]), (405, [3.0, 0.0])]
+    rows = short + long + ring
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for exact in (False, True):
+        found = vector_search.nearest_vectors(table, table, k=4, exact=exact, probes=3**4).collect()
+        got = {q: [(r.id, r.score) for r in sorted(found, key=lambda r: r.rank) if r.query_id == q] for q, _ in rows}
+        right = 0
+        for q, v in rows:
+            near = sorted((math.dist(v, w), i) for i, w in rows if len(w) == len(v) and i != q)[:4]
+            right += got[q] == [(i, pytest.approx(d, abs=1e-12)) for d, i in near]
+        assert right >= (len(rows) if exact else 0.9 * len(rows))
+        assert [i for i, _ in got[405]] == [400, 401, 402, 403]
+
+
+def test_moves_rise_in_expected_cost():
+    sets = vector_search.perturbations(5, 3**5)
+    assert len({tuple(x) for x in sets.tolist()}) == len(sets) == 3**5
+    assert sets[0].tolist() == [0] * sets.shape[1] and sets[1].tolist()[0] == 1
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_recall(spark, sf):
+    vectors = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    found = vector_search.recall(vectors, vectors.filter("vec_id % 20 = 0"))
+    print(sf, found)
+    assert found >= 0.9
+
+
 def test_few_vectors_and_none(spark):
     table = spark.createDataFrame([(0, [0.0, 1.0]), (1, [0.0, 3.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
     found = vector_search.nearest_vectors(table, table.filter("vec_id = 0"), k=10).collect()
