@@ -1,19 +1,22 @@
 """Toxicity of texts from their nearest labelled examples, by exact TF-IDF cosine.
 
-Terms are lower-cased words and their beginnings of 4 to 6 letters; the space has
-all terms of the examples.  A text's vector has a term's
+Terms are runs of letters in lower case and their beginnings of BEGINNING bytes, known by
+their 64-bit hashes; the space has all terms of the examples.  A text's vector has a term's
 (1 + ln tf) * ln((1 + N) / (1 + df)) * tie, with df and N counted over all documents.
-A term's tie is FLOOR, plus how far its count in examples of label 1 lies more than
-SIGMAS standard deviations above chance, over the largest such distance; where no
-term lies that far (few labels), all ties are 1 and the cosine is the plain one.
-
-Examples are found by an inverted index of blocks of BLOCK examples.  Terms other
-than the FREQUENT most common ones are summed from postings; of the common ones
-the largest weight in each block is kept, so both together bound the cosine of a
-text with all examples of a block.  The FIRST blocks of largest bound give a K-th
-best cosine; of the other blocks those whose bound reaches it are looked at.  What
-is skipped can't be among the K nearest, so the search is exact (over weights of
-examples in single precision).  Ties go to the smaller id.
+A term's tie is `floor`, plus how far its count in examples of label 1 lies more than
+SIGMAS standard deviations above chance, over the largest such distance.  Where no
+term lies that far all ties are `floor`, which is the plain cosine: the same rule at
+every size, and `floor=1` makes it the plain one throughout.
+
+Examples are found by a block-max inverted index: a term's postings are cut by blocks
+of BLOCK examples, each part with its largest weight, and the FREQUENT most common terms
+are kept as dense blocks with the same maxima.  The maxima of a text's terms bound
+its cosine with all examples of a block.  The FIRST blocks of largest bound give a
+K-th best cosine; of the other blocks only those whose bound reaches it are
+opened, and postings of other blocks are never read.  What is skipped can't be among the K nearest, so the
+search is exact (over weights of examples in single precision).  Ties go to the smaller id.
+Examples with the very same text are no neighbours: a text never votes with its own
+label, whether it is labelled or not.
 
 The nearest examples vote by similarity, for and against; an isotonic fit on
 labelled rows that are not in the index turns votes into probabilities, the
@@ -21,11 +24,12 @@ texts without a term of the space being one step of their own.  Without such row
 the vote itself is the score, 0 if negative.  The nearest examples are returned as
 evidence.
 
-Bounds.  The model is fitted on a sample of SAMPLE labelled rows (in order of a
-hash of their id): two thirds are examples, one third calibrates.  So vocabulary,
-index and steps are bounded by the texts of the sample, and go to every task with
-its code.
-Everything else covers all rows: df, N, and the scores.
+Bounds.  The model is fitted on a sample of at most `sample` labelled rows with at most
+`postings` distinct terms in sum (in order of a hash of their id): two thirds are examples, one
+third calibrates.  So vocabulary, index and steps have at most `postings` entries of some ten
+bytes, whatever the length of the texts; this is what reaches the driver and what is broadcast.
+Everything else covers all rows and whole texts: df, N, and the scores.  With V distinct
+terms in all documents, an accidental match of hashes has a chance of V * postings / 2**64.
 
 Defined cases: null and empty texts have no terms and get the score of such
 texts; repeated rows repeat; labels that repeat count once (1 wins); without
@@ -35,9 +39,6 @@ of the documents and labels are ignored.
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -46,125 +47,162 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .store import saved
-from .wordhash import blocks
+from .wordhash import U64, Prefix, Words, blocks, byte_values, mixed
 
 SAMPLE = 15_000
+POSTINGS = 6_000_000
 SIGMAS = 2.5
+BEGINNING = 5
 FLOOR = 0.02
 K = 15
 BLOCK = 64
 FREQUENT = 1_024
 FIRST = 4
 SLICE = 64
-MEMO = 100_000
-_WORDS = re.compile(r"[^\W\d_]+").findall
-_BEGINNINGS = (4, 5, 6)
 
 
-def terms_of(word: str) -> list[str]:
-    return [word, *(f"{word[:n]}*" for n in _BEGINNINGS if len(word) >= n)]
-
-
-class Terms:
-    """Numbers of the terms of a vocabulary in texts; words are looked up once (a memo of bounded size)."""
-
-    def __init__(self, vocabulary: list[str]):
-        self.number = {t: i for i, t in enumerate(vocabulary)}
-        self.memo: dict[str, tuple[int, ...]] = {}
-
-    def counts(self, text: str | None) -> dict[int, int]:
-        out: dict[int, int] = {}
-        memo = self.memo
-        for word, n in Counter(_WORDS(text.lower())).items() if text else ():
-            found = memo.get(word)
-            if found is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                found = memo[word] = tuple(self.number[t] for t in terms_of(word) if t in self.number)
-            for t in found:
-                out[t] = out.get(t, 0) + n
-        return out
-
-
-def _vectors(counts: list[dict[int, int]], idf: np.ndarray):
-    """Rows of unit length: term numbers and weights, one pair per text."""
-    out = []
-    for c in counts:
-        t = np.fromiter(c.keys(), dtype=np.int64, count=len(c))
-        w = (1 + np.log(np.fromiter(c.values(), dtype=np.float64, count=len(c)))) * idf[t]
-        norm = np.sqrt((w * w).sum())
-        order = np.argsort(t)
-        out.append((t[order], w[order] / norm) if norm > 0 else (t[:0], w[:0]))
-    return out
+class Counts:
+    """Distinct terms of a block of texts with their counts: sorted hashes, one text after another."""
+
+    def __init__(self, texts: pa.Array):
+        letters = pc.replace_substring_regex(pc.utf8_lower(texts.cast(pa.large_string())), r"[^\p{L}\p{M}]+", " ")
+        words = Words(letters)
+        hashes, first = with_beginnings(words)
+        terms, counts, sizes = [], [], np.zeros(len(texts), dtype=np.int64)
+        for i, (a, b) in enumerate(zip(first.tolist(), first[1:].tolist())):
+            found = np.sort(hashes[a:b])
+            new = np.ones(len(found), dtype=bool)
+            new[1:] = found[1:] != found[:-1]
+            starts = np.flatnonzero(new)
+            terms.append(found[starts])
+            counts.append(np.diff(np.append(starts, len(found))))
+            sizes[i] = len(starts)
+        self.terms = np.concatenate(terms) if terms else np.zeros(0, dtype=U64)
+        self.counts = np.concatenate(counts) if counts else np.zeros(0, dtype=np.int64)
+        self.sizes = sizes
+
+    def known(self, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of text, number of term and count of all terms of a vocabulary (sorted hashes)."""
+        at = np.minimum(np.searchsorted(vocabulary, self.terms), max(len(vocabulary) - 1, 0))
+        hit = np.flatnonzero(vocabulary[at] == self.terms) if len(vocabulary) else np.zeros(0, dtype=np.int64)
+        return np.repeat(np.arange(len(self.sizes)), self.sizes)[hit], at[hit], self.counts[hit]
+
+
+def with_beginnings(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words and, marked as such, of their beginnings; first hash of each text, with the number of all at the end."""
+    text, long = np.repeat(np.arange(len(words.counts)), words.counts), np.flatnonzero(words.end - words.start >= BEGINNING)
+    start = words.start[long]
+    begin = mixed(Prefix(byte_values(words.raw)).ranges(start, start + BEGINNING) + U64(BEGINNING))
+    order = np.argsort(np.concatenate((text, text[long])), kind="stable")
+    counts = words.counts + np.bincount(text[long], minlength=len(words.counts))
+    return np.concatenate((words.hash, begin))[order], np.concatenate(([0], np.cumsum(counts)))
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges [start, start + size), one after another."""
+    stop = np.cumsum(sizes)
+    return np.repeat(starts - (stop - sizes), sizes) + np.arange(stop[-1] if len(stop) else 0)
+
+
+def unit(text: np.ndarray, term: np.ndarray, tf: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
+    """Weights of (text, term, count) rows in vectors of length 1."""
+    w = (1 + np.log(tf)) * idf[term]
+    norm = np.sqrt(np.bincount(text, w * w, n))[text]
+    return np.divide(w, norm, out=np.zeros(len(w)), where=norm > 0)
 
 
 class BlockMaxIndex:
-    """Labelled examples in blocks: weights of common terms with the largest per block, postings of the other terms."""
+    """Labelled examples in blocks, with the largest weight of every term in each block."""
 
-    def __init__(self, vectors, labels: np.ndarray, ids: np.ndarray, terms: int):
+    def __init__(self, row, term, weight, labels: np.ndarray, ids: np.ndarray, copies: np.ndarray, terms: int):
         # examples of like content near one another make tight bounds: order by label, strongest term, id
-        first = np.array([t[np.argmax(w)] if len(t) else -1 for t, w in vectors], dtype=np.int64)
+        n = len(labels)
+        by_weight = np.lexsort((term, -weight, row))
+        heads = by_weight[np.flatnonzero(np.diff(row[by_weight], prepend=-1))] if len(row) else by_weight
+        first = np.full(n, -1, dtype=np.int64)
+        first[row[heads]] = term[heads]
         order = np.lexsort((ids, first, labels))
-        self.labels, self.ids = labels[order], ids[order]
-        self.n_blocks = -(-len(order) // BLOCK)
-        rows = np.repeat(np.arange(len(order), dtype=np.int32), [len(vectors[i][0]) for i in order])
-        flat_t = np.concatenate([vectors[i][0] for i in order]).astype(np.int32) if len(order) else np.zeros(0, dtype=np.int32)
-        flat_w = np.concatenate([vectors[i][1] for i in order]).astype(np.float32) if len(order) else np.zeros(0, dtype=np.float32)
-        common = np.argsort(-np.bincount(flat_t, minlength=terms), kind="stable")[:FREQUENT]
+        self.labels, self.ids, self.copies = labels[order], ids[order], copies[order]
+        self.n_blocks = -(-n // BLOCK)
+        place = np.empty(n, dtype=np.int64)
+        place[order] = np.arange(n)
+        row, weight = place[row], weight.astype(np.float32)
+        common = np.argsort(-np.bincount(term, minlength=terms), kind="stable")[:FREQUENT]
         self.slot = np.full(terms, -1, dtype=np.int32)
         self.slot[common] = np.arange(len(common))
-        slots = self.slot[flat_t]
+        slots = self.slot[term]
         mine = slots >= 0
         self.common = np.zeros((self.n_blocks, len(common), BLOCK), dtype=np.float32)
-        self.common[rows[mine] // BLOCK, slots[mine], rows[mine] % BLOCK] = flat_w[mine]
+        self.common[row[mine] // BLOCK, slots[mine], row[mine] % BLOCK] = weight[mine]
         self.largest = self.common.max(axis=2).T.copy()
-        flat_t, flat_w, rows = flat_t[~mine], flat_w[~mine], rows[~mine]
-        by_term = np.argsort(flat_t, kind="stable")
-        self.rows, self.weights = rows[by_term], flat_w[by_term]
-        self.bounds = np.searchsorted(flat_t[by_term], np.arange(terms + 1))
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest positive cosine: numbers and cosines."""
-        return self.nearest_of([(terms, weights)], k)[0]
+        # postings of the other terms by term and example; a part is a term's postings of one block
+        term, row, weight = term[~mine], row[~mine], weight[~mine]
+        by_term = np.lexsort((row, term))
+        term, self.rows, self.weights = term[by_term], row[by_term], weight[by_term]
+        new = np.ones(len(term), dtype=bool)
+        new[1:] = (term[1:] != term[:-1]) | (self.rows[1:] // BLOCK != self.rows[:-1] // BLOCK)
+        starts = np.flatnonzero(new)
+        self.part_block = self.rows[starts] // BLOCK
+        self.part_max = np.maximum.reduceat(self.weights, starts) if len(starts) else np.zeros(0, dtype=np.float32)
+        self.part_start = np.append(starts, len(term))
+        self.bounds = np.searchsorted(term[starts], np.arange(terms + 1))
+
+    def nearest_of(self, text: np.ndarray, term: np.ndarray, weight: np.ndarray, copies: np.ndarray, k: int):
+        """For each text the k examples of largest positive cosine: numbers and cosines.
+
+        Rows (text, term, weight) are sorted by text; `copies` has a hash of each text.
+        """
+        out = []
+        for at in range(0, len(copies), SLICE):
+            a, b = np.searchsorted(text, (at, at + SLICE))
+            out += self._slice(text[a:b] - at, term[a:b], weight[a:b], copies[at:at + SLICE], k)
+        return out
 
-    def nearest_of(self, vectors, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """`nearest` of every vector."""
+    def _slice(self, text, term, weight, copies, k: int):
+        n = len(copies)
         if not self.n_blocks:
-            return [(np.zeros(0, dtype=np.int64), np.zeros(0))] * len(vectors)
-        return [f for at in range(0, len(vectors), SLICE) for f in self._slice(vectors[at:at + SLICE], k)]
-
-    def _slice(self, vectors, k: int):
-        asked = np.zeros((len(vectors), self.common.shape[1]))
-        rare = np.zeros((len(vectors), self.n_blocks * BLOCK))
-        for i, (t, w) in enumerate(vectors):
-            slot = self.slot[t]
-            asked[i, slot[slot >= 0]] = w[slot >= 0]
-            t, w = t[slot < 0], w[slot < 0]
-            begin, n = self.bounds[t], self.bounds[t + 1] - self.bounds[t]
-            stop = np.cumsum(n)
-            if len(stop) and stop[-1]:
-                where = np.repeat(begin - (stop - n), n) + np.arange(stop[-1])
-                rare[i] = np.bincount(self.rows[where], np.repeat(w, n) * self.weights[where], self.n_blocks * BLOCK)
+            return [(np.zeros(0, dtype=np.int64), np.zeros(0))] * n
+        asked = np.zeros((n, self.common.shape[1]))
+        slot = self.slot[term]
+        dense = slot >= 0
+        asked[text[dense], slot[dense]] = weight[dense]
         single = asked.astype(np.float32)
-        rare = rare.reshape(len(vectors), self.n_blocks, BLOCK)
-        bound = single @ self.largest + rare.max(axis=2)
-        least = np.zeros(len(vectors))
-        for i, blocks_ in enumerate(np.argsort(-bound, axis=1, kind="stable")[:, :FIRST]):
-            cosines = (single[i] @ self.common[blocks_] + rare[i, blocks_]).ravel()
-            least[i] = np.partition(cosines, -k)[-k] if len(cosines) >= k else 0.0
+        text, term, weight = text[~dense], term[~dense], weight[~dense]
+        sizes = self.bounds[term + 1] - self.bounds[term]
+        part, owner, weight = _ranges(self.bounds[term], sizes), np.repeat(text, sizes), np.repeat(weight, sizes)
+        cell = owner * self.n_blocks + self.part_block[part]
+        bound = single @ self.largest + np.bincount(cell, weight * self.part_max[part], n * self.n_blocks).reshape(n, -1)
+        sums = np.zeros((n, self.n_blocks, BLOCK))
+        rare = np.zeros((n, self.n_blocks * BLOCK))
+        copy = np.zeros((n, self.n_blocks * BLOCK), dtype=bool)
+        copy[:, :len(self.copies)] = self.copies == copies[:, None]
+
+        def open_(visit: np.ndarray) -> None:
+            some = np.flatnonzero(visit.ravel()[cell])
+            length = self.part_start[part[some] + 1] - self.part_start[part[some]]
+            where = _ranges(self.part_start[part[some]], length)
+            at = np.repeat(owner[some], length) * rare.shape[1] + self.rows[where]
+            rare.ravel()[:] += np.bincount(at, np.repeat(weight[some], length) * self.weights[where], rare.size)
+            for b in np.flatnonzero(visit.any(axis=0)):
+                i = np.flatnonzero(visit[:, b])
+                sums[i, b] = single[i] @ self.common[b] + rare[i, b * BLOCK:(b + 1) * BLOCK]
+
+        def least() -> np.ndarray:
+            found = np.where(copy, 0, sums.reshape(n, -1))
+            return np.partition(found, -k, axis=1)[:, -k] if found.shape[1] >= k else np.zeros(n)
+
+        visit = np.zeros(bound.shape, dtype=bool)
+        np.put_along_axis(visit, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST], True, axis=1)
+        open_(visit)
         # 1e-4: sums in single precision differ in the last digits; what is close is summed again below
-        visit = (bound > 0) & (bound >= least[:, None] - 1e-4)
-        sums = np.zeros(rare.shape)
-        for b in np.flatnonzero(visit.any(axis=0)):
-            i = np.flatnonzero(visit[:, b])
-            sums[i, b] = single[i] @ self.common[b] + rare[i, b]
-        sums, rare = sums.reshape(len(vectors), -1), rare.reshape(len(vectors), -1)
+        open_((bound > 0) & (bound >= least()[:, None] - 1e-4) & ~visit)
+        reached, sums = least() - 1e-4, sums.reshape(n, -1)
         out = []
-        for i in range(len(vectors)):
-            least = np.partition(sums[i], -k)[-k] if sums.shape[1] >= k else 0.0
-            found = np.flatnonzero((sums[i] > 0) & (sums[i] >= least - 1e-4))
+        for i in range(n):
+            found = np.flatnonzero((sums[i] > 0) & (sums[i] >= reached[i]) & ~copy[i])
             used = np.flatnonzero(asked[i])
             weights = self.common[(found // BLOCK)[:, None], used, (found % BLOCK)[:, None]]
             cosines = rare[i, found] + weights.astype(np.float64) @ asked[i, used]
@@ -200,10 +238,9 @@ def isotonic(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Model:
-    """Vocabulary, term weights, examples and steps: all bounded by the sample.
+    """Vocabulary (sorted hashes), term weights, examples and steps: all bounded by the sample.
 
-    examples: labels, ids, number of terms of each example, and all terms and counts one after another.
-    The index is built where it is asked for; what goes to a task is the compressed counts.
+    examples: labels, ids and text hashes, and (example, term, count) of all their terms.
     """
 
     def __init__(self, vocabulary, idf, examples, k):
@@ -211,38 +248,22 @@ class Model:
         self.ends, self.steps, self.empty = np.zeros(0), np.zeros(0), 0.1
 
     def __getstate__(self):
-        labels, ids, sizes, terms, tf = self.examples
-        packed = [zlib.compress(x.tobytes(), 1) for x in (np.diff(terms, prepend=np.int32(0)), tf)]
-        words = zlib.compress("\n".join(self.vocabulary).encode(), 1)
-        return words, self.idf, labels, ids, sizes, packed, self.k, self.ends, self.steps, self.empty
-
-    def __setstate__(self, state):
-        words, self.idf, labels, ids, sizes, packed, self.k, self.ends, self.steps, self.empty = state
-        self.vocabulary = zlib.decompress(words).decode().split("\n")
-        steps, tf = (np.frombuffer(zlib.decompress(x), dtype=np.int32) for x in packed)
-        self.examples = labels, ids, sizes, np.cumsum(steps, dtype=np.int32), tf
-
-    @cached_property
-    def terms(self) -> Terms:
-        return Terms(self.vocabulary)
+        return {k: v for k, v in self.__dict__.items() if k != "index"}
 
     @cached_property
     def index(self) -> BlockMaxIndex:
-        labels, ids, sizes, t, tf = self.examples
-        w = ((1 + np.log(tf)) * self.idf[t])
-        row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        w = (w / np.sqrt(np.bincount(row, w * w, len(sizes)))[row]).astype(np.float32)
-        ends = np.cumsum(sizes)
-        vectors = [(t[e - n:e], w[e - n:e]) for e, n in zip(ends, sizes)]
-        return BlockMaxIndex(vectors, labels, ids, len(self.idf))
-
-    def votes(self, texts: list[str | None]):
+        labels, ids, copies, row, term, tf = self.examples
+        weight = unit(row, term, tf, self.idf, len(labels))
+        return BlockMaxIndex(row, term.astype(np.int64), weight, labels, ids, copies, len(self.idf))
+
+    def nearest(self, counts: Counts, copies: np.ndarray):
+        text, term, tf = counts.known(self.vocabulary)
+        return self.index.nearest_of(text, term, unit(text, term, tf, self.idf, len(copies)), copies, self.k)
+
+    def votes(self, texts: pa.Array):
         """Vote, nearest examples and cosines of each text; None for a text without terms."""
-        out = []
-        vectors = _vectors([self.terms.counts(x) for x in texts], self.idf)
-        for found, cosines in self.index.nearest_of(vectors, self.k):
-            out.append((vote(self.index.labels[found], cosines), found, cosines) if len(found) else None)
-        return out
+        return [(vote(self.index.labels[found], cosines), found, cosines) if len(found) else None
+                for found, cosines in self.nearest(Counts(texts), text_hashes(texts))]
 
     def probability(self, value: float | None) -> float:
         if value is None:
@@ -252,141 +273,154 @@ class Model:
         return float(self.steps[max(np.searchsorted(self.ends, value, side="right") - 1, 0)])
 
 
+class Shared:
+    """A model that tasks read as a broadcast variable: it is sent to an executor once, not with each task."""
+
+    def __init__(self, spark, model: Model | None):
+        self.found = model is not None
+        self.value = spark.sparkContext.broadcast(model)
+
+    def __call__(self) -> Model | None:
+        return self.value.value
+
+
+def text_hashes(texts: pa.Array) -> np.ndarray:
+    """A hash of each whole text as it is: of its bytes, taken as one word."""
+    return Words(texts, whole=True).hash
+
+
 def held_out(id_col: Column, part: int = 2, of: int = 4) -> Column:
     """Rows that labels are never learnt from: crc32 of the id as text, modulo."""
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(of)) == part
 
 
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in blocks(batches, "text"):
-        n, positive = Counter(), Counter()
-        for text, toxic in zip(block.column("text").to_pylist(), block.column("toxic").to_pylist()):
-            found = {t for w in set(_WORDS((text or "").lower())) for t in terms_of(w)}
-            n.update(found)
-            if toxic:
-                positive.update(found)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64()),
-             pa.array([positive[t] for t in n], pa.int64())], names=["term", "n", "positive"])
-
-
-def _document_frequencies(vocabulary: list[str]):
+def _document_frequencies(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, total = Terms(vocabulary), np.zeros(len(vocabulary), dtype=np.int64)
+        words = vocabulary.value
+        total = np.zeros(len(words), dtype=np.int64)
         for block in blocks(batches, "text"):
-            for text in block.column("text").to_pylist():
-                total[list(terms.counts(text))] += 1
+            total += np.bincount(Counts(block.column("text")).known(words)[1], minlength=len(words))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "df"])
     return run
 
 
-def ties(n: np.ndarray, positive: np.ndarray, share: float) -> np.ndarray:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Terms and counts of sampled rows."""
+    for block in blocks(batches, "text"):
+        counts = Counts(block.column("text"))
+        offsets = pa.array(np.concatenate(([0], np.cumsum(counts.sizes))).astype(np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [block.column("id").cast(pa.int64()), block.column("toxic").cast(pa.int32()), block.column("h"),
+             pa.array(text_hashes(block.column("text")).view(np.int64)), pa.array(counts.sizes),
+             pa.ListArray.from_arrays(offsets, pa.array(counts.terms.view(np.int64))),
+             pa.ListArray.from_arrays(offsets, pa.array(counts.counts.astype(np.int32)))],
+            names=["id", "toxic", "h", "copy", "size", "terms", "tf"])
+
+
+def ties(n: np.ndarray, positive: np.ndarray, share: float, floor: float = FLOOR) -> np.ndarray:
     """Weight of each term from its counts in all examples and in those of label 1."""
-    above = (positive - share * n) / np.sqrt(share * (1 - share) * n + 1) - SIGMAS
-    if not len(n) or above.max() <= 0:
-        return np.ones(len(n))
-    return FLOOR + np.maximum(above, 0) / above.max()
+    above = np.maximum((positive - share * n) / np.sqrt(share * (1 - share) * n + 1) - SIGMAS, 0)
+    return floor + above / max(above.max(initial=0), 1e-300)
+
+
+def _flat(table: pa.Table, column: str) -> np.ndarray:
+    return table.column(column).combine_chunks().flatten().to_numpy()
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        sample: int = SAMPLE, k: int = K) -> Model | None:
-    """A model from labelled rows that are not held out; None without any."""
+        sample: int = SAMPLE, postings: int = POSTINGS, k: int = K, floor: float = FLOOR) -> Shared:
+    """A model from labelled rows that are not held out; its value is None without any."""
+    spark = docs.sparkSession
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(
         F.col(id_col).alias("id")).agg(F.max(label_col).alias("toxic"))
     drawn = known.filter(~held_out(F.col("id"))).withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(sample)
     drawn = saved(drawn, "drawn")
     # the sample is bounded, so it goes to the texts and no text is shuffled
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id")
-    rows = saved(rows.select("id", "text", "toxic", (F.pmod("h", F.lit(3)) > 0).alias("example")), "sample")
-    examples = rows.filter("example")
-    base = examples.agg(F.count("*").alias("n"), F.sum("toxic").alias("p")).first()
-    if not base["n"]:
-        return None
-    counts = examples.select("text", "toxic").mapInArrow(_term_counts, "term string, n bigint, positive bigint")
-    counts = counts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("positive").alias("positive")).toArrow().sort_by("term")
-    vocabulary = counts.column("term").to_pylist()
-    tie = ties(counts.column("n").to_numpy(), counts.column("positive").to_numpy(), base["p"] / base["n"])
-    found = docs.select(F.col(text_col).alias("text")).mapInArrow(_document_frequencies(vocabulary), "term bigint, df bigint"
-                                                                    ).groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    rows = saved(rows.select("id", "toxic", "h", "text").mapInArrow(
+        _counted, "id bigint, toxic int, h bigint, copy bigint, size bigint, terms array<bigint>, tf array<int>"), "sample")
+    # as many rows of the sample, in order, as hold `postings` terms; one task numbers them, narrow and bounded
+    before = Window.orderBy("h", "id", "copy").rowsBetween(Window.unboundedPreceding, -1)
+    taken = rows.select("h", "id", "copy", "size").withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    taken = taken.filter(F.col("before") < postings).select("h", "id", "copy").distinct()
+    rows = saved(rows.join(F.broadcast(taken), ["h", "id", "copy"]), "taken")
+    example = F.pmod("h", F.lit(3)) > 0
+    found = rows.filter(example).select("id", "toxic", "copy", "size", "terms", "tf").toArrow().sort_by([("id", "ascending"), ("copy", "ascending")])
+    if not found.num_rows:
+        return Shared(spark, None)
+    labels_, ids, copies = (found.column(c).to_numpy() for c in ("toxic", "id", "copy"))
+    terms, tf = _flat(found, "terms").view(U64), _flat(found, "tf")
+    row = np.repeat(np.arange(len(ids), dtype=np.int32), found.column("size").to_numpy())
+    del found
+    vocabulary, term = np.unique(terms, return_inverse=True)
+    del terms
+    n, positive = np.bincount(term, minlength=len(vocabulary)), np.bincount(term, labels_[row], len(vocabulary))
+    tie = ties(n, positive, labels_.mean(), floor)
+    shared = spark.sparkContext.broadcast(vocabulary)
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_document_frequencies(shared), "term bigint, df bigint").groupBy(
+        "term").agg(F.sum("df").alias("df")).toArrow()
     df = np.zeros(len(vocabulary))
-    df[found.column("term").to_numpy()] = found.column("df").to_numpy()
+    df[counted.column("term").to_numpy()] = counted.column("df").to_numpy()
     idf = (np.log((1 + docs.count()) / (1 + df)) + 1e-3) * tie
-    counted = examples.select("id", "toxic", "text").mapInArrow(
-        _counted(vocabulary), "id bigint, toxic int, terms array<int>, tf array<int>").toArrow()
-    model = Model(vocabulary, idf, _examples(counted), k)
-    del counted
-    judged = rows.filter("not example").select("toxic", "text").mapInArrow(_judged(model), "toxic int, vote double").toArrow()
-    truth = judged.column("toxic").to_numpy()
-    votes = judged.column("vote").to_numpy()
+    model = Model(vocabulary, idf, (labels_, ids, copies.view(U64), row, term.astype(np.int32), tf), k)
+    judged = rows.filter(~example).select("toxic", "copy", "size", "terms", "tf").mapInArrow(
+        _judged(Shared(spark, model)), "toxic int, vote double").toArrow()
+    truth, votes = judged.column("toxic").to_numpy(), judged.column("vote").to_numpy()
     none = np.isnan(votes)
     if not none.all():
         model.ends, model.steps = isotonic(votes[~none], truth[~none])
     model.empty = (float(truth[none].sum()) + 0.1) / (int(none.sum()) + 1.0)
-    return model
+    return Shared(spark, model)
 
 
-def _examples(counted: pa.Table):
-    """Examples (id, toxic, terms, tf) with any term as flat arrays, by id."""
-    counted = counted.filter(pc.greater(pc.list_value_length(counted.column("terms")), 0)).sort_by("id")
-    flat = [np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in counted.column(c).chunks] or [np.zeros(0, dtype=np.int32)])
-            for c in ("terms", "tf")]
-    sizes = pc.list_value_length(counted.column("terms")).to_numpy()
-    return (counted.column("toxic").to_numpy(), counted.column("id").to_numpy(), sizes, *flat)
-
-
-def _judged(model: Model):
-    """Label and vote (nan for texts without terms) of rows."""
+def _judged(shared: Shared):
+    """Label and vote (nan for texts without terms) of counted rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
-            found = model.votes(block.column("text").to_pylist())
+        model = shared()
+        for batch in batches:
+            counts = Counts.__new__(Counts)
+            counts.sizes = batch.column("size").to_numpy()
+            counts.terms = batch.column("terms").flatten().to_numpy(zero_copy_only=False).view(U64)
+            counts.counts = batch.column("tf").flatten().to_numpy(zero_copy_only=False)
+            found = model.nearest(counts, batch.column("copy").to_numpy().view(U64))
             yield pa.RecordBatch.from_arrays(
-                [block.column("toxic").cast(pa.int32()), pa.array([f[0] if f else np.nan for f in found], pa.float64())],
+                [batch.column("toxic"),
+                 pa.array([vote(model.index.labels[f], c) if len(f) else np.nan for f, c in found], pa.float64())],
                 names=["toxic", "vote"])
     return run
 
 
-def _counted(vocabulary: list[str]):
-    """Sparse term counts of examples: what reaches the driver is bounded by the sample."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(vocabulary)
-        for block in blocks(batches, "text"):
-            counts = [dict(sorted(terms.counts(t).items())) for t in block.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [block.column("id").cast(pa.int64()), block.column("toxic").cast(pa.int32()),
-                 pa.array([list(c.keys()) for c in counts], pa.list_(pa.int32())),
-                 pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))],
-                names=["id", "toxic", "terms", "tf"])
-    return run
-
-
-def clean(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+def clean(docs: DataFrame, shared: Shared, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows whose score is below the threshold, with all their columns."""
+    if not shared.found:
+        return docs
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared()
         for block in blocks(batches, text_col):
-            texts = block.column(block.schema.get_field_index(text_col)).to_pylist()
-            found = model.votes(texts) if model else [None] * len(texts)
-            keep = [not model or model.probability(f[0] if f else None) < threshold for f in found]
-            yield block.filter(pa.array(keep, pa.bool_()))
+            found = model.votes(block.column(block.schema.get_field_index(text_col)))
+            yield block.filter(pa.array([model.probability(f[0] if f else None) < threshold for f in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def score(docs: DataFrame, shared: Shared, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep`, score, and evidence: the nearest examples with similarity and label."""
     kept = [docs.schema[c] for c in keep]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
                        + ["score double", "evidence array<struct<id:bigint,similarity:double,label:int>>"])
     columns = list(keep)
+    kind = pa.list_(pa.struct([("id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared()
         for block in blocks(batches, text_col):
-            texts = block.column(block.schema.get_field_index(text_col)).to_pylist()
+            texts = block.column(block.schema.get_field_index(text_col))
             found = model.votes(texts) if model else [None] * len(texts)
             scores = [model.probability(f[0] if f else None) if model else 0.0 for f in found]
             evidence = [[{"id": int(model.index.ids[i]), "similarity": float(c), "label": int(model.index.labels[i])}
                          for i, c in zip(f[1], f[2])] if f else [] for f in found]
-            kind = pa.list_(pa.struct([("id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
                 [*[block.column(block.schema.get_field_index(c)) for c in columns], pa.array(scores, pa.float64()),
                  pa.array(evidence, kind)], names=[*columns, "score", "evidence"])

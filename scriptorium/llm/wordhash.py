@@ -46,6 +46,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def byte_values(raw: np.ndarray) -> np.ndarray:
+    """The value of each byte that word hashes are made of."""
+    return _BYTE[raw]
+
+
 class Prefix:
     """Hash of any range [start, end) of a sequence of 64-bit values in constant time."""
 
@@ -63,17 +68,23 @@ class Prefix:
 class Words:
     """Words of a block of texts; `breaks` tells for each byte value whether it stands between words.
 
+    With `whole` every text is one word, empty ones too.
+
     start, end: byte bounds; hash: 64-bit hashes; first: index of the first word
     of each text, with the number of all words at the end.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False, breaks: np.ndarray = _SPACE):
+    def __init__(self, texts: pa.Array, lower: bool = False, breaks: np.ndarray = _SPACE, whole: bool = False):
         array = texts.cast(pa.large_binary()).fill_null(b"")
         offsets = np.frombuffer(array.buffers()[1], dtype=np.int64)[array.offset:array.offset + len(array) + 1]
         data = array.buffers()[2]
         raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
         raw = raw[offsets[0]:offsets[-1]] if len(raw) else raw
         bounds = offsets - offsets[0]
+        if whole:
+            self.start, self.end, self.first, self.raw = bounds[:-1], bounds[1:], np.arange(len(bounds)), raw
+            self.hash = Prefix(_BYTE[raw]).ranges(self.start, self.end)
+            return
         inside = ~breaks[raw]
         n = len(raw)
         # a word starts where the byte before is white space or belongs to another text
