@@ -39,6 +39,7 @@ of the documents and labels are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -238,21 +239,36 @@ def isotonic(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Model:
-    """Vocabulary (sorted hashes), term weights, examples and steps: all bounded by the sample.
+    """Term weights, examples and steps: all bounded by the sample.
 
-    examples: labels, ids and text hashes, and (example, term, count) of all their terms.
+    counts: df and tie of each term of the vocabulary, and the number of documents.
+    examples: labels, ids and text hashes, and the sizes, terms (rising) and counts of all of them, one after another.
     """
 
-    def __init__(self, vocabulary, idf, examples, k):
-        self.vocabulary, self.idf, self.examples, self.k = vocabulary, idf, examples, k
+    def __init__(self, vocabulary, counts, examples, k):
+        self.vocabulary, self.counts, self.examples, self.k = vocabulary, counts, examples, k
         self.ends, self.steps, self.empty = np.zeros(0), np.zeros(0), 0.1
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "index"}
+        (df, tie, n), (labels, ids, copies, sizes, term, tf) = self.counts, self.examples
+        packed = [zlib.compress(x.tobytes(), 1) for x in (df, tie, np.diff(term, prepend=np.int32(0)), tf)]
+        return packed, n, labels, ids, copies, sizes, tf.dtype, self.k
+
+    def __setstate__(self, state):
+        (df, tie, steps, tf), n, labels, ids, copies, sizes, kind, self.k = state
+        read = lambda x, t: np.frombuffer(zlib.decompress(x), dtype=t)
+        self.counts = read(df, np.int64), read(tie, np.float64), n
+        self.examples = labels, ids, copies, sizes, np.cumsum(read(steps, np.int32), dtype=np.int32), read(tf, kind)
+
+    @cached_property
+    def idf(self) -> np.ndarray:
+        df, tie, n = self.counts
+        return (np.log((1 + n) / (1 + df)) + 1e-3) * tie
 
     @cached_property
     def index(self) -> BlockMaxIndex:
-        labels, ids, copies, row, term, tf = self.examples
+        labels, ids, copies, sizes, term, tf = self.examples
+        row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         weight = unit(row, term, tf, self.idf, len(labels))
         return BlockMaxIndex(row, term.astype(np.int64), weight, labels, ids, copies, len(self.idf))
 
@@ -274,14 +290,20 @@ class Model:
 
 
 class Shared:
-    """A model that tasks read as a broadcast variable: it is sent to an executor once, not with each task."""
+    """A model as tasks read it: vocabulary and examples are broadcast, which sends them to an executor once; steps are few."""
 
-    def __init__(self, spark, model: Model | None):
+    def __init__(self, words=None, model=None, steps=None):
+        self.words, self.model, self.steps = words, model, steps
         self.found = model is not None
-        self.value = spark.sparkContext.broadcast(model)
 
     def __call__(self) -> Model | None:
-        return self.value.value
+        if not self.found:
+            return None
+        model = self.model.value
+        model.vocabulary = self.words.value
+        if self.steps is not None:
+            model.ends, model.steps, model.empty = self.steps
+        return model
 
 
 def text_hashes(texts: pa.Array) -> np.ndarray:
@@ -343,35 +365,35 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # as many rows of the sample, in order, as hold `postings` terms; one task numbers them, narrow and bounded
     before = Window.orderBy("h", "id", "copy").rowsBetween(Window.unboundedPreceding, -1)
     taken = rows.select("h", "id", "copy", "size").withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    taken = taken.filter(F.col("before") < postings).select("h", "id", "copy").distinct()
-    rows = saved(rows.join(F.broadcast(taken), ["h", "id", "copy"]), "taken")
+    taken = saved(taken.filter(F.col("before") < postings).select("h", "id", "copy").distinct(), "taken")
+    rows = rows.join(F.broadcast(taken), ["h", "id", "copy"])
     example = F.pmod("h", F.lit(3)) > 0
     found = rows.filter(example).select("id", "toxic", "copy", "size", "terms", "tf").toArrow().sort_by([("id", "ascending"), ("copy", "ascending")])
     if not found.num_rows:
-        return Shared(spark, None)
-    labels_, ids, copies = (found.column(c).to_numpy() for c in ("toxic", "id", "copy"))
+        return Shared()
+    labels_, ids, copies, sizes = (found.column(c).to_numpy() for c in ("toxic", "id", "copy", "size"))
     terms, tf = _flat(found, "terms").view(U64), _flat(found, "tf")
-    row = np.repeat(np.arange(len(ids), dtype=np.int32), found.column("size").to_numpy())
+    tf = tf.astype(np.min_scalar_type(int(tf.max(initial=0))))
     del found
     vocabulary, term = np.unique(terms, return_inverse=True)
+    term = term.astype(np.int32)
     del terms
-    n, positive = np.bincount(term, minlength=len(vocabulary)), np.bincount(term, labels_[row], len(vocabulary))
+    n = np.bincount(term, minlength=len(vocabulary))
+    positive = np.bincount(term, np.repeat(labels_, sizes), len(vocabulary))
     tie = ties(n, positive, labels_.mean(), floor)
-    shared = spark.sparkContext.broadcast(vocabulary)
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_document_frequencies(shared), "term bigint, df bigint").groupBy(
+    words = spark.sparkContext.broadcast(vocabulary)
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_document_frequencies(words), "term bigint, df bigint").groupBy(
         "term").agg(F.sum("df").alias("df")).toArrow()
-    df = np.zeros(len(vocabulary))
+    df = np.zeros(len(vocabulary), dtype=np.int64)
     df[counted.column("term").to_numpy()] = counted.column("df").to_numpy()
-    idf = (np.log((1 + docs.count()) / (1 + df)) + 1e-3) * tie
-    model = Model(vocabulary, idf, (labels_, ids, copies.view(U64), row, term.astype(np.int32), tf), k)
+    model = Model(vocabulary, (df, tie, docs.count()), (labels_, ids, copies.view(U64), sizes, term, tf), k)
+    model = spark.sparkContext.broadcast(model)
     judged = rows.filter(~example).select("toxic", "copy", "size", "terms", "tf").mapInArrow(
-        _judged(Shared(spark, model)), "toxic int, vote double").toArrow()
+        _judged(Shared(words, model)), "toxic int, vote double").toArrow()
     truth, votes = judged.column("toxic").to_numpy(), judged.column("vote").to_numpy()
     none = np.isnan(votes)
-    if not none.all():
-        model.ends, model.steps = isotonic(votes[~none], truth[~none])
-    model.empty = (float(truth[none].sum()) + 0.1) / (int(none.sum()) + 1.0)
-    return Shared(spark, model)
+    ends, steps = isotonic(votes[~none], truth[~none])
+    return Shared(words, model, (ends, steps, (float(truth[none].sum()) + 0.1) / (int(none.sum()) + 1.0)))
 
 
 def _judged(shared: Shared):
