@@ -183,30 +183,51 @@ def _body(limit):
     return f"nullif(case when length({full}) > {limit} then concat(substr({full}, 1, {limit}), '…') else {full} end, '')"
 
 
-@check("build_contexts_paper",
-       "select paper_id, 'summary' task, concat(" + _HEADER + ", chr(10), chr(10), '论文全文：', chr(10), coalesce("
-       + _body(6000) + ", nullif(" + d_strip("abstract") + ", ''), '（未提供全文）')) context from papers union all "
-       "select paper_id, 'chat', concat(" + _HEADER + ", chr(10), chr(10), '研究设计原文: ', "
-       + _or("research_design_text", _NP) + ", chr(10), chr(10), '论文全文：', chr(10), coalesce(" + _body(8000)
-       + ", '（未提供全文）'), chr(10), chr(10), '用户问题：', 'What is new?') from papers", ("papers",))
-def _(d):
-    summary = cx.paper_contexts(d.papers, "summary")
-    chat = cx.paper_contexts(d.papers, "chat", F.lit("What is new?"))
+def _paper_sql(summary, chat):
+    return (
+        "select paper_id, 'summary' task, concat(" + _HEADER + ", chr(10), chr(10), '论文全文：', chr(10), coalesce("
+        + summary + ", nullif(" + d_strip("abstract") + ", ''), '（未提供全文）')) context from papers union all "
+        "select paper_id, 'chat', concat(" + _HEADER + ", chr(10), chr(10), '研究设计原文: ', "
+        + _or("research_design_text", _NP) + ", chr(10), chr(10), '论文全文：', chr(10), coalesce(" + chat
+        + ", '（未提供全文）'), chr(10), chr(10), '用户问题：', 'What is new?') from papers")
+
+
+def _paper_contexts(d, **limits):
+    summary = cx.paper_contexts(d.papers, "summary", **limits)
+    chat = cx.paper_contexts(d.papers, "chat", F.lit("What is new?"), **limits)
     return summary.withColumn("task", F.lit("summary")).unionByName(chat.withColumn("task", F.lit("chat")))
 
 
+@check("build_contexts_paper", _paper_sql(_body(6000), _body(8000)), ("papers",))
+def _(d):
+    return _paper_contexts(d)
+
+
+_WHOLE = f"nullif({d_strip('raw_body')}, '')"
+
+
+@check("build_contexts_paper_whole", _paper_sql(_WHOLE, _WHOLE), ("papers",))
+def _(d):
+    """Contexts with whole bodies, however long."""
+    return _paper_contexts(d, body_limit=0)
+
+
 # --- generated text ---------------------------------------------------------
 
-# model outputs made from whole documents: plain, fenced, small talk, JSON, JSON in text, broken JSON, JSON list
-_RAW = """case cast(paper_id as bigint) % 8
+# model outputs made from whole documents: plain, fenced, small talk, JSON, JSON in text, broken JSON, JSON list, small talk
+# and text in one line; inside JSON the text is without the characters that would end a string
+_FLAT = "raw_body"
+for _c in ("chr(92)", "chr(34)", "chr(9)", "chr(10)", "chr(13)"):
+    _FLAT = f"replace({_FLAT}, {_c}, ' ')"
+_RAW = f"""case cast(paper_id as bigint) % 8
   when 0 then raw_body
   when 1 then concat('```markdown', chr(10), raw_body, chr(10), '```')
   when 2 then concat(' 好的，以下是回答：', chr(10), chr(10), raw_body)
-  when 3 then concat('```json', chr(10), '{"summary": "s', paper_id, '", "method": " m ", "keywords": "a，b a;c"}', chr(10), '```')
-  when 4 then concat('Answer: {"summary": "", "result": "r', paper_id, '", "keywords": ["x", " ", "y"]} end')
-  when 5 then '{"summary": "broken'
-  when 6 then '["summary"]'
-  else '收到' end"""
+  when 3 then concat('```json', chr(10), '{{"summary": "', {_FLAT}, '", "method": " m ", "keywords": "a，b a;c"}}', chr(10), '```')
+  when 4 then concat('Answer: {{"summary": "", "result": "', {_FLAT}, '", "keywords": ["x", " ", "y"]}} end')
+  when 5 then concat('{{"summary": "broken ', {_FLAT})
+  when 6 then concat('["summary", "', {_FLAT}, '"]')
+  else concat('收到', raw_body) end"""
 _TASK = "case when cast(paper_id as bigint) % 8 in (3, 4, 5, 6) then 'summary' else 'qa' end"
 
 GENERATED = (
@@ -240,7 +261,7 @@ def _words(e):
        ("papers",), GENERATED)
 def _(d):
     outputs = d.papers.select(F.col("paper_id").alias("gen_id"), "paper_id", F.expr(_TASK).alias("task"),
-                              F.expr(_RAW.replace("chr(10)", "'\\n'")).alias("raw"))
+                              F.expr(_RAW).alias("raw"))
     out = gn.load_generations(outputs, d.papers)
     return out.withColumn("keywords", F.when(F.col("task") == "summary", F.array_join("keywords", "|")))
 

@@ -31,17 +31,19 @@ cross join (select count(*) n from part) c
 join part p on p.p_partkey = d.doc_id % c.n
 """
 
-# five chunks that together cover the whole text of a document
+# five chunks that together cover the whole text of each document; vectors repeat where there are fewer than chunks
 CHUNKS = """
-select concat(cast(cast(floor(e.vec_id / 5) as bigint) as {S}), '::', cast(e.vec_id % 5 as {S})) chunk_id,
-  cast(cast(floor(e.vec_id / 5) as bigint) as {S}) paper_id,
-  cast(e.vec_id % 5 as int) chunk_index,
-  substr(d.text, cast(1 + (e.vec_id % 5) * ceil(length(d.text) / 5.0) as int), cast(ceil(length(d.text) / 5.0) as int)) chunk_text,
+select concat(cast(d.doc_id as {S}), '::', cast(s.i as {S})) chunk_id,
+  cast(d.doc_id as {S}) paper_id,
+  cast(s.i as int) chunk_index,
+  substr(d.text, cast(1 + s.i * ceil(length(d.text) / 5.0) as int), cast(ceil(length(d.text) / 5.0) as int)) chunk_text,
   case e.label % 6 when 0 then '概念解释' when 1 then '背景说明' when 2 then '方法依据' when 3 then '经验证据' when 4 then '研究空白' else '其他' end section_role,
-  concat('chapter ', cast(e.vec_id % 5 as {S})) chapter_title,
+  concat('chapter ', cast(s.i as {S})) chapter_title,
   e.embedding
-from embeddings e
-join documents d on d.doc_id = cast(floor(e.vec_id / 5) as bigint)
+from documents d
+cross join (select 0 i union all select 1 union all select 2 union all select 3 union all select 4) s
+cross join (select count(*) n from embeddings) c
+join embeddings e on e.vec_id = (d.doc_id * 5 + s.i) % c.n
 """
 
 QUERIES = """

@@ -43,8 +43,11 @@ def review_contexts(evidence: DataFrame) -> DataFrame:
     return _joined(evidence.withColumn("block", block), ["rank"])
 
 
-def qa_contexts(evidence: DataFrame) -> DataFrame:
-    """Answer context: one block per numbered chunk; per paper where a query has none."""
+def qa_contexts(evidence: DataFrame, design_limit: int = 800) -> DataFrame:
+    """Answer context: one block per numbered chunk; per paper where a query has none.
+
+    Designs are cut at `design_limit` characters, 0 keeps them whole.
+    """
     head = F.concat(_title(), F.lit("|"), _doi(), F.lit("|"), _year())
     flat = evidence.select("query_id", head.alias("head"), F.explode("chunks").alias("c"))
     fine = flat.select("query_id", F.col("c.ref_id").alias("n"), F.concat(
@@ -53,7 +56,7 @@ def qa_contexts(evidence: DataFrame) -> DataFrame:
         F.coalesce(F.nullif(F.col("c.chapter_title"), F.lit("")), F.lit(rules.UNKNOWN_CHAPTER)), F.lit("）"),
         F.col("head"), F.lit("\n"), strip(F.col("c.text"))).alias("block"))
     bare = evidence.join(fine.select("query_id").distinct(), "query_id", "left_anti")
-    design = _or_cut("research_design_text", 800)
+    design = _or_cut("research_design_text", design_limit)
     coarse = bare.select("query_id", F.col("rank").alias("n"), F.concat(
         F.lit("【证据"), F.col("rank").cast("string"), F.lit("】"), head, F.lit("\n摘要片段: "),
         _or("top_chunk_text", rules.NOT_PROVIDED), F.lit("\n研究设计: "), design).alias("block"))
@@ -61,11 +64,22 @@ def qa_contexts(evidence: DataFrame) -> DataFrame:
 
 
 def _or_cut(c: str, limit: int) -> Column:
-    return F.coalesce(F.nullif(cut(strip(F.coalesce(c, F.lit(""))), limit), F.lit("")), F.lit(rules.NOT_PROVIDED))
+    return F.coalesce(F.nullif(_limited(strip(F.coalesce(c, F.lit(""))), limit), F.lit("")), F.lit(rules.NOT_PROVIDED))
+
+
+def _limited(text: Column, limit: int) -> Column:
+    return cut(text, limit) if limit > 0 else text
+
 
+def paper_contexts(papers: DataFrame, task: str = "summary", question: Column | None = None,
+                   body_limit: int | None = None) -> DataFrame:
+    """Context of a single paper: header, design (chat only), body.
 
-def paper_contexts(papers: DataFrame, task: str = "summary", question: Column | None = None) -> DataFrame:
-    """Context of a single paper: header, design (chat only), body cut at 6000 or 8000."""
+    The body is cut at `body_limit` characters: 6000 for a summary and 8000 for a
+    chat unless given, 0 keeps it whole.
+    """
+    if body_limit is None:
+        body_limit = 6000 if task == "summary" else 8000
     header = F.concat(
         F.lit("标题: "), _title(), F.lit("\n作者: "), _or("author", rules.NOT_PROVIDED), F.lit("\nDOI: "),
         _or("doi", rules.NOT_PROVIDED), F.lit(" | 期刊: "), _or("source_journal", rules.NOT_PROVIDED),
@@ -73,10 +87,10 @@ def paper_contexts(papers: DataFrame, task: str = "summary", question: Column |
         F.lit("\n摘要: "), _or("abstract", rules.NOT_PROVIDED))
     full = strip(F.coalesce("raw_body", F.lit("")))
     if task == "summary":
-        body = F.coalesce(F.nullif(cut(full, 6000), F.lit("")), blank_to_null("abstract"), F.lit(rules.NO_FULL_TEXT))
+        body = F.coalesce(F.nullif(_limited(full, body_limit), F.lit("")), blank_to_null("abstract"), F.lit(rules.NO_FULL_TEXT))
         text = F.concat(header, F.lit("\n\n论文全文：\n"), body)
     else:
-        body = F.coalesce(F.nullif(cut(full, 8000), F.lit("")), F.lit(rules.NO_FULL_TEXT))
+        body = F.coalesce(F.nullif(_limited(full, body_limit), F.lit("")), F.lit(rules.NO_FULL_TEXT))
         text = F.concat(header, F.lit("\n\n研究设计原文: "), _or("research_design_text", rules.NOT_PROVIDED),
                         F.lit("\n\n论文全文：\n"), body)
         if question is not None:
