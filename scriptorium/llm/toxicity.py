@@ -8,13 +8,12 @@ SIGMAS standard deviations above chance, over the largest such distance.  Where
 term lies that far all ties are `floor`, which is the plain cosine: the same rule at
 every size, and `floor=1` makes it the plain one throughout.
 
-Examples are found by a block-max inverted index: a term's postings are cut by blocks
-of BLOCK examples, each part with its largest weight, and the FREQUENT most common terms
-are kept as dense blocks with the same maxima.  The maxima of a text's terms bound
-its cosine with all examples of a block.  The FIRST blocks of largest bound give a
-K-th best cosine; of the other blocks only those whose bound reaches it are
-opened, and postings of other blocks are never read.  What is skipped can't be among the K nearest, so the
-search is exact (over weights of examples in single precision).  Ties go to the smaller id.
+Examples are found by a block-max inverted index.  Most postings belong to the FREQUENT
+most common terms; these lie in blocks of BLOCK examples with the largest weight of each
+term in each block.  The other terms' postings are short and are summed; what they give in a
+block at most, with the maxima of the common terms, bounds a text's cosine with all examples of the block.  The FIRST blocks of largest bound give a
+K-th best cosine; of the other blocks only those whose bound reaches it are opened.  What is skipped
+can't be among the K nearest, so the search is exact (over weights of examples in single precision).  Ties go to the smaller id.
 Examples with the very same text are no neighbours: a text never votes with its own
 label, whether it is labelled or not.
 
@@ -102,12 +101,6 @@ def with_beginnings(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((words.hash, begin))[order], np.concatenate(([0], np.cumsum(counts)))
 
 
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """All numbers of the ranges [start, start + size), one after another."""
-    stop = np.cumsum(sizes)
-    return np.repeat(starts - (stop - sizes), sizes) + np.arange(stop[-1] if len(stop) else 0)
-
-
 def unit(text: np.ndarray, term: np.ndarray, tf: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
     """Weights of (text, term, count) rows in vectors of length 1."""
     w = (1 + np.log(tf)) * idf[term]
@@ -139,17 +132,11 @@ class BlockMaxIndex:
         self.common = np.zeros((self.n_blocks, len(common), BLOCK), dtype=np.float32)
         self.common[row[mine] // BLOCK, slots[mine], row[mine] % BLOCK] = weight[mine]
         self.largest = self.common.max(axis=2).T.copy()
-        # postings of the other terms by term and example; a part is a term's postings of one block
+        # postings of the other terms
         term, row, weight = term[~mine], row[~mine], weight[~mine]
         by_term = np.lexsort((row, term))
-        term, self.rows, self.weights = term[by_term], row[by_term], weight[by_term]
-        new = np.ones(len(term), dtype=bool)
-        new[1:] = (term[1:] != term[:-1]) | (self.rows[1:] // BLOCK != self.rows[:-1] // BLOCK)
-        starts = np.flatnonzero(new)
-        self.part_block = self.rows[starts] // BLOCK
-        self.part_max = np.maximum.reduceat(self.weights, starts) if len(starts) else np.zeros(0, dtype=np.float32)
-        self.part_start = np.append(starts, len(term))
-        self.bounds = np.searchsorted(term[starts], np.arange(terms + 1))
+        self.rows, self.weights = row[by_term], weight[by_term].astype(np.float64)
+        self.bounds = np.searchsorted(term[by_term], np.arange(terms + 1))
 
     def nearest_of(self, text: np.ndarray, term: np.ndarray, weight: np.ndarray, copies: np.ndarray, k: int):
         """For each text the k examples of largest positive cosine: numbers and cosines.
@@ -172,35 +159,38 @@ class BlockMaxIndex:
         asked[text[dense], slot[dense]] = weight[dense]
         single = asked.astype(np.float32)
         text, term, weight = text[~dense], term[~dense], weight[~dense]
-        sizes = self.bounds[term + 1] - self.bounds[term]
-        part, owner, weight = _ranges(self.bounds[term], sizes), np.repeat(text, sizes), np.repeat(weight, sizes)
-        cell = owner * self.n_blocks + self.part_block[part]
-        bound = single @ self.largest + np.bincount(cell, weight * self.part_max[part], n * self.n_blocks).reshape(n, -1)
-        sums = np.zeros((n, self.n_blocks, BLOCK))
         rare = np.zeros((n, self.n_blocks * BLOCK))
+        begin, stop = self.bounds[term], self.bounds[term + 1]
+        ends = np.searchsorted(text, np.arange(n + 1)).tolist()
+        for i, (a, b) in enumerate(zip(ends, ends[1:])):
+            lists = list(zip(begin[a:b].tolist(), stop[a:b].tolist()))
+            if lists:
+                times = np.repeat(weight[a:b], stop[a:b] - begin[a:b])
+                times *= np.concatenate([self.weights[x:y] for x, y in lists])
+                rare[i] = np.bincount(np.concatenate([self.rows[x:y] for x, y in lists]), times, rare.shape[1])
+        bound = single @ self.largest + rare.reshape(n, self.n_blocks, BLOCK).max(axis=2)
+        sums = np.zeros((n, self.n_blocks, BLOCK))
         copy = np.zeros((n, self.n_blocks * BLOCK), dtype=bool)
         copy[:, :len(self.copies)] = self.copies == copies[:, None]
 
         def open_(visit: np.ndarray) -> None:
-            some = np.flatnonzero(visit.ravel()[cell])
-            length = self.part_start[part[some] + 1] - self.part_start[part[some]]
-            where = _ranges(self.part_start[part[some]], length)
-            at = np.repeat(owner[some], length) * rare.shape[1] + self.rows[where]
-            rare.ravel()[:] += np.bincount(at, np.repeat(weight[some], length) * self.weights[where], rare.size)
             for b in np.flatnonzero(visit.any(axis=0)):
                 i = np.flatnonzero(visit[:, b])
                 sums[i, b] = single[i] @ self.common[b] + rare[i, b * BLOCK:(b + 1) * BLOCK]
 
-        def least() -> np.ndarray:
-            found = np.where(copy, 0, sums.reshape(n, -1))
-            return np.partition(found, -k, axis=1)[:, -k] if found.shape[1] >= k else np.zeros(n)
+        def least(found: np.ndarray, hidden: np.ndarray) -> np.ndarray:
+            return np.partition(np.where(hidden, 0, found), -k, axis=1)[:, -k] if found.shape[1] >= k else np.zeros(n)
 
+        top = np.argsort(-bound, axis=1, kind="stable")[:, :FIRST]
         visit = np.zeros(bound.shape, dtype=bool)
-        np.put_along_axis(visit, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST], True, axis=1)
+        np.put_along_axis(visit, top, True, axis=1)
         open_(visit)
+        some = (top[:, :, None] * BLOCK + np.arange(BLOCK)).reshape(n, -1)
+        first = least(np.take_along_axis(sums.reshape(n, -1), some, 1), np.take_along_axis(copy, some, 1))
         # 1e-4: sums in single precision differ in the last digits; what is close is summed again below
-        open_((bound > 0) & (bound >= least()[:, None] - 1e-4) & ~visit)
-        reached, sums = least() - 1e-4, sums.reshape(n, -1)
+        open_((bound > 0) & (bound >= first[:, None] - 1e-4) & ~visit)
+        sums = sums.reshape(n, -1)
+        reached = least(sums, copy) - 1e-4
         out = []
         for i in range(n):
             found = np.flatnonzero((sums[i] > 0) & (sums[i] >= reached[i]) & ~copy[i])
