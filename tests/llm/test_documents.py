@@ -1,6 +1,9 @@
 """Operators on texts against brute force, on small tables with nulls, empty and long texts, copies and odd columns."""
 
+import math
 import random
+import time
+from collections import Counter
 import re
 
 import numpy as np
@@ -287,6 +290,80 @@ def test_base_spans_and_model_spans(spark, empty):
     assert secret_scan.scan(empty).collect() == []
 
 
+def plain_model(random_strings, texts):
+    """Both Markov models by plain dictionaries: log-likelihood ratio of a string."""
+    alphabet, n = secret_scan.ALPHABET, len(secret_scan.ALPHABET)
+
+    def chances(strings):
+        pairs, often = Counter(), Counter()
+        for s in strings:
+            for p in {("", s[0]), *zip(s, s[1:])}:
+                pairs[p] += 1
+                often[p[1]] += 1
+        seen = Counter()
+        for (a, _), c in pairs.items():
+            seen[a] += c
+        total = sum(often.values())
+
+        def chance(a, b):
+            even = 0.95 * often[b] / total + 0.05 / n
+            return 0.9 * pairs[a, b] / seen[a] + 0.1 * even if seen[a] else even
+        return chance
+
+    runs = [r for t in texts for r in re.findall("[A-Za-z0-9+/_=-]{4,}", t) if re.match(secret_scan.WORDLIKE, r)]
+    p, q = chances(random_strings), chances([*runs, *secret_scan.ORDINARY])
+    assert set("".join(runs)) <= set(alphabet)
+    return lambda s: sum(math.log(p(a, b) / q(a, b)) for a, b in zip(["", *s], s))
+
+
+def test_model_spans_equal_a_plain_model(spark):
+    texts, planted = secret_texts()
+    every = [t for t in texts if t and len(t) < 2000] + planted + ["see /opt/tools/bin/run and " + "=" * 30]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(every)], "doc_id long, text string")
+    found = dict(secret_scan.scan(table).select("doc_id", secret_scan.listed(F.col("spans"))).collect())
+    bases = [base_spans(t) for t in every]
+    head = re.compile(r"""^(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?""", re.I | re.A)
+    values = {re.sub("[^A-Za-z0-9+/_=-]", "", head.sub("", t[a:b])) for t, spans in zip(every, bases) for a, _, b in spans}
+    ratio = plain_model(sorted(values - {""}), [t for t, spans in zip(every, bases) if not spans])
+    for i, (t, base) in enumerate(zip(every, bases)):
+        runs = [(m.start(), m.end()) for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", t)]
+        judged = [(a, b, ratio(t[a:b])) for a, b in runs if not any(x < b and a < y for x, _, y in base)]
+        assert all(abs(r - secret_scan.MARGIN) > 1e-3 for *_, r in judged)
+        random_ = [tuple(map(int, s.split(":")[1:])) for s in found[i].split(",") if s.startswith("random")]
+        assert random_ == [(a, b) for a, b, r in judged if r >= secret_scan.MARGIN], t
+
+
+ORDINARY = ["=" * 20, "_" * 20, "-" * 20, "=-" * 15, "2024-01-01/2024-12-31", "/usr/local/share/doc", "max_retry_count_value",
+            "src/main/python/library", "internationalization", "the-quick-brown-fox-jumps", "ABSOLUTE_MAXIMUM_VALUE", "1234567890123456",
+            "AbstractFactoryBeanProvider", "2023-10-05-14-30-00", "home/documents/reports/2022"]
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_ordinary_long_runs_are_no_secrets(spark, sf):
+    """Rules, dates, paths and long identifiers, judged by models of the driver's texts; strings like their secrets, too short for a base span, are found."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    model = secret_scan.train(docs)
+    rng = random.Random(12)
+    keys = ["".join(rng.choices("0123456789abcdef", k=23)) for _ in range(30)]
+    table = spark.createDataFrame([(s,) for s in ORDINARY + keys], "s string")
+    scores = {r.s: r.v for r in table.select("s", secret_scan.score(F.col("s"), model).alias("v")).collect()}
+    assert [(s, round(scores[s], 1)) for s in ORDINARY if scores[s] >= secret_scan.MARGIN] == []
+    assert sum(scores[s] >= secret_scan.MARGIN for s in keys) >= 28
+
+
+def test_very_many_runs_in_one_text(spark):
+    """Four times the runs take less than sixteen times as long, and every span is in its place."""
+    took = []
+    for n in (4_000, 16_000):
+        text = " ".join(["AKIA" + "A" * 16, "ordinary_identifier_name"] * (n // 2))
+        table = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        start = time.time()
+        spans = secret_scan.scan(table, model=[0.0] * secret_scan.STATES**2).first().spans
+        took.append(time.time() - start)
+        assert [(s.start, s.end) for s in spans] == [m.span() for m in re.finditer("AKIA[A-Z]+", text)]
+    assert took[1] < 8 * max(took[0], 0.5), took
+
+
 def test_masking(spark):
     row = spark.createDataFrame([("ab SECRET cd KEY", [(3, 0, 9), (5, 3, 9), (13, 1, 16)]), ("plain", [])],
                                 "text string, spans array<struct<start:int,kind:int,end:int>>")
