@@ -9,6 +9,7 @@ from .. import rules
 from ..functions.text import tokenize
 from ..scale import by_score, is_small, small_join, top_k
 from ..sources.index import Index
+from .pruned import pruned_hits
 from .scopes import within_scope
 
 
@@ -42,18 +43,24 @@ def query_terms(queries: DataFrame, text: str = "q", fields: str = "all", weight
             .select("query_id", "m.field", "term", "m.weight", "m.title_active"))
 
 
-def bm25_scores(index: Index, terms: DataFrame) -> DataFrame:
-    """All (query_id, paper_id, score, matched_fields) with a positive score."""
-    fits = is_small(terms)
-    found, stats = index.matching(terms, fits)
+def weighted_terms(index: Index, terms: DataFrame, stats: DataFrame) -> DataFrame:
+    """(query_id, field, term, title_active, avgdl, factor): terms that occur, with field weight times idf."""
     lengths = index.field_stats.filter(F.col("avgdl") > 0)
     # five rows at most, one per field
     stats = stats.join(F.broadcast(lengths), "field")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return terms.join(stats, ["field", "term"]).select(
+        "query_id", "field", "term", "title_active", "avgdl", (F.col("weight") * idf).alias("factor"))
+
+
+def bm25_scores(index: Index, terms: DataFrame, fits: bool | None = None) -> DataFrame:
+    """All (query_id, paper_id, score, matched_fields) with a positive score."""
+    fits = is_small(terms) if fits is None else fits
+    found, stats = index.matching(terms, fits)
+    weighted = weighted_terms(index, terms, stats)
     bits = sum((F.when(F.col("field") == f, 1 << i).otherwise(0) for i, f in enumerate(rules.FIELDS)),
                F.when(F.col("title_active"), 1 << len(rules.FIELDS)).otherwise(0))
-    weighted = terms.join(stats, ["field", "term"]).select(
-        "query_id", "field", "term", bits.alias("bits"), "avgdl", (F.col("weight") * idf).alias("factor"))
+    weighted = weighted.select("query_id", "field", "term", bits.alias("bits"), "avgdl", "factor")
     hits = small_join(found, weighted, ["field", "term"], spread_by=["paper_id"], fits=fits)
     k1, b, tf = rules.BM25_K1, rules.BM25_B, F.col("tf")
     part = F.col("factor") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
@@ -74,10 +81,16 @@ def bm25_search(index: Index, queries: DataFrame, text: str = "q", fields: str =
     """Ranked hits(query_id, paper_id, score, matched_fields, rank).
 
     Collection statistics are global; `scopes` only restricts which papers may
-    be returned.  k = 0 ranks every match.
+    be returned.  k = 0 ranks every match.  Over a stored index the best k are
+    found without scoring every match.
     """
     terms = query_terms(queries, text, fields, weights, fields_column)
-    hits = within_scope(bm25_scores(index, terms), scopes)
+    fits = is_small(terms)
+    if index.blocks is not None and fits and k > 0:
+        blocks, stats = index.matching_blocks(terms)
+        hits = pruned_hits(blocks, weighted_terms(index, terms, stats), scopes, k)
+    else:
+        hits = within_scope(bm25_scores(index, terms, fits), scopes)
     return top_k(hits, ["query_id"], by_score("score", "paper_id"), k, ["paper_id"])
 
 

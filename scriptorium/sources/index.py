@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,10 @@ from .. import rules
 from ..functions.text import tokenize
 from ..scale import small_join
 
+# papers of a block: their postings for the terms of a batch are searched in one task
+BLOCK_PAPERS = 2_048
+BLOCK_SCHEMA = ("block int, blocks int, field string, term string, papers array<string>, impacts array<double>, peak double, "
+                "term_bucket int")
 TOKEN_COLUMNS = {f: f"{f}_tokens" for f in rules.FIELDS}
 
 
@@ -30,6 +35,8 @@ class Index:
     field_stats: DataFrame
     occurrences: DataFrame | None = None
     buckets: int = 0
+    # block, blocks, field, term, papers, impacts, peak, term_bucket: the postings of a stored index by blocks of papers
+    blocks: DataFrame | None = None
 
     def matching(self, terms: DataFrame, fits: bool) -> tuple[DataFrame, DataFrame]:
         """Postings holding the (field, term) pairs given, and their document frequencies.
@@ -42,13 +49,19 @@ class Index:
             found = count_terms(small_join(self.occurrences, wanted, keys, spread_by=["paper_id"], fits=fits))
             # counts are few; bringing a paper together here saves shuffling its scores per query
             return found.repartition("paper_id"), build_term_stats(found)
-        postings = self.postings
-        if self.buckets:
-            # at most `buckets` numbers: lets the scan skip all other partitions
-            needed = [r[0] for r in wanted.select(term_bucket(self.buckets)).distinct().collect()]
-            postings = postings.filter(F.col("term_bucket").isin(needed)).drop("term_bucket")
+        postings = self._partitions(self.postings, wanted).drop("term_bucket") if self.buckets else self.postings
         return postings, small_join(self.term_stats, wanted, keys, fits=fits)
 
+    def _partitions(self, stored: DataFrame, wanted: DataFrame) -> DataFrame:
+        # at most `buckets` numbers: lets the scan skip all other partitions
+        needed = [r[0] for r in wanted.select(term_bucket(self.buckets)).distinct().collect()]
+        return stored.filter(F.col("term_bucket").isin(needed))
+
+    def matching_blocks(self, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Blocks in the partitions of the terms given (few enough to broadcast), and their document frequencies."""
+        wanted = terms.select("field", "term").distinct()
+        return self._partitions(self.blocks, wanted), small_join(self.term_stats, wanted, ["field", "term"], fits=True)
+
 
 def with_tokens(papers: DataFrame) -> DataFrame:
     """Add the token array of every searchable field that has none yet."""
@@ -110,8 +123,9 @@ def term_bucket(buckets: int):
     return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("term_bucket")
 
 
-def write_index(papers: DataFrame, path: str, term_buckets: int = 64, paper_buckets: int | None = None) -> Index:
-    """Store the index: postings partitioned by a hash of the term, bucketed by paper.
+def write_index(papers: DataFrame, path: str, term_buckets: int = 64, paper_buckets: int | None = None,
+                block_papers: int = BLOCK_PAPERS) -> Index:
+    """Store the index: postings partitioned by a hash of the term, bucketed by paper, and once more by blocks of papers.
 
     A query batch reads only the partitions of its own terms.  Within these, all
     postings of a paper lie in one bucket, so scores are summed without a
@@ -133,14 +147,31 @@ def write_index(papers: DataFrame, path: str, term_buckets: int = 64, paper_buck
     build_term_stats(stored).write.mode("overwrite").parquet(f"{path}/term_stats")
     lengths = stored.groupBy("field").agg(F.sum("tf").alias("total"))
     fields = spark.createDataFrame([(f,) for f in rules.FIELDS], "field string")
-    n = F.lit(papers.count())
+    n_papers = papers.count()
+    n = F.lit(n_papers)
     # totals from the stored postings: the texts are read once
     (fields.join(lengths, "field", "left")
      .select("field", n.alias("n_docs"), F.coalesce(F.try_divide("total", n), F.lit(0.0)).alias("avgdl"))
      .write.mode("overwrite").parquet(f"{path}/field_stats"))
+    write_blocks(stored, spark.read.parquet(f"{path}/field_stats"), path, n_papers, block_papers)
     return read_index(spark, path)
 
 
+def write_blocks(stored: DataFrame, field_stats: DataFrame, path: str, n_papers: int, block_papers: int) -> None:
+    """Postings by blocks of about `block_papers` papers: the papers of a term with their impacts, and the largest impact."""
+    n = max(1, math.ceil(n_papers / block_papers))
+    average = F.create_map(*[F.lit(x) for r in field_stats.collect() for x in (r["field"], float(r["avgdl"]))])
+    k1, b, tf = rules.BM25_K1, rules.BM25_B, F.col("tf")
+    impact = tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / average[F.col("field")]))
+    block = F.pmod(F.xxhash64("paper_id"), F.lit(n)).cast("int").alias("block")
+    rows = stored.filter(average[F.col("field")] > 0).select(
+        block, "field", "term", "term_bucket", F.struct("paper_id", impact.alias("impact")).alias("p"))
+    (rows.groupBy("block", "field", "term", "term_bucket").agg(F.collect_list("p").alias("p"))
+     .select("block", F.lit(n).alias("blocks"), "field", "term", F.col("p.paper_id").alias("papers"),
+             F.col("p.impact").alias("impacts"), F.array_max("p.impact").alias("peak"), "term_bucket")
+     .write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/blocks"))
+
+
 def _table_name(path: str) -> str:
     return f"postings_{hashlib.md5(path.encode()).hexdigest()[:16]}"
 
@@ -160,4 +191,5 @@ def read_index(spark: SparkSession, path: str) -> Index:
         spark.read.parquet(f"{path}/term_stats"),
         spark.read.parquet(f"{path}/field_stats"),
         buckets=term_buckets,
+        blocks=spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks"),
     )

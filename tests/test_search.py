@@ -1,18 +1,23 @@
 import math
 import random
 
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
+from checks.registry import Data
+
 from scriptorium.operators import evidence as ev
 from scriptorium.operators import filters as fl
+from scriptorium.operators import pruned
 from scriptorium.operators import ranking as rk
 from scriptorium.operators import vector as vc
-from scriptorium.operators.bm25 import bm25_search
+from scriptorium.operators.bm25 import bm25_scores, bm25_search, query_terms, weighted_terms
 from scriptorium.operators.boolean import And, Not, Or, Term, boolean_search
 from scriptorium.operators.fusion import rrf_fuse
+from scriptorium.operators.scopes import Scopes, within_scope
 from scriptorium.plans.search import smart_search, traditional_search
-from scriptorium.scale import global_rank, small_join
+from scriptorium.scale import by_score, global_rank, small_join, top_k
 from scriptorium.sources.index import build_index, read_index, write_index
 
 COLUMNS = ("paper_id string, title string, author string, source_journal string, publish_year int, abstract string, "
@@ -230,3 +235,56 @@ def test_filter_dataclass_and_table_agree(spark, papers):
     for i, f in enumerate(cases[:-1]):
         assert {p for q, p in pairs if q == i} == {r.paper_id for r in fl.hard_filter(papers, f).collect()}
     assert not [p for q, p in pairs if q == 5] and fl.hard_filter(papers, cases[5]).count() == 3
+
+
+# --- pruned search over a stored index -------------------------------------------------
+
+def stored(spark, papers, tmp_path, **options):
+    return write_index(papers, f"{tmp_path}/index", term_buckets=4, **options)
+
+
+def ranked(hits):
+    return sorted((r.query_id, r.rank, r.paper_id, round(r.score, 6), tuple(r.matched_fields)) for r in hits.collect())
+
+
+@pytest.mark.parametrize("fields, k", [("all", 3), ("all", 1), ("theme", 7), ("body", 4)])
+def test_pruned_search_equals_full_scores(spark, tmp_path, fields, k):
+    """Small blocks, ties, filters and a title penalty: the same lists as from all scores."""
+    rng = random.Random(k)
+    words = [f"w{i}" for i in range(40)]
+    text = lambda n: " ".join(rng.choices(words, [1 / (i + 1) for i in range(40)], k=rng.randrange(n)))
+    rows = [(f"p{i}", text(4), "a;b", f"j{i % 3}", 2000 + i % 4, text(20), text(5), text(9), text(60), "", "", "", "", 0)
+            for i in range(300)]
+    rows += [(f"q{i}", *rows[5][1:]) for i in range(40)]
+    papers = spark.createDataFrame(rows, COLUMNS).repartition(3)
+    index = stored(spark, papers, tmp_path, block_papers=32)
+    asked = queries(spark, *[text(12) for _ in range(15)], "", "zzz", "w0 zzz w39")
+    terms = query_terms(asked, fields=fields)
+    condition = fl.filter_condition(fl.SearchFilters(journals=["j1"], year_from=2002))
+    allowed = papers.filter(condition).select("paper_id")
+    name = F.array(F.lit("s")).alias("scopes")
+    scopes = Scopes(asked.filter("query_id % 2 = 0").select("query_id", name), allowed.select("paper_id", name),
+                    asked.select("query_id"))
+    for limit in (None, scopes):
+        full = top_k(within_scope(bm25_scores(index, terms), limit), ["query_id"], by_score("score", "paper_id"), k, ["paper_id"])
+        assert ranked(bm25_search(index, asked, fields=fields, scopes=limit, k=k)) == ranked(full)
+
+
+def test_pruned_search_scores_few_papers(spark, tmp_path):
+    """At sf0.1 at most 15 times the k best papers of each query are scored in full."""
+    data, k = Data(spark, "/root/testdata/sf0.1"), 50
+    index = stored(spark, data.papers, tmp_path)
+    terms = query_terms(data.queries.select("query_id", "q"))
+    blocks, stats = index.matching_blocks(terms)
+    batch = {}
+    for r in weighted_terms(index, terms, stats).collect():
+        batch.setdefault(r.query_id, []).append((r.field, r.term, r.factor))
+    rows = blocks.join(F.broadcast(terms.select("field", "term").distinct()), ["field", "term"]).toArrow()
+    scored = matched = 0
+    for number in range(rows.column("blocks")[0].as_py()):
+        block = pruned.Block(rows.filter(pc.equal(rows.column("block"), number)))
+        for own in batch.values():
+            scored += block.search(own, True, None, k)[3]
+            matched += len({p for f, t, _ in own if (f, t) in block.lists for p in block.lists[f, t][0].tolist()})
+    print("scored in full", scored, "of", matched, "with a term; k best", k * len(batch))
+    assert scored <= 15 * k * len(batch) and scored < 0.2 * matched
