@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .store import saved
-from .wordhash import U64, Prefix, Words, blocks, byte_values, mixed
+from .wordhash import U64, Words, blocks, mixed
 
 SAMPLE = 15_000
 POSTINGS = 6_000_000
@@ -61,7 +61,11 @@ K = 15
 BLOCK = 64
 FREQUENT = 1_024
 FIRST = 4
-SLICE = 64
+SLICE = 256
+# postings of examples that are handled at once while the index is built
+STEP = 500_000
+# texts of a block, in bytes: some hundred of usual ones fill a slice
+BYTES = 1 << 21
 
 
 class Counts:
@@ -70,15 +74,19 @@ class Counts:
     def __init__(self, texts: pa.Array):
         letters = pc.replace_substring_regex(pc.utf8_lower(texts.cast(pa.large_string())), r"[^\p{L}\p{M}]+", " ")
         words = Words(letters)
-        hashes, first = with_beginnings(words)
+        long = np.flatnonzero(words.end - words.start >= BEGINNING)
+        # beginnings, marked as such
+        begin = mixed(words.prefix.ranges(words.start[long], words.start[long] + BEGINNING) + U64(BEGINNING))
+        ends, more = words.first.tolist(), np.searchsorted(long, words.first).tolist()
         terms, counts, sizes = [], [], np.zeros(len(texts), dtype=np.int64)
-        for i, (a, b) in enumerate(zip(first.tolist(), first[1:].tolist())):
-            found = np.sort(hashes[a:b])
+        for i in range(len(texts)):
+            found = np.concatenate((words.hash[ends[i]:ends[i + 1]], begin[more[i]:more[i + 1]]))
+            found.sort()
             new = np.ones(len(found), dtype=bool)
-            new[1:] = found[1:] != found[:-1]
+            np.not_equal(found[1:], found[:-1], out=new[1:])
             starts = np.flatnonzero(new)
             terms.append(found[starts])
-            counts.append(np.diff(np.append(starts, len(found))))
+            counts.append(np.diff(starts, append=len(found)))
             sizes[i] = len(starts)
         self.terms = np.concatenate(terms) if terms else np.zeros(0, dtype=U64)
         self.counts = np.concatenate(counts) if counts else np.zeros(0, dtype=np.int64)
@@ -91,39 +99,58 @@ class Counts:
         return np.repeat(np.arange(len(self.sizes)), self.sizes)[hit], at[hit], self.counts[hit]
 
 
-def with_beginnings(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words and, marked as such, of their beginnings; first hash of each text, with the number of all at the end."""
-    text, long = np.repeat(np.arange(len(words.counts)), words.counts), np.flatnonzero(words.end - words.start >= BEGINNING)
-    start = words.start[long]
-    begin = mixed(Prefix(byte_values(words.raw)).ranges(start, start + BEGINNING) + U64(BEGINNING))
-    order = np.argsort(np.concatenate((text, text[long])), kind="stable")
-    counts = words.counts + np.bincount(text[long], minlength=len(words.counts))
-    return np.concatenate((words.hash, begin))[order], np.concatenate(([0], np.cumsum(counts)))
-
-
 def unit(text: np.ndarray, term: np.ndarray, tf: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
     """Weights of (text, term, count) rows in vectors of length 1."""
-    w = (1 + np.log(tf)) * idf[term]
+    w = (1 + np.log(tf.astype(np.float64))) * idf[term]
     norm = np.sqrt(np.bincount(text, w * w, n))[text]
     return np.divide(w, norm, out=np.zeros(len(w)), where=norm > 0)
 
 
+def alike(row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, dims: int = 128) -> np.ndarray:
+    """An order of examples in which like ones are neighbours: halved again and again along their widest direction.
+
+    Examples are known by sums of their weights, with signs by term, in `dims` places.
+    """
+    rng = np.random.default_rng(20)
+    known = int(term.max(initial=0)) + 1
+    slot, sign = rng.integers(0, dims, known), rng.choice([-1.0, 1.0], known)
+    short = np.zeros(n * dims)
+    for at in range(0, len(row), STEP):
+        a, b = slice(at, at + STEP), term[at:at + STEP]
+        short += np.bincount(row[a].astype(np.int64) * dims + slot[b], weight[a] * sign[b], n * dims)
+    short = short.reshape(n, dims)
+    out, parts = [], [np.arange(n)]
+    while parts:
+        part = parts.pop()
+        if len(part) <= BLOCK:
+            out.append(part)
+            continue
+        spread = short[part] - short[part].mean(axis=0)
+        square, along = spread.T @ spread, rng.standard_normal(dims)
+        for _ in range(20):
+            along = square @ along
+            along /= np.linalg.norm(along) + 1e-30
+        part = part[np.argsort(spread @ along, kind="stable")]
+        half = max(BLOCK, len(part) // 2 // BLOCK * BLOCK)
+        parts += [part[half:], part[:half]]
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+
+
 class BlockMaxIndex:
     """Labelled examples in blocks, with the largest weight of every term in each block."""
 
     def __init__(self, row, term, weight, labels: np.ndarray, ids: np.ndarray, copies: np.ndarray, terms: int):
-        # examples of like content near one another make tight bounds: order by label, strongest term, id
+        # examples of like content near one another make tight bounds
         n = len(labels)
-        by_weight = np.lexsort((term, -weight, row))
-        heads = by_weight[np.flatnonzero(np.diff(row[by_weight], prepend=-1))] if len(row) else by_weight
-        first = np.full(n, -1, dtype=np.int64)
-        first[row[heads]] = term[heads]
-        order = np.lexsort((ids, first, labels))
+        order = np.argsort(ids, kind="stable")
+        place = np.empty(n, dtype=np.int64)
+        place[order] = np.arange(n)
+        order = order[alike(place[row], term, weight, n)]
         self.labels, self.ids, self.copies = labels[order], ids[order], copies[order]
         self.n_blocks = -(-n // BLOCK)
         place = np.empty(n, dtype=np.int64)
         place[order] = np.arange(n)
-        row, weight = place[row], weight.astype(np.float32)
+        row, weight = place.astype(np.int32)[row], weight.astype(np.float32, copy=False)
         common = np.argsort(-np.bincount(term, minlength=terms), kind="stable")[:FREQUENT]
         self.slot = np.full(terms, -1, dtype=np.int32)
         self.slot[common] = np.arange(len(common))
@@ -135,7 +162,7 @@ class BlockMaxIndex:
         # postings of the other terms
         term, row, weight = term[~mine], row[~mine], weight[~mine]
         by_term = np.lexsort((row, term))
-        self.rows, self.weights = row[by_term], weight[by_term].astype(np.float64)
+        self.rows, self.weights = row[by_term], weight[by_term]
         self.bounds = np.searchsorted(term[by_term], np.arange(terms + 1))
 
     def nearest_of(self, text: np.ndarray, term: np.ndarray, weight: np.ndarray, copies: np.ndarray, k: int):
@@ -190,10 +217,14 @@ class BlockMaxIndex:
         # 1e-4: sums in single precision differ in the last digits; what is close is summed again below
         open_((bound > 0) & (bound >= first[:, None] - 1e-4) & ~visit)
         sums = sums.reshape(n, -1)
-        reached = least(sums, copy) - 1e-4
+        reached = np.maximum(first - 1e-4, 1e-12)
+        near = (sums >= reached[:, None]) & ~copy
         out = []
         for i in range(n):
-            found = np.flatnonzero((sums[i] > 0) & (sums[i] >= reached[i]) & ~copy[i])
+            found = np.flatnonzero(near[i])
+            if len(found) > 4 * k:
+                some = sums[i, found]
+                found = found[some >= np.partition(some, -k)[-k] - 1e-4]
             used = np.flatnonzero(asked[i])
             weights = self.common[(found // BLOCK)[:, None], used, (found % BLOCK)[:, None]]
             cosines = rare[i, found] + weights.astype(np.float64) @ asked[i, used]
@@ -259,8 +290,12 @@ class Model:
     def index(self) -> BlockMaxIndex:
         labels, ids, copies, sizes, term, tf = self.examples
         row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        weight = unit(row, term, tf, self.idf, len(labels))
-        return BlockMaxIndex(row, term.astype(np.int64), weight, labels, ids, copies, len(self.idf))
+        weight, ends = np.empty(len(term), dtype=np.float32), np.append(0, np.cumsum(sizes))
+        step = max(1, STEP * len(sizes) // max(len(term), 1))
+        for at in range(0, len(sizes), step):
+            a, b = ends[at], ends[min(at + step, len(sizes))]
+            weight[a:b] = unit(row[a:b] - at, term[a:b], tf[a:b], self.idf, min(step, len(sizes) - at))
+        return BlockMaxIndex(row, term, weight, labels, ids, copies, len(self.idf))
 
     def nearest(self, counts: Counts, copies: np.ndarray):
         text, term, tf = counts.known(self.vocabulary)
@@ -410,7 +445,7 @@ def clean(docs: DataFrame, shared: Shared, text_col: str = "text", threshold: fl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared()
-        for block in blocks(batches, text_col):
+        for block in blocks(batches, text_col, BYTES):
             found = model.votes(block.column(block.schema.get_field_index(text_col)))
             yield block.filter(pa.array([model.probability(f[0] if f else None) < threshold for f in found], pa.bool_()))
 
@@ -423,18 +458,21 @@ def score(docs: DataFrame, shared: Shared, text_col: str = "text", keep: tuple[s
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
                        + ["score double", "evidence array<struct<id:bigint,similarity:double,label:int>>"])
     columns = list(keep)
-    kind = pa.list_(pa.struct([("id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared()
-        for block in blocks(batches, text_col):
+        for block in blocks(batches, text_col, BYTES):
             texts = block.column(block.schema.get_field_index(text_col))
             found = model.votes(texts) if model else [None] * len(texts)
             scores = [model.probability(f[0] if f else None) if model else 0.0 for f in found]
-            evidence = [[{"id": int(model.index.ids[i]), "similarity": float(c), "label": int(model.index.labels[i])}
-                         for i, c in zip(f[1], f[2])] if f else [] for f in found]
+            near = np.concatenate([np.zeros(0, dtype=np.int64), *[f[1] for f in found if f]])
+            cosines = np.concatenate([np.zeros(0), *[f[2] for f in found if f]])
+            ids, labels = (model.index.ids[near], model.index.labels[near]) if model else (near, near)
+            each = pa.StructArray.from_arrays([pa.array(ids.astype(np.int64)), pa.array(cosines), pa.array(labels.astype(np.int32))],
+                                              names=["id", "similarity", "label"])
+            ends = np.cumsum([0, *[len(f[1]) if f else 0 for f in found]]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [*[block.column(block.schema.get_field_index(c)) for c in columns], pa.array(scores, pa.float64()),
-                 pa.array(evidence, kind)], names=[*columns, "score", "evidence"])
+                 pa.ListArray.from_arrays(pa.array(ends), each)], names=[*columns, "score", "evidence"])
 
     return docs.select(*dict.fromkeys([*columns, text_col])).mapInArrow(run, schema)

@@ -46,11 +46,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def byte_values(raw: np.ndarray) -> np.ndarray:
-    """The value of each byte that word hashes are made of."""
-    return _BYTE[raw]
-
-
 class Prefix:
     """Hash of any range [start, end) of a sequence of 64-bit values in constant time."""
 
@@ -101,7 +96,8 @@ class Words:
         self.end = np.flatnonzero(closes)
         self.first = np.searchsorted(self.start, bounds)
         self.raw = _LOWER[raw] if lower else raw
-        self.hash = Prefix(_BYTE[self.raw]).ranges(self.start, self.end)
+        self.prefix = Prefix(_BYTE[self.raw])
+        self.hash = self.prefix.ranges(self.start, self.end)
 
     @property
     def counts(self) -> np.ndarray:
