@@ -45,7 +45,7 @@ class _Best:
 
     def __init__(self, ids, vectors, wants, k, floor):
         self.ids, self.k, self.floor = ids, k, floor
-        self.wants = [None if w is None else set(w) for w in wants]
+        self.wants = [None if w is None else frozenset(w) for w in wants]
         self.blocks = {}
         for size in {len(v) for v in vectors if v is not None and len(v)}:
             rows = [i for i, v in enumerate(vectors) if v is not None and len(v) == size]
@@ -54,7 +54,15 @@ class _Best:
             self.blocks[size] = (np.array(rows)[good], matrix[good], norms[good])
         self.kept = {}
 
+    def _allowed(self, scopes) -> dict:
+        """For each distinct want of the queries, which chunks may be returned; distinct sets of scopes are tested once."""
+        numbers = {}
+        codes = np.array([numbers.setdefault(tuple(s), len(numbers)) for s in scopes], dtype=np.int64)
+        return {want: np.array([want.issubset(s) for s in numbers], dtype=bool)[codes]
+                for want in set(self.wants) if want is not None}
+
     def add(self, chunk_ids, paper_ids, indexes, vectors, scopes):
+        allowed = self._allowed(scopes)
         for size, (rows, queries, query_norms) in self.blocks.items():
             matrix, norms = _matrix(vectors, size)
             good = norms > 0
@@ -65,13 +73,17 @@ class _Best:
                 hit = good & (column > 0) & (column >= floor)
                 want = self.wants[row]
                 if want is not None:
-                    hit &= np.array([want.issubset(s) for s in scopes])
+                    hit &= allowed[want]
                 old = self.kept.get(row, [])
                 if self.k > 0 and len(old) >= self.k:
                     hit &= np.round(column, SCORE_DIGITS) >= -old[self.k - 1][0]
                 found = np.flatnonzero(hit)
                 if not len(found):
                     continue
+                if 0 < self.k < len(found):
+                    # ids only for what can be among the best k after rounding
+                    least = np.partition(column[found], -self.k)[-self.k]
+                    found = found[column[found] >= least - 10.0**-SCORE_DIGITS]
                 # same order as the final ranking: rounded score, then id
                 new = [(-round(float(column[i]), SCORE_DIGITS), chunk_ids[i], paper_ids[i], indexes[i],
                         float(column[i])) for i in found]
