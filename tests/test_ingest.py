@@ -201,3 +201,20 @@ def test_embed_texts_with_own_encoder(spark):
     assert rows == {"a": [1.0, 0.0], "bbb": [1.0, 0.0], "bad": None}
     marked = embed_texts(df, encoder_factory=factory, batch=1, error="why").filter("why is not null").collect()
     assert [(r.chunk_text, r.why) for r in marked] == [("bad", "RuntimeError: encoder down")]
+
+
+def test_one_bad_text_of_many_fails_alone(spark):
+    """199 of 200 texts get vectors, in the order of their rows; batches hold texts of similar length."""
+    def factory():
+        def encode(texts):
+            if any("bad" in t for t in texts):
+                raise RuntimeError("encoder down")
+            assert len(texts) == 1 or max(map(len, texts)) - min(map(len, texts)) <= 40
+            return [[float(len(t)), 1.0] for t in texts]
+        return encode
+
+    df = spark.createDataFrame([(i, "x" * (1 + i * 37 % 200) if i != 77 else "bad") for i in range(200)], "id long, chunk_text string")
+    rows = embed_texts(df.coalesce(1), encoder_factory=factory, batch=32, error="why").collect()
+    assert [r.id for r in rows if r.embedding is None] == [77]
+    assert [(r.id, r.why) for r in rows if r.why] == [(77, "RuntimeError: encoder down")]
+    assert all(r.embedding[0] / r.embedding[1] == pytest.approx(len(r.chunk_text), rel=1e-5) for r in rows if r.id != 77)
