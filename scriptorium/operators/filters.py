@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clc_code, strip
-from ..scale import global_rank, is_small
+from ..scale import cut_lineage, global_rank, is_small
 from .scopes import Scopes
 
 TEXT_FILTERS = {
@@ -177,7 +177,8 @@ def allowed_merge(papers: DataFrame, queries: DataFrame, analysis: str = "analys
         .withColumn("scope", scope_name(F.col("filter")))
     )
     filters = listed.groupBy("scope").agg(F.first("filter").alias("filter"))
-    matches = _scope_matches(papers, filters)
+    # read for the dropped filters, and by every search arm: the papers are tested once
+    matches = cut_lineage(_scope_matches(papers, filters))
     alive = matches.groupBy("scope").agg(F.lit(True).alias("alive"))
     kept = listed.join(alive, "scope", "left").filter(~F.col("soft") | F.col("alive"))
     return Scopes(

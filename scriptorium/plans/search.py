@@ -136,14 +136,14 @@ def smart_search(index: Index, papers: DataFrame, chunks: DataFrame | None, quer
         analysed = cut_lineage(apply_rewrites(queries, rewrites))
     analysed, user = _user_column(analysed, user_filter)
     scopes = allowed_merge(papers, analysed, "analysis_filter", user)
-    # both arms are short and read again by fusion, facets and references: stored once
+    # both arms and what is fused are short and read again by fusion, facets and references: stored once
     words = cut_lineage(bm25_search(index, analysed, text="bm25_text", scopes=scopes, k=SMART_K))
     if chunks is None:
         vectors = words.limit(0)
     else:
         chunk_hits = vector_search(chunks, analysed.filter(F.col("q_vec").isNotNull()), scopes, floor, SMART_K)
         vectors = cut_lineage(chunks_to_papers(chunk_hits, SMART_K).select(*words.columns))
-    golden = precision_filter(rrf_fuse(words, vectors, top=2 * SMART_K))
+    golden = cut_lineage(precision_filter(rrf_fuse(words, vectors, top=2 * SMART_K)))
     return SmartResult(golden, words, vectors, facets(golden, papers), analysed)
 
 
