@@ -68,7 +68,7 @@ STAGES = [
     ("byte_bpe", encode_texts),
 ]
 
-# the draws and models have no SQL twin; tests/llm compares every stage with a brute-force version
+# the draws and models have no SQL twin; tests/llm compares the operators with brute force and checks what the stages do
 ORACLE_SQL = None
 
 
