@@ -1,5 +1,6 @@
 """Code and vector search, URL rules, toxicity and the pipeline on small tables."""
 
+import itertools
 import math
 import random
 import zlib
@@ -177,6 +178,62 @@ def test_mined_rules_block_what_labels_tie_together(spark):
     assert {r.matched for r in found if r.verdict == "block"} == {"first=en name=casino"}
 
 
+def test_rules_of_any_part_of_a_url(spark):
+    """Third segments, query parameters, inner host labels and words of slugs; rare and long urls change nothing."""
+    rng = random.Random(5)
+    pages, labels, bad = [], [], {}
+    for i in range(1600):
+        kind = i % 8
+        segment, key = ("casino" if kind == 1 else rng.choice("xyz")), ("aff" if kind == 2 else rng.choice(["id", "page"]))
+        slug = ("best-bonus-" if kind == 3 else "good-") + str(rng.randrange(10**6))
+        inner = "ads" if kind == 4 else rng.choice(["eu", "us"])
+        url = f"https://a.{inner}.{rng.choice(['c', 'd'])}.site.example/p/q{rng.randrange(3)}/{segment}/{slug}.html?{key}={rng.randrange(9)}&v=1"
+        pages.append((i, url))
+        bad[i] = kind in (1, 2, 3, 4)
+        if i >= 800:
+            labels.append((i, bad[i]))
+    pages += [(5000 + i, "https://long.example/" + "/".join(f"s{j}" for j in range(60))) for i in range(700)]
+    labels += [(5000 + i, False) for i in range(700)]
+    table = spark.createDataFrame(pages, "page_id long, url string").repartition(3)
+    found = url_filter.judge(table, spark.createDataFrame(labels, "id long, blocked boolean"), []).collect()
+    assert {r.page_id: r.verdict == "block" for r in found} == {i: bad.get(i, False) for i, _ in pages}
+    assert {r.matched for r in found if r.matched} == {"segment=casino", "key=aff", "word=best", "label=ads"}
+
+
+@pytest.mark.parametrize("n, support, confidence, deviations", [(12, 0.1, 0.6, 0.0), (400, 0.05, 0.7, 0.0), (400, 0.02, 0.6, 2.0), (5, 0.01, 0.7, 3.0)])
+def test_mined_rules_equal_brute_force(spark, n, support, confidence, deviations):
+    rng = random.Random(n)
+    rows = []
+    for _ in range(n):
+        have = sorted(f"word={c}" for c in "abcdefg" if rng.random() < 0.45)
+        rows.append((have, rng.random() < (0.9 if {"word=a", "word=c"} <= set(have) else 0.3)))
+    rows += [([], True), ([], False)]
+    sets, full = {}, [r for r in rows if r[0]]
+    for size in range(1, 8):
+        for part in itertools.combinations([f"word={c}" for c in "abcdefg"], size):
+            hits = [b for have, b in full if set(part) <= set(have)]
+            if hits and sum(hits) >= max(1, support * len(full) - 1e-6) and sum(hits) / len(hits) >= confidence:
+                p, m, z = sum(hits) / len(hits), len(hits), deviations
+                low = (p + z * z / 2 / m - z * (p * (1 - p) / m + z * z / 4 / m / m) ** 0.5) / (1 + z * z / m)
+                if low >= confidence - 1e-9:
+                    sets[part] = p
+    rules = {r for r in sets if not any(set(s) < set(r) and sets[s] >= sets[r] for s in sets)}
+    table = spark.createDataFrame(rows, "tokens array<string>, blocked boolean")
+    found = {tuple(r.antecedent): r.confidence for r in url_filter.mined_rules(table, support, confidence, deviations).collect()}
+    # of tokens that the same urls have, one is enough
+    same = {}
+    for c in "gfedcba":
+        same[frozenset(i for i, (have, _) in enumerate(full) if f"word={c}" in have)] = f"word={c}"
+    rules = {r for r in rules if set(r) <= set(same.values())}
+    assert set(found) == rules
+    assert all(abs(found[r] - sets[r]) < 1e-9 for r in rules)
+
+
+def test_no_pages(spark):
+    none = spark.createDataFrame([], "page_id long, url string, host string, tokens int")
+    assert url_filter.judge(none, spark.createDataFrame([], "id long, blocked boolean"), LISTED).collect() == []
+
+
 # --- toxicity --------------------------------------------------------------------------
 
 def flat(vectors):
