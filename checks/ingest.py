@@ -13,8 +13,9 @@ from scriptorium.sources import paragraphs as pg
 from scriptorium.sources import tables as tb
 from scriptorium.sources.index import TOKEN_COLUMNS
 from scriptorium.streaming import ingest as si
+from scriptorium.streaming.statistics import StreamedStatistics
 
-from .registry import check, d_strip, d_tok
+from .registry import check, d_strip, d_tok, index_ctes, r6
 
 HEADERS = {
     "No": "paper_id", "题名": "title", "作者": "author", "关键词": "keywords", "摘要": "research_design_text",
@@ -288,7 +289,7 @@ def _(d):
     two = docs.select((F.col("doc_id") * 2).cast("string").alias("paper_id"), F.concat(
         F.lit("wave two "), F.col("doc_id").cast("string")).alias("title"),
         F.expr("substr(text, instr(text, chr(10)) + 1)").alias("text"), F.lit(2).alias("seq"))
-    tables = si.VersionedTables(d.spark, target)
+    tables = si.BatchTables(d.spark, target)
 
     def to_chunks(rows):
         pieces = rows.select("paper_id", F.explode(sliding_chunks(F.col("text"))).alias("c"))
@@ -301,3 +302,30 @@ def _(d):
     sizes = tables.read("chunks").groupBy("paper_id").agg(
         F.count(F.lit(1)).alias("chunk_rows"), F.sum(F.length("chunk_text")).alias("chunk_chars"))
     return tables.read("papers").select("paper_id", "title").join(sizes, "paper_id", "left")
+
+
+_LAST = """last as materialized (select paper_id, case when w = 2 then null else title end title,
+    case when w = 3 then null else keywords end keywords, case when w = 2 then null else abstract end abstract,
+    case when w = 3 then null else research_design_text end research_design_text,
+    case w when 2 then title when 3 then abstract else raw_body end raw_body from (select *,
+    case when paper_id::bigint % 3 = 0 then 3 when paper_id::bigint % 2 = 0 then 2 else 1 end w from papers))"""
+
+
+@check("stream_statistics", "select field, term, df, n n_docs, round(avgdl, 6) avgdl from dfs join fstats using (field)",
+       ("papers",), (_LAST, *(c.replace("from papers", "from last") for c in index_ctes())))
+def _(d):
+    """Document frequencies and lengths after three waves of papers, of which the later ones shrink some."""
+    none, whole = F.lit(None).cast("string"), d.papers.withColumn("seq", F.lit(1))
+    number = F.col("paper_id").cast("bigint")
+    waves = [
+        whole,
+        whole.filter(number % 2 == 0).withColumns({"title": none, "abstract": none, "raw_body": F.col("title")}),
+        whole.filter(number % 3 == 0).withColumns(
+            {"keywords": none, "research_design_text": none, "raw_body": F.col("abstract")}),
+    ]
+    source = scratch_path(d.spark, "waves")
+    kept = StreamedStatistics(d.spark, scratch_path(d.spark, "statistics"))
+    for wave in waves:
+        wave.write.mode("append").parquet(source)
+        kept.update(d.spark.readStream.schema(whole.schema).parquet(source), "seq")
+    return kept.term_stats().join(kept.field_stats(), "field").select("field", "term", "df", "n_docs", r6("avgdl", "avgdl"))

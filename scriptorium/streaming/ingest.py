@@ -12,80 +12,65 @@ from pyspark.sql.streaming import StreamingQuery
 from ..sources.tables import history_rows, latest
 
 
-class VersionedTables:
-    """papers and chunks, one folder of changed rows per ingested batch.
-
-    A batch writes only its own rows and is then published by an empty marker
-    file, named by version, run and batch: versions count on over all runs, so a
-    new or reset checkpoint, which numbers its batches from 0 again, loses nothing.  Readers merge the published versions: the newest row of a paper
-    counts, and of its chunks only those written with that row, so a paper that
-    shrinks loses its old chunks.  A batch that fails before its marker changes
-    nothing for readers; a repeated batch overwrites its own folder.
+FINISHED = "number bigint, run string, batch bigint"
+
+
+class BatchTables:
+    """papers and chunks: one Parquet folder for each ingested batch, and a table that lists the finished batches.
+
+    Batches are numbered on over all runs, so a new or reset checkpoint, which numbers its batches from 0
+    again, loses nothing.  Readers take finished batches only: the newest row of a paper counts, and of
+    its chunks those written with that row, so a paper that shrinks loses its old chunks.  A batch
+    that fails is not listed and changes nothing; its folder is overwritten by the next one.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        spark.createDataFrame([], FINISHED).write.mode("ignore").parquet(f"{path}/finished")
 
-    def _path(self, name: str):
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
-
-    def published(self) -> dict[tuple[str, int], int]:
-        """Version of every published (run, batch)."""
-        files, folder = self._path("_published")
-        if not files.exists(folder):
-            return {}
-        names = [s.getPath().getName().split("~") for s in files.listStatus(folder)]
-        return {(run, int(batch)): int(version) for version, run, batch in names}
+    def finished(self) -> DataFrame:
+        return self.spark.read.schema(FINISHED).parquet(f"{self.path}/finished")
 
-    def current(self) -> int | None:
-        """Number of the newest published version."""
-        return max(self.published().values(), default=None)
+    def finish(self, number: int, run: str, batch: int) -> None:
+        """List a batch: one row in one file, which appears whole or not at all."""
+        row = self.spark.createDataFrame([(number, run, batch)], FINISHED)
+        row.coalesce(1).write.mode("append").parquet(f"{self.path}/finished")
 
-    def publish(self, version: int, run: str, batch: int) -> None:
-        files, marker = self._path(f"_published/{version}~{run}~{batch}")
-        files.create(marker, True).close()
+    def write(self, table: str, df: DataFrame, number: int) -> DataFrame:
+        folder = f"{self.path}/{table}/number={number}"
+        df.write.mode("overwrite").parquet(folder)
+        return self.spark.read.parquet(folder)
 
-    def write(self, table: str, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/{table}/version={version}")
+    def read(self, table: str) -> DataFrame | None:
+        """Current rows of papers or chunks; None before the first batch."""
+        finished = self.finished().select("number")
+        if finished.isEmpty():
+            return None
 
-    def _published(self, table: str, version: int) -> DataFrame:
-        rows = self.spark.read.option("mergeSchema", True).parquet(f"{self.path}/{table}")
-        return rows.filter(F.col("version") <= version)
+        def rows(name: str) -> DataFrame:
+            stored = self.spark.read.option("mergeSchema", True).parquet(f"{self.path}/{name}")
+            return stored.withColumn("number", F.col("number").cast("bigint")).join(finished, "number", "left_semi")
 
-    def read(self, table: str, version: int | None = None) -> DataFrame | None:
-        version = self.current() if version is None else version
-        if version is None:
-            return None
         # reads paper_id and the partition value only
-        newest = self._published("papers", version).groupBy("paper_id").agg(F.max("version").alias("version"))
-        return self._published(table, version).join(newest, ["paper_id", "version"], "left_semi").drop("version")
-
-    def compact(self, path: str) -> "VersionedTables":
-        """Merge all published versions into a new folder with a single version."""
-        version = self.current()
-        merged = VersionedTables(self.spark, path)
-        for table in ("papers", "chunks"):
-            merged.write(table, self.read(table, version), version)
-        merged.publish(version, "compacted", version)
-        return merged
+        newest = rows("papers").groupBy("paper_id").agg(F.max("number").alias("number"))
+        return rows(table).join(newest, ["paper_id", "number"], "left_semi").drop("number")
 
 
-def apply_batch(tables: VersionedTables, papers: DataFrame, to_chunks: Callable[[DataFrame], DataFrame],
+def apply_batch(tables: BatchTables, papers: DataFrame, to_chunks: Callable[[DataFrame], DataFrame],
                 run: str, batch: int) -> None:
-    """Write changed papers and their chunks as one version and publish it.
+    """Write changed papers and their chunks as one batch and list it as finished.
 
-    Only a batch that this run has published before is skipped.  Chunks are made
+    Only a batch that this run has finished before is skipped.  Chunks are made
     from the papers as written, so both tables hold the same rows.
     """
-    published = tables.published()
-    if (run, batch) in published:
+    mine = (F.col("run") == run) & (F.col("batch") == batch)
+    last, done = tables.finished().agg(F.max("number"), F.coalesce(F.bool_or(mine), F.lit(False))).first()
+    if done:
         return
-    version = max(published.values(), default=-1) + 1
-    tables.write("papers", papers, version)
-    written = tables.spark.read.parquet(f"{tables.path}/papers/version={version}")
-    tables.write("chunks", to_chunks(written), version)
-    tables.publish(version, run, batch)
+    number = 0 if last is None else last + 1
+    written = tables.write("papers", papers, number)
+    tables.write("chunks", to_chunks(written), number)
+    tables.finish(number, run, batch)
 
 
 def _run_of(spark: SparkSession, checkpoint: str) -> str:
@@ -93,7 +78,7 @@ def _run_of(spark: SparkSession, checkpoint: str) -> str:
     return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
 
 
-def stream_upsert(stream: DataFrame, tables: VersionedTables, to_chunks: Callable[[DataFrame], DataFrame],
+def stream_upsert(stream: DataFrame, tables: BatchTables, to_chunks: Callable[[DataFrame], DataFrame],
                   checkpoint: str, order_col: str | None = None, **trigger) -> StreamingQuery:
     """Run a stream of paper rows into `tables`; `to_chunks` makes their chunks.
 

@@ -11,7 +11,7 @@ from checks.compare import compare, connect
 SF = "/root/testdata/sf0.001"
 SAMPLE = ("hard_filter", "corpus_stats", "keyword_cooccurrence", "facets", "bm25_search", "boolean_search",
           "vector_search", "smart_search_low_floor", "split_chapters", "chunk_papers", "citations", "citation_audit",
-          "match_metadata", "stream_upsert")
+          "match_metadata", "stream_upsert", "stream_statistics")
 
 
 @pytest.mark.parametrize("name", SAMPLE)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +11,9 @@ from scriptorium.plans.ingest import build_papers
 from scriptorium.sources import metadata as md
 from scriptorium.sources import paragraphs as pg
 from scriptorium.sources import tables as tb
+from scriptorium.sources.index import build_field_stats, build_postings, build_term_stats
 from scriptorium.streaming import ingest as si
+from scriptorium.streaming.statistics import StreamedStatistics
 
 
 def test_metadata_aliases_and_missing_columns(spark):
@@ -56,7 +60,7 @@ def test_upsert_needs_an_order_for_repeated_keys(spark):
 
 
 def test_stream_into_the_same_tables_from_a_new_checkpoint(spark, tmp_path):
-    tables = si.VersionedTables(spark, str(tmp_path / "t"))
+    tables = si.BatchTables(spark, str(tmp_path / "t"))
     for n in ("one", "two"):
         rows = spark.createDataFrame([(n, n, 1)], "paper_id string, title string, seq int")
         rows.write.parquet(str(tmp_path / n))
@@ -66,7 +70,7 @@ def test_stream_into_the_same_tables_from_a_new_checkpoint(spark, tmp_path):
             si.stream_upsert(stream, tables, make, str(tmp_path / f"state-{n}"), "seq").awaitTermination()
     assert {r.paper_id for r in tables.read("papers").collect()} == {"one", "two"}
     assert {r.paper_id for r in tables.read("chunks").collect()} == {"one", "two"}
-    assert sorted(tables.published().values()) == [0, 1]
+    assert sorted(r.number for r in tables.finished().collect()) == [0, 1]
 
 
 def links(spark, docs, titles):
@@ -132,7 +136,7 @@ def test_history(spark, tmp_path):
 
 
 def test_stream_failure_keeps_the_published_state(spark, tmp_path):
-    tables = si.VersionedTables(spark, str(tmp_path / "t"))
+    tables = si.BatchTables(spark, str(tmp_path / "t"))
     source, state = str(tmp_path / "in"), str(tmp_path / "state")
     schema = "paper_id string, title string, text string, seq int"
 
@@ -164,8 +168,46 @@ def test_stream_failure_keeps_the_published_state(spark, tmp_path):
     run(to_chunks)  # the batch is repeated after the failure
     second = ({"a": "short", "b": "b"}, [("a", 0), ("b", 0)])
     assert state_now() == second
-    tables = tables.compact(str(tmp_path / "compact"))
-    assert state_now() == second
+
+
+def test_streamed_statistics_equal_a_rebuild(spark, tmp_path):
+    kept, source = StreamedStatistics(spark, str(tmp_path / "s")), str(tmp_path / "in")
+    schema = ("paper_id string, title string, keywords string, abstract string, research_design_text string, "
+              "raw_body string, seq int")
+    now = {}
+
+    def take(rows, broken=False):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        if broken:
+            with pytest.raises(Exception):
+                kept.update(stream.withColumn("title", F.raise_error(F.lit("broken batch")).cast("string")), "seq")
+        else:
+            kept.update(stream, "seq")
+
+    def equal():
+        papers = spark.createDataFrame(list(now.values()), schema)
+        for mine, built in ((kept.term_stats(), build_term_stats(build_postings(papers))),
+                            (kept.field_stats(), build_field_stats(papers))):
+            assert sorted(map(tuple, mine.collect())) == sorted(map(tuple, built.select(*mine.columns).collect()))
+
+    rng = random.Random(2)
+    text = lambda n: " ".join(rng.choice("abcdefgh") * 2 for _ in range(n)) if n else None
+    for wave, size in ((1, 30), (2, 6), (3, 0)):
+        rows = [(f"p{i}", text(3), None, "", text(size // 2), text(size), wave) for i in range(40) if i % wave == 0]
+        old = [(f"p{i}", "older row", None, None, None, text(9), 0) for i in range(0, 40, 6)]     # of the same batch, loses
+        if wave == 2:
+            before = now.copy()
+            take(rows + old, broken=True)
+            equal()
+            assert now == before
+            kept.update(spark.readStream.schema(schema).parquet(source), "seq")
+        else:
+            take(rows + old)
+        now.update({r[0]: r for r in rows})
+        equal()
+    kept.update(spark.readStream.schema(schema).parquet(source), "seq")                           # nothing new
+    equal()
 
 
 def test_apply_rewrites(spark):
