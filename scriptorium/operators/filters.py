@@ -10,12 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clc_code, strip
-from ..scale import cut_lineage, global_rank, is_small
+from ..scale import cut_lineage, global_rank, small_join
+from .containment import contained
 from .scopes import Scopes
 
 TEXT_FILTERS = {
     "authors": "author", "affiliations": "affiliation", "journals": "source_journal", "clcs": "clc_number",
 }
+# bin of a missing year
+NO_YEAR = -(2**31)
 FILTER_TYPE = (
     "struct<authors:array<string>,affiliations:array<string>,journals:array<string>,clcs:array<string>,"
     "years:array<int>,year_from:int,year_to:int,is_core:boolean>"
@@ -121,33 +124,71 @@ def filter_is_set(f: Column) -> Column:
         reduce(or_, lists) | (f["year_from"] > 0) | (f["year_to"] > 0) | f["is_core"].isNotNull(), F.lit(False))
 
 
-def matches_filter(f: Column) -> Column:
-    """A normalised filter in a column, tested against the paper columns."""
-    parts = []
-    for name, column in TEXT_FILTERS.items():
-        text = F.lower(F.coalesce(F.col(column), F.lit("")))
-        values = f[name]
-        parts.append((F.size(values) == 0) | F.exists(values, lambda v: text.contains(F.lower(v))))
-    year = F.coalesce(F.col("publish_year"), F.lit(-1))
-    parts += [
-        (F.size(f["years"]) == 0) | F.array_contains(f["years"], year),
-        (f["year_from"] <= 0) | (year >= f["year_from"]),
-        (f["year_to"] <= 0) | ((year <= f["year_to"]) & F.col("publish_year").isNotNull()),
-        f["is_core"].isNull() | (f["is_core"] == (F.coalesce(F.col("is_core"), F.lit(0)) == 1)),
-    ]
-    return reduce(and_, parts)
+def _number_test(f: Column, year: Column, core: Column) -> Column:
+    """The years and the core mark of a normalised filter, tested against values."""
+    known = F.coalesce(year, F.lit(-1))
+    return reduce(and_, [
+        (F.size(f["years"]) == 0) | F.array_contains(f["years"], known),
+        (f["year_from"] <= 0) | (known >= f["year_from"]),
+        (f["year_to"] <= 0) | ((known <= f["year_to"]) & year.isNotNull()),
+        f["is_core"].isNull() | (f["is_core"] == core),
+    ])
+
+
+def _number_matches(numbers: DataFrame, filters: DataFrame) -> DataFrame:
+    """(scope, field, value) for filters with a condition on years or the core mark.
+
+    numbers(publish_year, core, value) are the distinct pairs of the papers.  Pairs and filters meet by
+    bins of years; the bin of missing years is asked by every filter.
+    """
+    f = F.col("filter")
+    first, last = numbers.agg(F.min("publish_year"), F.max("publish_year")).first()
+    first, last = (0, 0) if first is None else (first, last)
+    since = F.greatest(F.when(f["year_from"] > 0, f["year_from"]), F.lit(first))
+    until = F.least(F.when(f["year_to"] > 0, f["year_to"]), F.lit(last))
+    bins = (F.when(F.size(f["years"]) > 0, F.transform(f["years"], lambda y: F.shiftright(y, 4)))
+            .when(since <= until, F.sequence(F.shiftright(since, 4), F.shiftright(until, 4)))
+            .otherwise(F.array().cast("array<int>")))
+    asked = filters.filter(_asks_numbers(f)).select(
+        "scope", "filter", F.explode(F.array_distinct(F.concat(bins, F.array(F.lit(NO_YEAR))))).alias("bin"))
+    offered = numbers.withColumn("bin", F.coalesce(F.shiftright("publish_year", 4), F.lit(NO_YEAR)))
+    met = offered.join(asked, "bin").filter(_number_test(f, F.col("publish_year"), F.col("core")))
+    return met.select("scope", F.lit("numbers").alias("field"), "value")
+
+
+def _asks_numbers(f: Column) -> Column:
+    return (F.size(f["years"]) > 0) | (f["year_from"] > 0) | (f["year_to"] > 0) | f["is_core"].isNotNull()
 
 
 def _scope_matches(papers: DataFrame, filters: DataFrame) -> DataFrame:
     """(paper_id, scope) for the distinct filters of a batch.
 
-    A substring condition has no join key, so this is a theta join.  Filters
-    are few and distinct; within the checked bound they are broadcast and the
-    papers are read once.
+    Conditions are settled on the distinct values of each column: substrings by
+    their rarest gram, years by bins.  Papers then look their own values up, and belong to
+    a scope if all of its conditions found them; filters are never tested paper by paper.
     """
-    columns = ["paper_id", *TEXT_FILTERS.values(), "publish_year", "is_core"]
-    side = F.broadcast(filters) if is_small(filters, 5_000) else filters
-    return papers.select(*columns).join(side, matches_filter(F.col("filter"))).select("paper_id", "scope")
+    filters = cut_lineage(filters)
+    f = F.col("filter")
+    lists = F.array(*[F.struct(F.lit(c).alias("field"), f[n].alias("values")) for n, c in TEXT_FILTERS.items()])
+    asked = filters.select("scope", F.explode(lists).alias("t")).select(
+        "scope", "t.field", F.explode("t.values").alias("v")).select("scope", "field", F.lower("v").alias("needle")).distinct()
+    core = F.coalesce(F.col("is_core"), F.lit(0)) == 1
+    pair = F.concat_ws(",", F.coalesce(F.col("publish_year").cast("string"), F.lit("")), core.cast("string"))
+    values = [(c, F.lower(F.coalesce(F.col(c), F.lit("")))) for c in TEXT_FILTERS.values()]
+    entry = F.array(*[F.struct(F.lit(c).alias("field"), v.alias("value")) for c, v in [*values, ("numbers", pair)]])
+    held = papers.select("paper_id", F.explode(entry).alias("e")).select("paper_id", "e.field", "e.value")
+    hays = held.filter("field != 'numbers' and value != ''").select("field", F.col("value").alias("hay")).distinct()
+    # only columns that some filter asks about are cut into grams
+    hays = hays.join(F.broadcast(asked.select("field").distinct()), "field", "left_semi")
+    texts = contained(asked.select("field", "needle").distinct(), hays).join(asked, ["field", "needle"]).select(
+        "scope", "field", F.col("hay").alias("value")).distinct()
+    numbers = papers.select("publish_year", core.alias("core"), pair.alias("value")).distinct()
+    met = cut_lineage(texts.unionByName(_number_matches(numbers, filters)))
+    found = small_join(held, met, ["field", "value"], spread_by=["paper_id"]).groupBy("paper_id", "scope").agg(
+        F.size(F.collect_set("field")).alias("_got"))
+    need = reduce(lambda a, b: a + b, [(F.size(f[n]) > 0).cast("int") for n in TEXT_FILTERS], _asks_numbers(f).cast("int"))
+    return small_join(found, filters.select("scope", need.alias("_need")), ["scope"], spread_by=["paper_id"]).filter(
+        "_got = _need").select("paper_id", "scope")
 
 
 def scope_name(f: Column) -> Column:

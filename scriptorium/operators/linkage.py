@@ -7,50 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_key, strip
 from ..scale import cut_lineage
-
-GRAM = 4
-CANDIDATES = 8
-
-
-def _grams(text, size: int):
-    """Distinct overlapping pieces; one regular-expression pass over the text."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
-
-
-def _contained(needles: DataFrame, hays: DataFrame) -> DataFrame:
-    """(needle, hay) where the needle is a substring, both columns distinct.
-
-    Blocking is exact: a hay must hold every gram of the needle, so the pair is
-    looked up by one gram only, the rarest of a few.  Needles shorter than a
-    gram are looked up whole among grams of their own length.
-    """
-    found = _by_gram(needles.filter(F.length("needle") >= GRAM), hays, GRAM)
-    for size in range(1, GRAM):
-        short = needles.filter(F.length("needle") == size)
-        if not short.isEmpty():
-            found = found.unionByName(_by_gram(short, hays, size))
-    return found
-
-
-def _by_gram(needles: DataFrame, hays: DataFrame, size: int) -> DataFrame:
-    keyed = F.transform(_grams(F.col("needle"), size), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))
-    # a few grams per needle, picked by hash, compete for the lowest frequency
-    wanted = needles.select("needle", F.explode(F.slice(F.array_sort(keyed), 1, CANDIDATES)).alias("k")).select(
-        "needle", F.col("k.g").alias("gram"))
-    offered = hays.select("hay", F.explode(_grams(F.col("hay"), size)).alias("gram"))
-    # read three times below; only grams that some needle asks for are left
-    offered = cut_lineage(offered.join(wanted.select("gram").distinct(), "gram", "left_semi"))
-    frequency = offered.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rarest = (
-        wanted.join(frequency, "gram", "left")
-        .groupBy("needle")
-        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
-        .filter(F.col("r.n") > 0)
-        .select("needle", F.col("r.gram").alias("gram"))
-    )
-    return (rarest.join(offered, "gram")
-            .filter(F.col("hay").contains(F.col("needle"))).select("needle", "hay"))
-
+from .containment import contained
 
 def match_metadata(docs: DataFrame, rows: DataFrame, id_column: str = "paper_id", hint_column: str = "title_hint",
                    order_column: str = "row_no", title_column: str = "title") -> DataFrame:
@@ -77,10 +34,9 @@ def match_metadata(docs: DataFrame, rows: DataFrame, id_column: str = "paper_id"
     open_keys = exact.filter(
         F.col("_hint").isNull() & F.col("_id").isNull() & (F.col("id_key") != "")).select("id_key").distinct()
     title_keys = titles.select("key")
-    inside_title = _contained(open_keys.select(F.col("id_key").alias("needle")),
-                              title_keys.select(F.col("key").alias("hay")))
-    holds_title = _contained(title_keys.select(F.col("key").alias("needle")),
-                             open_keys.select(F.col("id_key").alias("hay")))
+    one = F.lit("key").alias("field")
+    inside_title = contained(open_keys.select(one, F.col("id_key").alias("needle")), title_keys.select(one, F.col("key").alias("hay")))
+    holds_title = contained(title_keys.select(one, F.col("key").alias("needle")), open_keys.select(one, F.col("id_key").alias("hay")))
     pairs = (
         inside_title.select(F.col("needle").alias("id_key"), F.col("hay").alias("key"))
         .unionByName(holds_title.select(F.col("hay").alias("id_key"), F.col("needle").alias("key"))))

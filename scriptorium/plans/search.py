@@ -11,6 +11,7 @@ from .. import rules
 from ..functions.text import strip, tokenize
 from ..operators.bm25 import bm25_search
 from ..operators.boolean import boolean_search
+from ..operators.containment import contained
 from ..operators.facets import facets
 from ..operators.filters import (
     FILTER_TYPE, SearchFilters, allowed_merge, lookup_condition,
@@ -20,7 +21,7 @@ from ..operators.ranking import hydrate_hits, matched_by, paginate, precision_fi
 from ..operators.rewrites import apply_rewrites, expand_query
 from ..operators.scopes import Scopes
 from ..operators.vector import chunks_to_papers, vector_search
-from ..scale import cut_lineage, global_rank, is_small, top_k
+from ..scale import cut_lineage, global_rank, small_join, top_k
 from ..sources.index import Index
 
 TRADITIONAL_K = 500
@@ -86,19 +87,22 @@ def _listed(found: DataFrame, queries: DataFrame) -> DataFrame:
 def _lookup_search(papers, queries, field, year, filters, sort, page, page_size) -> SearchResult:
     column = "author" if field == "first_author" else field
     text = F.lower(strip(F.coalesce(F.col(column), F.lit(""))))
-    asked = queries.select("query_id", F.lower(strip(F.coalesce("q", F.lit("")))).alias("_q"))
-    base = papers
+    asked = queries.select("query_id", F.lower(strip(F.coalesce("q", F.lit("")))).alias("needle"))
     rest = lookup_condition("", "", year, filters)
-    if rest is not None:
-        base = base.filter(rest)
-    else:
-        asked = asked.filter(F.col("_q") != "")
-    test = text.startswith(F.col("_q")) if field == "first_author" else text.contains(F.col("_q"))
-    # a substring has no join key: theta join against the few queries of the batch
-    found = base.select("paper_id", column).join(F.broadcast(asked) if is_small(asked, 5_000) else asked, test)
+    base = papers if rest is None else papers.filter(rest)
+    base = base.select("paper_id", F.lit(column).alias("field"), text.alias("hay"))
+    # values of the column are met by gram, papers look their own value up
+    needles = asked.filter("needle != ''").select(F.lit(column).alias("field"), "needle").distinct()
+    pairs = contained(needles, base.select("field", "hay").distinct())
+    if field == "first_author":
+        pairs = pairs.filter(F.col("hay").startswith(F.col("needle")))
+    wanted = cut_lineage(pairs.join(asked, "needle").select("query_id", "field", "hay"))
+    found = small_join(base, wanted, ["field", "hay"], spread_by=["paper_id"])
     hits = global_rank(found.select("query_id", "paper_id"), ["query_id"], [F.col("paper_id").asc()])
     hits = hits.select("query_id", "paper_id", F.lit(0.0).alias("score"),
                        F.array().cast("array<string>").alias("matched_fields"), "rank")
+    if rest is not None:
+        hits = hits.unionByName(_listed(base, asked.filter("needle = ''").select("query_id")).select(*hits.columns))
     return _finish(hits, papers, sort, page, page_size, 0)
 
 

@@ -17,7 +17,8 @@ from scriptorium.operators.boolean import And, Not, Or, Term, boolean_search
 from scriptorium.operators.fusion import rrf_fuse
 from scriptorium.operators.scopes import Scopes, within_scope
 from scriptorium.plans.search import smart_search, traditional_search
-from scriptorium.scale import by_score, global_rank, small_join, top_k
+from scriptorium import scale
+from scriptorium.scale import by_score, cut_lineage, global_rank, small_join, top_k
 from scriptorium.sources.index import build_index, read_index, write_index
 
 COLUMNS = ("paper_id string, title string, author string, source_journal string, publish_year int, abstract string, "
@@ -288,3 +289,50 @@ def test_pruned_search_scores_few_papers(spark, tmp_path):
             matched += len({p for f, t, _ in own if (f, t) in block.lists for p in block.lists[f, t][0].tolist()})
     print("scored in full", scored, "of", matched, "with a term; k best", k * len(batch))
     assert scored <= 15 * k * len(batch) and scored < 0.2 * matched
+
+
+def test_filters_have_keys(spark, monkeypatch):
+    """No step of the filters tests every paper against every filter, and papers are those of a plain test."""
+    from scriptorium.operators import containment, filters
+    from scriptorium.plans import search
+    plans = []
+
+    def recorded(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut_lineage(df)
+
+    for module in (containment, filters, search, scale):
+        monkeypatch.setattr(module, "cut_lineage", recorded)
+    rng = random.Random(9)
+    names = ["", None, "Ann Lee", "ann", "Bo", "Journal of Applied Things", "applied", "甲乙丙丁戊", "乙"]
+    papers = [(f"p{i}", *(rng.choice(names) for _ in range(4)), rng.choice([None, 0, 1995, 2003, 2020]), rng.choice([None, 0, 1]))
+              for i in range(120)]
+    table = spark.createDataFrame(papers, "paper_id string, author string, affiliation string, source_journal string, "
+                                          "clc_number string, publish_year int, is_core int")
+    asked = []
+    for i in range(60):
+        texts = [[rng.choice(["ANN", "b", "lied", "乙丙丁戊", "zzzz", " "])] if rng.random() < 0.3 else [] for _ in range(4)]
+        asked.append((i, (*texts, rng.choice([[], [], [2003, 1995]]), rng.choice([0, 0, 1990, 2010]),
+                          rng.choice([0, 0, 2005, 1980]), rng.choice([None, None, True, False]))))
+    queries = spark.createDataFrame(asked, f"query_id long, filter {filters.FILTER_TYPE}")
+    found = filters.allowed_papers(filters.user_scopes(table, queries))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    want = set()
+    for q, (*texts, years, since, until, core) in asked:
+        texts = [[v.strip().lower() for v in t if v.strip()] for t in texts]
+        if not (any(texts) or years or since or until or core is not None):
+            continue
+        for name, *columns, year, is_core in papers:
+            ok = all(not t or any(v in (c or "").lower() for v in t) for t, c in zip(texts, columns))
+            ok = ok and (not years or year in years) and (not since or (year is not None and year >= since))
+            ok = ok and (not until or (year is not None and year <= until)) and (core is None or core == (is_core == 1))
+            want |= {(q, name)} if ok else set()
+    assert {tuple(r) for r in found.collect()} == want and want
+    lookups = spark.createDataFrame([(1, " ANN"), (2, "乙"), (3, ""), (4, "nobody")], "query_id long, q string")
+    for field in ("author", "first_author"):
+        hits = search._lookup_search(table.withColumns({c: F.lit("") for c in ("title", "doi", "keywords", "abstract")}),
+                                     lookups, field, 0, None, "", 1, 20).hits.collect()
+        test = (lambda a, q: a.startswith(q)) if field == "first_author" else (lambda a, q: q in a)
+        assert {(h.query_id, h.paper_id) for h in hits} == {
+            (n, p[0]) for n, q in ((1, "ann"), (2, "乙")) for p in papers if test((p[1] or "").strip().lower(), q)}
+    assert len(plans) > 6 and not [p for p in plans if "NestedLoop" in p or "Cartesian" in p]
