@@ -12,7 +12,7 @@ from .hamming_search import nearest_codes, sign_code
 from .max_sketch import rank_documents
 from .near_dedup import near_duplicates
 from .packing import pack
-from .secret_scan import KINDS, listed, scan
+from .secret_scan import KINDS, counted, listed, scan
 from .source_mix import mix
 from .spelling import count_words, group_variants
 from .store import saved
@@ -77,7 +77,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_secret_scan")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{KINDS[k]}") for k in range(4)]
+    counts = [counted(F.col("spans"), k).alias(f"n_{KINDS[k]}") for k in range(4)]
     base = F.filter("spans", lambda s: s["kind"] < 3)
     return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
                         listed(F.col("spans")).alias("spans"))

@@ -220,6 +220,12 @@ def listed(spans: Column) -> Column:
         ":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def counted(spans: Column, kind: int) -> Column:
+    """Number of spans of one kind."""
+    # one parameter: a second one, even with a default, is the position in the array
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
+
+
 def redacted(text: Column, spans: Column, mask: str = "[secret]") -> Column:
     """The text with every span (overlapping ones together) replaced by the mask; texts without spans as they are."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
