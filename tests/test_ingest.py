@@ -1,13 +1,16 @@
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from scriptorium.operators.containment import contained
 from scriptorium.operators.embedding import embed_texts
 from scriptorium.operators.linkage import match_metadata
 from scriptorium.operators.packing import sliding_chunks
 from scriptorium.operators.rewrites import apply_rewrites
 from scriptorium.plans.ingest import build_papers
+from scriptorium.scale import storage_root
 from scriptorium.sources import metadata as md
 from scriptorium.sources import paragraphs as pg
 from scriptorium.sources import tables as tb
@@ -101,6 +104,21 @@ def test_match_metadata_against_brute_force(spark):
         assert found[i] == want
 
 
+def test_contained_against_brute_force_without_texts_by_gram(spark):
+    rng = random.Random(5)
+    words = ["lorem", "ipsum", "dolor", "深度", "学习", "sit", "é", "unknown"]
+    hays = sorted({"".join(rng.choice(words) for _ in range(rng.choice((1, 2, 9, 120)))) for _ in range(60)})
+    needles = {h[a:a + n] for h in hays for n in (1, 2, 3, 5, 9, 14, 30, 50, 90, 400) for a in (0, 7)} | {"unknownx", "学习x" * 30, ""}
+    told = [("f", n) for n in sorted(needles)] + [("g", "lorem")]
+    size = lambda: sum(f.stat().st_size for f in Path(storage_root(spark).removeprefix("file:")).rglob("*") if f.is_file())
+    before = size()
+    found = contained(spark.createDataFrame(told, "field string, needle string"),
+                      spark.createDataFrame([("f", h) for h in hays], "field string, hay string")).collect()
+    assert sorted(map(tuple, found)) == sorted(("f", n, h) for n in needles if n for h in hays if n in h)
+    # a text lies in no row of its pieces
+    assert size() - before < 8 * sum(len(h.encode()) for h in hays)
+
+
 def test_build_papers_without_metadata_row(spark):
     docs = spark.createDataFrame([("甲", "甲", ["研究方法", "正文", "数据分析", "尾"]), ("乙", "乙", [])],
                                  "paper_id string, title_hint string, paras array<string>")
