@@ -1,14 +1,17 @@
 """BM25 over tokens in the rows of papers against the scores by postings."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
+from scriptorium.functions.text import tokenize
 from scriptorium.operators import tokenwise
 from scriptorium.operators.bm25 import bm25_scores, bm25_search, query_terms
 from scriptorium.operators.filters import FILTER_TYPE, user_scopes
 from scriptorium.operators.scopes import within_scope
 from scriptorium.scale import by_score, top_k
-from scriptorium.sources.index import build_index
+from scriptorium.sources.index import build_index, token_sources
 
 
 @pytest.fixture(scope="module")
@@ -67,5 +70,24 @@ def test_no_posting_is_shuffled(spark, papers, queries):
     assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line and "term" in line]
 
 
+def test_texts_are_split_in_tasks_as_by_tokenize(spark, papers, queries):
+    texts = ["", None, "  ", "One-two,THREE", "3x", "été naïve Ünder_score K", "a\nB\tc ", "x", "深度 Learning 学", "end"]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "paper_id string, title string").coalesce(1).withColumns(
+        {c: F.lit(None).cast("string") for c in ("keywords", "abstract", "research_design_text", "raw_body")})
+    expected = [r[0] for r in df.select(tokenize("title")).collect()]
+    batch = token_sources(df).toArrow().combine_chunks().to_batches()[0]
+    parts = list(tokenwise._tokens(batch, "title"))
+    found = [[] for _ in texts]
+    for length, tokens in parts:
+        at = 0
+        for i, n in enumerate(length):
+            found[i] += tokens[at:at + n].to_pylist()
+            at += n
+    assert found == expected
+    # texts are read twice, not once more for the lengths
+    index = build_index(papers)
+    assert ranked(bm25_search(replace(index, field_stats=None), queries, k=7)) == ranked(bm25_search(index, queries, k=7))
+
+
 def test_no_papers(spark, papers, queries):
     assert bm25_search(build_index(papers.limit(0)), queries, k=7).collect() == []
