@@ -1,50 +1,32 @@
-"""Statistics of the index kept up to date by streams of changed papers.
-
-Two stateful streams follow each other.  The first holds, for every paper, what it adds
-to the statistics: the distinct terms and the length of each field.  A changed
-paper replaces its entry, and the difference of before and after is appended to
-the table of changes.  The second holds the sums of the changes by field and term;
-a batch writes the sums that it touched, and readers take the newest one of
-each key.  Both keep state and progress in checkpoints beside the
-tables, so a batch that fails changes nothing and a repeated one counts once.
+"""Statistics of the index kept up to date by a stream of changed papers.
+
+A batch writes two folders of its own.  The first holds what each of its papers adds to the
+statistics: the distinct terms and the length of each field.  The second holds the
+changes by field and term: what the batch's papers add now, less what their newest entries of
+earlier batches added.  Readers sum the changes.  A repeated batch reads earlier batches only and
+overwrites its own folders, so a batch that fails changes nothing and a repeated one counts once.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import rules
 from ..sources.index import TOKEN_COLUMNS, with_tokens
 
+PAPERS = "paper_id string, fields array<struct<field: string, dl: int, terms: array<string>>>"
 # a row with a term counts the papers that hold it, one without counts papers and tokens of the field
 CHANGES = "field string, term string, papers bigint, tokens bigint"
-TOTALS = f"{CHANGES}, batch bigint"
-
 
-def _counted(fields: list[dict]) -> dict:
-    """{(field, term or None): (papers, tokens)} of one paper."""
-    out = {(f["field"], None): (1, f["dl"]) for f in fields}
-    out.update({(f["field"], t): (1, 0) for f in fields for t in f["terms"]})
-    return out
 
-
-def _change(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    newest = max((r for part in rows for r in part.itertuples(index=False)), key=lambda r: (r.order, -r.tie))
-    before = _counted(json.loads(state.get[0])) if state.exists else {}
-    after = _counted(json.loads(newest.body))
-    state.update((newest.body,))
-    keys = [k for k in {**before, **after} if before.get(k) != after.get(k)]
-    was, now = [before.get(k, (0, 0)) for k in keys], [after.get(k, (0, 0)) for k in keys]
-    yield pd.DataFrame({
-        "field": [f for f, _ in keys], "term": [t for _, t in keys],
-        "papers": [b[0] - a[0] for a, b in zip(was, now)], "tokens": [b[1] - a[1] for a, b in zip(was, now)]})
+def _signed(papers: DataFrame, sign: int) -> DataFrame:
+    """What papers add to the statistics, times sign: a row for every field and one for every term of it."""
+    fields = papers.select(F.explode("fields").alias("f"))
+    rows = fields.select("f.field", "f.dl", F.explode(F.concat(F.array(F.lit(None).cast("string")), "f.terms")).alias("term"))
+    tokens = F.when(F.col("term").isNull(), F.col("dl")).otherwise(F.lit(0)) * sign
+    return rows.select("field", "term", F.lit(sign).cast("bigint").alias("papers"), tokens.cast("bigint").alias("tokens"))
 
 
 class StreamedStatistics:
@@ -53,8 +35,8 @@ class StreamedStatistics:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         # both folders can be read before the first batch
-        for folder in ("changes", "totals/batch=-1"):
-            spark.createDataFrame([], CHANGES).write.mode("ignore").parquet(f"{path}/{folder}")
+        for folder, schema in (("papers", PAPERS), ("changes", CHANGES)):
+            spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/{folder}/batch=-1")
 
     def stream_changes(self, stream: DataFrame, order_col: str | None = None, **trigger) -> StreamingQuery:
         """Changes that a stream of whole paper rows makes.
@@ -63,38 +45,40 @@ class StreamedStatistics:
         `order_col`, ties by the rows' content, as in `stream_upsert`.
         """
         order = F.col(order_col).cast("double") if order_col else F.lit(0.0)
-        tied = stream.withColumns({"_order": F.coalesce(order, F.lit(float("-inf"))), "_tie": F.xxhash64(*stream.columns)})
+        place = F.struct(F.coalesce(order, F.lit(float("-inf"))), F.bitwise_not(F.xxhash64(*stream.columns)))
         fields = F.array(*[
             F.struct(F.lit(f).alias("field"), F.size(F.col(c)).alias("dl"), F.array_distinct(F.col(c)).alias("terms"))
             for f, c in TOKEN_COLUMNS.items()])
-        rows = with_tokens(tied).select(
-            "paper_id", F.col("_order").alias("order"), F.col("_tie").alias("tie"), F.to_json(fields).alias("body"))
-        changed = rows.groupBy("paper_id").applyInPandasWithState(
-            _change, CHANGES, "body string", "append", GroupStateTimeout.NoTimeout)
-        return (changed.writeStream.format("parquet").option("path", f"{self.path}/changes")
-                .option("checkpointLocation", f"{self.path}/changes-state").outputMode("append")
-                .trigger(**(trigger or {"availableNow": True})).start())
-
-    def stream_totals(self, **trigger) -> StreamingQuery:
-        """Sums of the changes by field and term; a repeated batch overwrites its own folder."""
-        changes = self.spark.readStream.schema(CHANGES).parquet(f"{self.path}/changes")
-        sums = changes.groupBy("field", "term").agg(F.sum("papers").alias("papers"), F.sum("tokens").alias("tokens"))
 
         def on_batch(rows: DataFrame, batch: int) -> None:
-            rows.write.mode("overwrite").parquet(f"{self.path}/totals/batch={batch}")
-
-        return (sums.writeStream.foreachBatch(on_batch).option("checkpointLocation", f"{self.path}/totals-state")
-                .outputMode("update").trigger(**(trigger or {"availableNow": True})).start())
+            newest = rows.groupBy("paper_id").agg(F.max_by(F.struct(*rows.columns), place).alias("row")).select("row.*")
+            (with_tokens(newest).select("paper_id", fields.alias("fields"))
+             .write.mode("overwrite").parquet(f"{self.path}/papers/batch={batch}"))
+            stored = self._read("papers", PAPERS)
+            now, earlier = stored.filter(F.col("batch") == batch), stored.filter(F.col("batch") < batch)
+            # rows without an id are one paper
+            same = F.col("paper_id").eqNullSafe(F.col("_id"))
+            last = (earlier.select("paper_id", "batch").join(now.select(F.col("paper_id").alias("_id")), same, "left_semi")
+                    .groupBy(F.col("paper_id").alias("_id")).agg(F.max("batch").alias("_batch")))
+            replaced = earlier.join(last, same & (F.col("batch") == F.col("_batch")))
+            both = _signed(now, 1).unionByName(_signed(replaced, -1))
+            changes = both.groupBy("field", "term").agg(F.sum("papers").alias("papers"), F.sum("tokens").alias("tokens"))
+            (changes.filter("papers <> 0 or tokens <> 0")
+             .write.mode("overwrite").parquet(f"{self.path}/changes/batch={batch}"))
+
+        return (stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", f"{self.path}/state")
+                .trigger(**(trigger or {"availableNow": True})).start())
 
     def update(self, stream: DataFrame, order_col: str | None = None) -> None:
         """Take in what a stream holds by now."""
         self.stream_changes(stream, order_col).awaitTermination()
-        self.stream_totals().awaitTermination()
+
+    def _read(self, folder: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(f"{schema}, batch bigint").parquet(f"{self.path}/{folder}")
 
     def _totals(self) -> DataFrame:
-        rows = self.spark.read.schema(TOTALS).parquet(f"{self.path}/totals")
-        newest = F.max_by(F.struct("papers", "tokens"), "batch")
-        return rows.groupBy("field", "term").agg(newest.alias("n")).select("field", "term", "n.papers", "n.tokens")
+        return self._read("changes", CHANGES).groupBy("field", "term").agg(
+            F.sum("papers").alias("papers"), F.sum("tokens").alias("tokens"))
 
     def term_stats(self) -> DataFrame:
         """field, term, df; as `build_term_stats` over all current papers."""

@@ -228,6 +228,18 @@ def test_streamed_statistics_equal_a_rebuild(spark, tmp_path):
     equal()
 
 
+def test_streamed_statistics_hold_no_state_by_paper(spark, tmp_path):
+    kept, source = StreamedStatistics(spark, str(tmp_path / "s")), str(tmp_path / "in")
+    schema = "paper_id string, title string, keywords string, abstract string, research_design_text string, raw_body string"
+    for rows in ([(None, "a b", "", "", "", ""), ("x", "a", "", "", "", "")], [(None, "c", "", "", "", "")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        kept.update(spark.readStream.schema(schema).parquet(source))
+    assert {(r.field, r.term, r.df) for r in kept.term_stats().collect()} == {("title", "a", 1), ("title", "c", 1)}
+    assert {r.n_docs for r in kept.field_stats().collect()} == {2}
+    # papers are joined with their entries; a state store would hold all their terms in memory
+    assert not list((tmp_path / "s").rglob("*.delta"))
+
+
 def test_apply_rewrites(spark):
     queries = spark.createDataFrame(
         [(1, "deep learning 2020"), (2, "deep learning"), (3, "deep learning"), (4, "学"), (5, "deep learning")],
