@@ -336,3 +336,19 @@ def test_filters_have_keys(spark, monkeypatch):
         assert {(h.query_id, h.paper_id) for h in hits} == {
             (n, p[0]) for n, q in ((1, "ann"), (2, "乙")) for p in papers if test((p[1] or "").strip().lower(), q)}
     assert len(plans) > 6 and not [p for p in plans if "NestedLoop" in p or "Cartesian" in p]
+
+
+def test_chunks_with_the_same_vector_are_compared_once(spark, monkeypatch):
+    """Few vectors, many chunks: the same hits as chunk by chunk, ties to the smaller id."""
+    random.seed(4)
+    vectors = [[random.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(3)] for _ in range(12)] + [[0.0] * 3, None, [1.0, 2.0]]
+    rows = [(f"c{i * 37 % 400:03d}", f"p{i % 90}", i, vectors[i * i % 15]) for i in range(400)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, paper_id string, chunk_index int, embedding array<float>")
+    asked = spark.createDataFrame([(str(i), v) for i, v in enumerate(vectors)], "query_id string, q_vec array<float>")
+    seen = []
+    add = vc.vector_search
+    monkeypatch.setattr(vc, "vector_search", lambda c, *a: seen.append(c.count()) or add(c, *a))
+    for k in (1, 7, 60, 0):
+        want = sorted(map(tuple, add(chunks, asked, None, 0.0, k).collect()))
+        assert sorted(map(tuple, vc.shared_vector_search(chunks, asked, k).collect())) == want and want
+    assert max(seen[:3]) <= 15

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import tokenize
-from scriptorium.operators import tokenwise
+from scriptorium.operators import bm25, tiled, tokenwise
 from scriptorium.operators.bm25 import bm25_scores, bm25_search, query_terms
 from scriptorium.operators.filters import FILTER_TYPE, user_scopes
 from scriptorium.operators.scopes import within_scope
@@ -91,3 +91,19 @@ def test_texts_are_split_in_tasks_as_by_tokenize(spark, papers, queries):
 
 def test_no_papers(spark, papers, queries):
     assert bm25_search(build_index(papers.limit(0)), queries, k=7).collect() == []
+
+
+@pytest.mark.parametrize("fields", ["all", "theme"])
+def test_many_queries_with_few_terms_in_tiles(spark, papers, queries, fields, monkeypatch):
+    """No list of (query, paper) pairs is shuffled; the best k are those of the scores by postings."""
+    monkeypatch.setattr(bm25, "is_small", lambda df, *a: "query_id" not in df.columns)
+    monkeypatch.setattr(tiled, "QUERY_TILE", 2)
+    monkeypatch.setattr(tiled, "PAPERS", 37)
+    monkeypatch.setattr(tokenwise, "TRIPLES", 50)
+    index = build_index(papers)
+    expected = top_k(bm25_scores(index, query_terms(queries, "q", fields)), ["query_id"], by_score("score", "paper_id"), 7, ["paper_id"])
+    found = bm25_search(index, queries, fields=fields, k=7)
+    assert ranked(found) == ranked(expected)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "tf#" not in plan
+    assert bm25_search(index, queries.filter("query_id in (4, 5)"), k=7).collect() == []
