@@ -52,7 +52,8 @@ def _han_tokens(run: Column) -> Column:
 
 
 def has_han(c: Column | str) -> Column:
-    return col(c).rlike(r"\p{IsHan}")
+    # no Han character lies below U+2E80: a range is told faster than the script of each character
+    return col(c).rlike(r"[\x{2E80}-\x{10FFFF}]") & col(c).rlike(r"\p{IsHan}")
 
 
 def tokenize(c: Column | str) -> Column:

@@ -1,10 +1,10 @@
 """Exact top k by BM25 without scoring every match, over the blocks of a stored index.
 
-A stored index holds, besides its postings, blocks of papers: for each term the papers
-of a block with their impacts (the part of a score that needs no query), and the largest
-impact as `peak`.  A batch of queries reads the blocks of its terms; each block is searched in one task.
+A stored index holds blocks of papers: for each term the papers of a block with their counts and lengths, from
+which come their impacts (the part of a score that needs no query).  A batch of queries reads the blocks of its
+terms; each block is searched in one task.
 
-For a query, terms are taken in the order of the most that they can add in this block (weight x idf x peak),
+For a query, terms are taken in the order of the most that they can add in this block (weight x idf x largest impact),
 so rare and heavy terms come first.  As soon as what is left can add a small part of the
 k-th best partial score only, the rest is looked up for those papers alone that can still
 enter the first k of the block; all others are never scored in full.  A partial score is a lower
@@ -45,10 +45,13 @@ class Block:
         rank[order] = np.arange(len(order))
         self.names = self.names[order]
         ids = rank[names.indices.to_numpy()] if len(order) else np.zeros(0, dtype=np.int64)
-        impacts = rows.column("impacts").combine_chunks().flatten().to_numpy()
         ends = papers.offsets.to_numpy() - papers.offsets[0].as_py()
-        weights = rows.column("impacts").combine_chunks()
-        starts = weights.offsets.to_numpy() - weights.offsets[0].as_py()
+        counts = rows.column("tfs").combine_chunks()
+        starts = counts.offsets.to_numpy() - counts.offsets[0].as_py()
+        k1, b, tf = rules.BM25_K1, rules.BM25_B, counts.flatten().to_numpy()
+        dl = rows.column("dls").combine_chunks().flatten().to_numpy()
+        average = np.repeat(rows.column("avgdl").to_numpy(), np.diff(starts))
+        impacts = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / average))
         self.lists, self.scopes = {}, {}
         for i, key in enumerate(zip(rows.column("field").to_pylist(), rows.column("term").to_pylist())):
             mine = ids[ends[i]:ends[i + 1]]
@@ -121,7 +124,7 @@ def pruned_hits(blocks: DataFrame, weighted: DataFrame, scopes: Scopes | None, k
     for query, field, term, factor, title in weighted.select("query_id", "field", "term", "factor", "title_active").collect():
         batch.setdefault(query, [title, []])[1].append((field, term, factor))
     held = small_join(blocks, weighted.select("field", "term").distinct(), ["field", "term"], fits=True).select(
-        "block", "field", "term", "papers", "impacts")
+        "block", "field", "term", "papers", "tfs", "dls", "avgdl")
     wants: dict = {}
     if scopes is not None:
         # a row for each query of the batch at most
@@ -129,7 +132,8 @@ def pruned_hits(blocks: DataFrame, weighted: DataFrame, scopes: Scopes | None, k
         n = blocks.select("blocks").first()
         lists = scopes.papers.select(paper_block(n["blocks"] if n else 1), "paper_id", F.explode("scopes").alias("term"))
         lists = lists.groupBy("block", "term").agg(F.collect_list("paper_id").alias("papers")).select(
-            "block", F.lit(SCOPE).alias("field"), "term", "papers", F.array().cast("array<double>").alias("impacts"))
+            "block", F.lit(SCOPE).alias("field"), "term", "papers", F.array().cast("array<int>").alias("tfs"),
+            F.array().cast("array<int>").alias("dls"), F.lit(0.0).alias("avgdl"))
         held = held.unionByName(lists)
     shared = blocks.sparkSession.sparkContext.broadcast((batch, wants))
 

@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.text import has_han, tokenize
 from ..scale import small_join
+from .split import TEXT_COLUMNS, TOKEN_COLUMNS, split_tokens
 
 # papers of a block: their postings for the terms of a batch are searched in one task
 BLOCK_PAPERS = 2_048
-BLOCK_SCHEMA = ("block int, blocks int, field string, term string, papers array<string>, impacts array<double>, peak double, "
-                "term_bucket int")
-TOKEN_COLUMNS = {f: f"{f}_tokens" for f in rules.FIELDS}
-TEXT_COLUMNS = {f: f"{f}_source" for f in rules.FIELDS}
+# n papers hold the term, `total` times in all
+BLOCK_ROWS = ("block int, blocks int, field string, term string, papers array<string>, tfs array<int>, dls array<int>, n bigint, "
+              "total bigint")
+BLOCK_SCHEMA = f"{BLOCK_ROWS}, term_bucket int"
 
 
 @dataclass(frozen=True)
@@ -36,7 +38,7 @@ class Index:
     field_stats: DataFrame
     occurrences: DataFrame | None = None
     buckets: int = 0
-    # block, blocks, field, term, papers, impacts, peak, term_bucket: the postings of a stored index by blocks of papers
+    # `BLOCK_SCHEMA` and avgdl: the postings of a stored index by blocks of papers
     blocks: DataFrame | None = None
     # paper_id and the `token_sources` of all fields, one row a paper; of an index that is not stored
     tokens: DataFrame | None = None
@@ -52,8 +54,11 @@ class Index:
             found = count_terms(small_join(self.occurrences, wanted, keys, spread_by=["paper_id"], fits=fits))
             # counts are few; bringing a paper together here saves shuffling its scores per query
             return found.repartition("paper_id"), build_term_stats(found)
-        postings = self._partitions(self.postings, wanted).drop("term_bucket") if self.buckets else self.postings
-        return postings, small_join(self.term_stats, wanted, keys, fits=fits)
+        if self.blocks is not None:
+            # lists are chosen whole; bringing a paper together here saves shuffling its scores per query
+            held = small_join(self._partitions(self.blocks, wanted), wanted, keys, spread_by=["block"], fits=fits)
+            return block_postings(held).repartition("paper_id"), small_join(self.term_stats, wanted, keys, fits=fits)
+        return self.postings, small_join(self.term_stats, wanted, keys, fits=fits)
 
     def _partitions(self, stored: DataFrame, wanted: DataFrame) -> DataFrame:
         # at most `buckets` numbers: lets the scan skip all other partitions
@@ -141,73 +146,78 @@ def term_bucket(buckets: int):
     return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("term_bucket")
 
 
-def write_index(papers: DataFrame, path: str, term_buckets: int = 64, paper_buckets: int | None = None,
-                block_papers: int = BLOCK_PAPERS) -> Index:
-    """Store the index: postings partitioned by a hash of the term, bucketed by paper, and once more by blocks of papers.
+def block_postings(blocks: DataFrame) -> DataFrame:
+    """(paper_id, field, term, tf, dl) of the lists in blocks."""
+    rows = F.arrays_zip(F.col("papers").alias("paper_id"), F.col("tfs").alias("tf"), F.col("dls").alias("dl"))
+    return blocks.select("field", "term", F.inline(rows)).select("paper_id", "field", "term", "tf", "dl")
 
-    A query batch reads only the partitions of its own terms.  Within these, all
-    postings of a paper lie in one bucket, so scores are summed without a
-    shuffle and no common term gathers in one task.
+
+def write_index(papers: DataFrame, path: str, term_buckets: int = 64, block_papers: int = BLOCK_PAPERS) -> Index:
+    """Store the index: for blocks of about `block_papers` papers the papers, counts and field lengths of every term.
+
+    Lists are partitioned by a hash of the term, so a query batch reads only the partitions of its own terms, and no
+    common term gathers in one task.  The texts are read and shuffled once, in place of the postings that come of them.
     """
     spark = papers.sparkSession
-    buckets = paper_buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    texts = papers.select("paper_id", *{*rules.FIELD_COLUMNS.values(), *TOKEN_COLUMNS.values()} & set(papers.columns))
-    # the texts are shuffled once, before they become many postings
-    postings = build_postings(texts.repartition(buckets, "paper_id"))
-    (postings.select("*", term_bucket(term_buckets)).write.mode("overwrite")
-     .partitionBy("term_bucket").bucketBy(buckets, "paper_id").sortBy("field", "term")
-     .option("path", f"{path}/postings").saveAsTable(f"{_table_name(path)}_new"))
-    spark.sql(f"DROP TABLE {_table_name(path)}_new")  # the files stay
-    layout = [(term_buckets, buckets)]
-    spark.createDataFrame(layout, "term_buckets int, paper_buckets int").write.mode("overwrite").parquet(
-        f"{path}/layout")
-    stored = spark.read.parquet(f"{path}/postings")
-    build_term_stats(stored).write.mode("overwrite").parquet(f"{path}/term_stats")
-    lengths = stored.groupBy("field").agg(F.sum("tf").alias("total"))
-    fields = spark.createDataFrame([(f,) for f in rules.FIELDS], "field string")
     n_papers = papers.count()
+    write_blocks(papers, path, n_papers, term_buckets, block_papers)
+    stored = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
+    stored.groupBy("field", "term").agg(F.sum("n").alias("df")).write.mode("overwrite").parquet(f"{path}/term_stats")
+    lengths = stored.groupBy("field").agg(F.sum("total").alias("total"))
+    fields = spark.createDataFrame([(f,) for f in rules.FIELDS], "field string")
     n = F.lit(n_papers)
-    # totals from the stored postings: the texts are read once
+    # totals from the stored lists: the texts are read once
     (fields.join(lengths, "field", "left")
      .select("field", n.alias("n_docs"), F.coalesce(F.try_divide("total", n), F.lit(0.0)).alias("avgdl"))
      .write.mode("overwrite").parquet(f"{path}/field_stats"))
-    write_blocks(stored, spark.read.parquet(f"{path}/field_stats"), path, n_papers, block_papers)
+    spark.createDataFrame([(term_buckets,)], "term_buckets int").write.mode("overwrite").parquet(f"{path}/layout")
     return read_index(spark, path)
 
 
-def write_blocks(stored: DataFrame, field_stats: DataFrame, path: str, n_papers: int, block_papers: int) -> None:
-    """Postings by blocks of about `block_papers` papers: the papers of a term with their impacts, and the largest impact."""
+def write_blocks(papers: DataFrame, path: str, n_papers: int, term_buckets: int, block_papers: int) -> None:
+    """Each block's texts come together in a task, which splits and inverts them."""
     n = max(1, math.ceil(n_papers / block_papers))
-    average = F.create_map(*[F.lit(x) for r in field_stats.collect() for x in (r["field"], float(r["avgdl"]))])
-    k1, b, tf = rules.BM25_K1, rules.BM25_B, F.col("tf")
-    impact = tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / average[F.col("field")]))
-    block = F.pmod(F.xxhash64("paper_id"), F.lit(n)).cast("int").alias("block")
-    rows = stored.filter(average[F.col("field")] > 0).select(
-        block, "field", "term", "term_bucket", F.struct("paper_id", impact.alias("impact")).alias("p"))
-    (rows.groupBy("block", "field", "term", "term_bucket").agg(F.collect_list("p").alias("p"))
-     .select("block", F.lit(n).alias("blocks"), "field", "term", F.col("p.paper_id").alias("papers"),
-             F.col("p.impact").alias("impacts"), F.array_max("p.impact").alias("peak"), "term_bucket")
-     .write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/blocks"))
 
+    def invert(rows: pa.Table) -> pa.Table:
+        batch = rows.combine_chunks().to_batches()[0]
+        ids = batch.column("paper_id").dictionary_encode()
+        number = ids.indices.to_numpy()
+        first = np.unique(number, return_index=True)[1]
+        out = []
+        for field in rules.FIELDS:
+            length = np.zeros(batch.num_rows, dtype=np.int64)
+            where, tokens = [], []
+            for size, words in split_tokens(batch, field):
+                length += size
+                where.append(np.repeat(number, size))
+                tokens.append(words.cast(pa.large_string()))
+            terms = pa.chunked_array(tokens, pa.large_string()).combine_chunks().dictionary_encode()
+            # by term, then by paper
+            key, tf = np.unique(terms.indices.to_numpy().astype(np.int64) * len(first) + np.concatenate(where), return_counts=True)
+            term, paper = key // len(first), key % len(first)
+            ends = np.searchsorted(term, np.arange(len(terms.dictionary) + 1))
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (
+                ids.dictionary.take(pa.array(paper)), pa.array(tf, pa.int32()), pa.array(length[first][paper], pa.int32()))]
+            size = len(terms.dictionary)
+            out.append(pa.table({
+                "block": pa.array(np.full(size, batch.column("block")[0].as_py()), pa.int32()), "blocks": pa.array(np.full(size, n), pa.int32()),
+                "field": pa.array([field] * size, pa.string()), "term": terms.dictionary.cast(pa.string()),
+                "papers": lists[0], "tfs": lists[1], "dls": lists[2], "n": pa.array(np.diff(ends), pa.int64()),
+                "total": pa.array(np.diff(np.append(0, np.cumsum(tf))[ends]), pa.int64())}))
+        return pa.concat_tables(out)
 
-def _table_name(path: str) -> str:
-    return f"postings_{hashlib.md5(path.encode()).hexdigest()[:16]}"
+    block = F.pmod(F.xxhash64("paper_id"), F.lit(n)).cast("int").alias("block")
+    texts = papers.select("paper_id", *{*rules.FIELD_COLUMNS.values(), *TOKEN_COLUMNS.values()} & set(papers.columns))
+    (token_sources(texts).select(block, "*").groupBy("block").applyInArrow(invert, BLOCK_ROWS)
+     .select("*", term_bucket(term_buckets)).write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/blocks"))
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    """Open a stored index; its postings are registered as a bucketed table."""
-    term_buckets, buckets = spark.read.parquet(f"{path}/layout").first()
-    name = _table_name(path)
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(
-        f"CREATE TABLE {name} (paper_id STRING, field STRING, term STRING, tf INT, dl INT, term_bucket INT) "
-        f"USING parquet PARTITIONED BY (term_bucket) CLUSTERED BY (paper_id) SORTED BY (field, term) "
-        f"INTO {buckets} BUCKETS LOCATION '{path}/postings'")
-    spark.catalog.recoverPartitions(name)
+    """Open a stored index."""
+    lengths = spark.read.parquet(f"{path}/field_stats")
+    stored = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
+    # five rows, one per field
+    blocks = stored.join(F.broadcast(lengths.select("field", "avgdl")), "field")
     return Index(
-        spark.table(name),
-        spark.read.parquet(f"{path}/term_stats"),
-        spark.read.parquet(f"{path}/field_stats"),
-        buckets=term_buckets,
-        blocks=spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks"),
-    )
+        block_postings(stored), spark.read.parquet(f"{path}/term_stats"), lengths,
+        buckets=spark.read.parquet(f"{path}/layout").first()[0], blocks=blocks)

@@ -19,7 +19,7 @@ from scriptorium.operators.scopes import Scopes, within_scope
 from scriptorium.plans.search import smart_search, traditional_search
 from scriptorium import scale
 from scriptorium.scale import by_score, cut_lineage, global_rank, small_join, top_k
-from scriptorium.sources.index import build_index, read_index, write_index
+from scriptorium.sources.index import build_index, build_term_stats, read_index, write_index
 
 COLUMNS = ("paper_id string, title string, author string, source_journal string, publish_year int, abstract string, "
            "keywords string, research_design_text string, raw_body string, doi string, affiliation string, "
@@ -352,3 +352,20 @@ def test_chunks_with_the_same_vector_are_compared_once(spark, monkeypatch):
         want = sorted(map(tuple, add(chunks, asked, None, 0.0, k).collect()))
         assert sorted(map(tuple, vc.shared_vector_search(chunks, asked, k).collect())) == want and want
     assert max(seen[:3]) <= 15
+
+
+def test_stored_index_is_written_in_one_pass(spark, tmp_path):
+    """Postings are stored once, by blocks; counts, lengths and lists are those of the plain index."""
+    import os
+
+    rows = [(f"p{i}", "深度 Learning 学" if i % 3 else None, "a", "j", 2000, f"w{i % 5} w{i % 5} w{i % 7}", "", "", "été x" * (i % 4), "", "", "", "", 0)
+            for i in range(70)]
+    papers = spark.createDataFrame(rows, COLUMNS).repartition(3)
+    index, plain = stored(spark, papers, tmp_path, block_papers=16), build_index(papers)
+    assert set(os.listdir(f"{tmp_path}/index")) == {"blocks", "term_stats", "field_stats", "layout"}
+    for mine, other in ((index.postings, plain.postings.select("paper_id", "field", "term", "tf", "dl")),
+                        (index.term_stats, build_term_stats(plain.postings).select("field", "term", "df")),
+                        (index.field_stats, plain.field_stats.select("field", "n_docs", "avgdl"))):
+        assert sorted(map(tuple, mine.collect())) == sorted(map(tuple, other.collect()))
+    asked = queries(spark, "w1 w2 学", "learning x")
+    assert ranked(bm25_search(index, asked, k=0)) == ranked(bm25_search(plain, asked, k=0))
