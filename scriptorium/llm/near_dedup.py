@@ -40,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .components import connected
 from .store import SURROGATE, saved, surrogate_id
@@ -206,8 +207,10 @@ def _components(texts: DataFrame, sets: DataFrame, reps: DataFrame, size: int, p
     """id, component of the representatives that have a link."""
     mine = sets.join(reps, "id", "left_semi").dropDuplicates(["id"])
     keyed = mine.select("id", F.explode("keys").alias("key"))
-    pivots = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("other")).filter("pivot <> other")
-    buckets = saved(keyed.join(pivots.select("key", "pivot"), "key"), "buckets")
+    # keys are shuffled once: members of a key and its smallest member meet in the same sort
+    own = Window.partitionBy("key")
+    company = keyed.withColumns({"pivot": F.min("id").over(own), "other": F.max("id").over(own)}).filter("pivot <> other")
+    buckets = saved(company.select("key", "id", "pivot"), "buckets")
     stars = saved(buckets.filter("id <> pivot").groupBy(F.col("id").alias("a"), F.col("pivot").alias("b"))
                   .agg(F.count("*").alias("shared")), "stars")
     # every member of a key with company is an end of a star: only these texts are read again

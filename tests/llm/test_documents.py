@@ -427,3 +427,14 @@ def test_mix_of_one_source_without_words(spark):
     assert [(r._size, r._target) for r in source_mix.mix(table).collect()] == [(0, 0.0), (0, 0.0)]
 
 
+
+
+def test_keys_of_near_duplicates_are_shuffled_once(spark, monkeypatch):
+    plans, saved = {}, near_dedup.saved
+    monkeypatch.setattr(near_dedup, "saved", lambda df, name: (
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()), saved(df, name))[1])
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"{text} {i % 3}") for i in range(9)] + [(9, "else there is nothing alike")], "doc_id long, text string")
+    found = near_dedup.near_duplicates(docs).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(i, 0) for i in range(9)] + [(9, 9)]
+    assert plans["buckets"].count("Exchange hashpartitioning(key") == 1
