@@ -44,11 +44,13 @@ from pyspark.sql.window import Window
 
 from .components import connected
 from .store import SURROGATE, saved, surrogate_id
-from .wordhash import Words, runs_of, blocks, grams, mixed
+from .wordhash import Words, runs_of, blocks, give_back, grams, mixed
 
 SHINGLE = 5
 # members of a block that is compared with another one in a task
 BLOCK_ROWS = 2_000
+# ids of texts that are sent to every task at most, at some 64 bytes each; for more of them the texts are shuffled
+SENT_IDS = 4_000_000
 CHUNKS = 12
 CHUNK = 5
 ERRORS = 1
@@ -107,6 +109,7 @@ def _sets(size: int):
                 [block.column("doc_id"), block.column("id"), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
                  pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
                 names=["doc_id", "id", "d1", "d2", "n_shingles", "keys"])
+        give_back()
     return run
 
 
@@ -214,8 +217,10 @@ def _components(texts: DataFrame, sets: DataFrame, reps: DataFrame, size: int, p
     stars = saved(buckets.filter("id <> pivot").groupBy(F.col("id").alias("a"), F.col("pivot").alias("b"))
                   .agg(F.count("*").alias("shared")), "stars")
     # every member of a key with company is an end of a star: only these texts are read again
-    ends = stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct()
-    texts = saved(texts.join(ends, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    ends = saved(stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct(), "ends")
+    # these are few of all texts, so the ids go to the texts and only what is found is shuffled
+    wanted = F.broadcast(ends) if ends.count() <= SENT_IDS else ends
+    texts = saved(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "texts")
     # first the pivot with which a member shares most keys, then other pivots that are still in another component
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
     edges = _confirmed(best, texts, size, percent)

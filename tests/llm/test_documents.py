@@ -438,3 +438,21 @@ def test_keys_of_near_duplicates_are_shuffled_once(spark, monkeypatch):
     found = near_dedup.near_duplicates(docs).collect()
     assert sorted((r.doc_id, r.component_id) for r in found) == [(i, 0) for i in range(9)] + [(9, 9)]
     assert plans["buckets"].count("Exchange hashpartitioning(key") == 1
+
+
+@pytest.mark.parametrize("sent", [4_000_000, 0])
+def test_only_texts_with_company_are_shuffled(spark, monkeypatch, sent):
+    plans, saved = {}, near_dedup.saved
+    monkeypatch.setattr(near_dedup, "SENT_IDS", sent)
+    monkeypatch.setattr(near_dedup, "saved", lambda df, name: (
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()), saved(df, name))[1])
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"{text} {i % 3}") for i in range(9)] + [(9, "else there is nothing alike")], "doc_id long, text string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = near_dedup.near_duplicates(docs).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(i, 0) for i in range(9)] + [(9, 9)]
+    assert ("BroadcastHashJoin" in plans["texts"]) == (sent > 0)
