@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .store import saved
-from .wordhash import U64, Words, blocks, mixed
+from .wordhash import U64, Words, blocks, give_back, mixed
 
 SAMPLE = 15_000
 POSTINGS = 6_000_000
@@ -64,8 +64,8 @@ FIRST = 4
 SLICE = 256
 # postings of examples that are handled at once while the index is built
 STEP = 500_000
-# texts of a block, in bytes: some hundred of usual ones fill a slice
-BYTES = 1 << 21
+# texts of a block, in bytes: some hundred of usual ones fill a slice; hashing takes some 30 bytes of memory a byte
+BYTES = 1 << 19
 
 
 class Counts:
@@ -349,6 +349,7 @@ def _document_frequencies(vocabulary):
             total += np.bincount(Counts(block.column("text")).known(words)[1], minlength=len(words))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "df"])
+        give_back()
     return run
 
 
@@ -448,6 +449,7 @@ def clean(docs: DataFrame, shared: Shared, text_col: str = "text", threshold: fl
         for block in blocks(batches, text_col, BYTES):
             found = model.votes(block.column(block.schema.get_field_index(text_col)))
             yield block.filter(pa.array([model.probability(f[0] if f else None) < threshold for f in found], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -474,5 +476,6 @@ def score(docs: DataFrame, shared: Shared, text_col: str = "text", keep: tuple[s
             yield pa.RecordBatch.from_arrays(
                 [*[block.column(block.schema.get_field_index(c)) for c in columns], pa.array(scores, pa.float64()),
                  pa.ListArray.from_arrays(pa.array(ends), each)], names=[*columns, "score", "evidence"])
+        give_back()
 
     return docs.select(*dict.fromkeys([*columns, text_col])).mapInArrow(run, schema)

@@ -442,3 +442,21 @@ def test_pipeline_of_an_empty_table(spark):
     for _, stage in pipeline.STAGES[:-1]:
         docs = spark.createDataFrame(stage(spark, docs, SF).collect(), docs.schema)
     assert pipeline.STAGES[-1][1](spark, docs, SF).collect() == []
+
+
+def test_terms_of_a_long_batch_take_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from scriptorium.llm.wordhash import blocks
+
+    rng = random.Random(3)
+    texts = [" ".join(f"word{rng.randrange(5000)}" for _ in range(250)) for _ in range(2_000)]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    tracemalloc.start()
+    for block in blocks(iter([batch]), "text", toxicity.BYTES):
+        toxicity.Counts(block.column("text"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
