@@ -173,7 +173,9 @@ def _(d):
                                 f"{d_strip('para')} title, count(*) over (partition by doc_id) total from paras)",
        (), (DENSE, *paragraph_ctes("dense")))
 def _(d):
-    rows = dense(d).select("doc_id", F.size("paras").alias("total"), F.posexplode("paras").alias("pos", "title"))
+    # counted below the lines, which would each carry the whole list otherwise
+    sized = dense(d).withColumn("total", F.size("paras"))
+    rows = sized.select("doc_id", "total", F.posexplode("paras").alias("pos", "title"))
     role, confidence = sg.chapter_role(strip("title"), F.col("pos"), F.col("total"))
     return rows.select("doc_id", "pos", role.alias("section_role"), confidence.alias("tag_confidence"))
 

@@ -144,19 +144,33 @@ def detect_headings(docs: DataFrame, paras: str = "paras") -> DataFrame:
 
 def chapter_role(title: Column, position: Column, total: Column) -> tuple[Column, Column]:
     """Role and confidence of a chapter by its title, else by its position."""
-    role = F.lit(None).cast("string")
-    for name, words in reversed(rules.ROLE_RULES):
-        role = F.when(contains_any(title, words), F.lit(name)).otherwise(role)
     placed = (total > 0) & (position >= 0)
     fallback = (
         F.when(placed & (position <= 1), F.lit(rules.ROLE_BACKGROUND))
         .when(placed & (position >= total - 1), F.lit(rules.ROLE_GAP))
         .otherwise(F.lit(rules.ROLE_CONCEPT)))
     middle = placed & ((position <= 1) | (position >= total - 1))
-    confidence = F.when(role.isNotNull(), F.lit("high")).when(middle, F.lit("medium")).otherwise(F.lit("low"))
-    front = title == rules.FRONT_MATTER
-    return (F.when(front, F.lit(rules.ROLE_BACKGROUND)).otherwise(F.coalesce(role, fallback)),
-            F.when(front, F.lit("medium")).otherwise(confidence))
+
+    def both(role):
+        front = role == rules.FRONT_MATTER
+        return F.struct(
+            F.when(front, F.lit(rules.ROLE_BACKGROUND)).otherwise(F.coalesce(role, fallback)).alias("role"),
+            F.when(front, F.lit("medium")).when(role.isNotNull(), F.lit("high")).when(middle, F.lit("medium"))
+            .otherwise(F.lit("low")).alias("confidence"))
+
+    # the title is computed once, however many words it is searched for
+    found = let(let(title, _role_of_title), both)
+    return found.role, found.confidence
+
+
+def _role_of_title(title: Column) -> Column:
+    """The first role that has a word in the title; NULL without one; FRONT_MATTER for that title."""
+    role = F.lit(None).cast("string")
+    for name, words in reversed(rules.ROLE_RULES):
+        role = F.when(contains_any(title, words), F.lit(name)).otherwise(role)
+    # one pass tells most lines apart: a text without a character in the range of the words' first ones holds no word
+    firsts = {w[0] for _, words in rules.ROLE_RULES for w in words}
+    return F.when(title == rules.FRONT_MATTER, F.lit(rules.FRONT_MATTER)).when(title.rlike(f"[{min(firsts)}-{max(firsts)}]"), role)
 
 
 def split_chapters(docs: DataFrame, paras: str = "paras") -> DataFrame:

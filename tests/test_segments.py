@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from scriptorium.functions.text import strip
 from scriptorium.operators import packing as pk
 from scriptorium.operators import segmentation as sg
 
@@ -143,3 +144,16 @@ def test_chunk_papers_offsets_and_ids(spark):
         ("p::0", 0, 2, 0), ("p::1", 2, 400, 1), ("p::2", 402, 400, 1), ("p::3", 802, 50, 2)]
     with pytest.raises(ValueError):
         pk.chunk_papers(docs, "other")
+
+
+def test_chapter_role_computes_a_title_once(spark):
+    rows = spark.createDataFrame([
+        (" 研究方法 ", 0, 5), ("前置内容", 3, 5), ("方法与参考文献", 2, 5), ("plain", 0, 5), ("plain", 2, 5), ("plain", 4, 5),
+        ("一般", 2, 5), (None, 2, 5), ("", 4, 5), ("结果", 0, 0)], "title string, pos int, total int")
+    role, confidence = sg.chapter_role(strip("title"), F.col("pos"), F.col("total"))
+    out = rows.select(role.alias("role"), confidence.alias("confidence"))
+    # once for each of the two columns, not for every word
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 2
+    assert [tuple(r) for r in out.collect()] == [
+        ("方法依据", "high"), ("背景说明", "medium"), ("其他", "high"), ("背景说明", "medium"), ("概念解释", "low"),
+        ("研究空白", "medium"), ("概念解释", "low"), ("概念解释", "low"), ("研究空白", "medium"), ("经验证据", "high")]
